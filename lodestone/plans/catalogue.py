@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text_and_lexical"]
+MODULES = ["text_and_lexical", "retrieval"]
 
 
 def _collect(attribute: str) -> dict:
