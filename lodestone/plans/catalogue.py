@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text_and_lexical", "retrieval"]
+MODULES = ["text_and_lexical", "retrieval", "statistics"]
 
 
 def _collect(attribute: str) -> dict:

@@ -58,7 +58,7 @@ def inverted_list_recall(spark, folder):
 
 def hash_embedding(spark, folder):
     weights = dense.hashed_weights(corpus(spark, folder))
-    return weights.select("doc_id", "idx", F.round("w", 6).alias("w"))
+    return weights.select("doc_id", "idx", (F.round("w", 6) + 0.0).alias("w"))
 
 
 def document_vectors(spark, folder):
@@ -91,19 +91,27 @@ def evidence_verdict(spark, folder):
     rows = evidence.assess(
         benchmark_queries(spark, folder), _hits(spark, folder), corpus(spark, folder)
     )
-    return _rounded(rows, ["combined_score", "dense_score", "lexical_score", "term_coverage"])
+    return _rounded(rows)
 
 
 def evidence_verdict_degraded(spark, folder):
     rows = evidence.assess(
         benchmark_queries(spark, folder), hybrid_degraded(spark, folder), corpus(spark, folder)
     )
-    return _rounded(rows, ["combined_score", "dense_score", "lexical_score", "term_coverage"])
+    return _rounded(rows)
 
 
-def _rounded(rows, columns):
+#: Digits kept of computed columns. Scores come in with six; means of two or three
+#: of them need one more, or half a unit would be left to the rounding rule.
+DIGITS = {
+    "combined_score": 5, "combined": 5, "term_coverage": 5, "score_entropy": 5,
+    "mean_dense_top3": 7, "mean_lexical_top3": 7, "lexical_margin": 6, "dense_margin": 6,
+}
+
+
+def _rounded(rows):
     return rows.select(
-        *[F.round(c, 5).alias(c) if c in columns else F.col(c) for c in rows.columns]
+        *[F.round(c, DIGITS[c]).alias(c) if c in DIGITS else F.col(c) for c in rows.columns]
     )
 
 
@@ -111,7 +119,7 @@ def retrieval_features(spark, folder):
     rows = evidence.features(
         benchmark_queries(spark, folder), _hits(spark, folder), corpus(spark, folder)
     )
-    return _rounded(rows, C.FEATURES)
+    return _rounded(rows)
 
 
 def logistic_evidence(spark, folder):
@@ -184,7 +192,7 @@ _PROBABILITY = " + ".join(
 
 _ASSESSED = f"""
         SELECT query_id, {sql.VERDICT} AS verdict, round(combined, 5) AS combined_score,
-            round(top_dense, 5) AS dense_score, round(top_lexical, 5) AS lexical_score,
+            CAST(top_dense AS DOUBLE) AS dense_score, CAST(top_lexical AS DOUBLE) AS lexical_score,
             round(term_coverage, 5) AS term_coverage,
             ({sql.VERDICT}) = 'sufficient' AS permits_answering,
             ({sql.VERDICT}) = 'ambiguous' AS requires_adjudication
@@ -206,7 +214,7 @@ ORACLE = {
         FROM firsts""",
     "hash_embedding": f"""
         WITH {sql.DOC_TOKENS}, {sql.hashed('vec', 'doc_tokens', 'doc_id')}
-        SELECT doc_id, CAST(idx AS INTEGER) AS idx, round(w, 6) AS w FROM vec""",
+        SELECT doc_id, CAST(idx AS INTEGER) AS idx, round(w, 6) + 0.0 AS w FROM vec""",
     "hybrid_search": f"""
         WITH {sql.hybrid()}
         SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score, lexical_score,
@@ -220,9 +228,9 @@ ORACLE = {
     "retrieval_features": f"""
         WITH {sql.hybrid()}, {sql.signals()}
         SELECT query_id, {", ".join(
-            f"round(CAST(CAST({n} AS INTEGER) AS DOUBLE), 5) AS {n}"
+            f"CAST(CAST({n} AS INTEGER) AS DOUBLE) AS {n}"
             if n in ("demands_value", "value_present", "degraded")
-            else f"round(CAST({n} AS DOUBLE), 5) AS {n}" for n in C.FEATURES)}
+            else f"round(CAST({n} AS DOUBLE), {DIGITS.get(n, 6)}) AS {n}" for n in C.FEATURES)}
         FROM signals""",
     "logistic_evidence": f"""
         WITH {sql.hybrid()}, {sql.signals()},
