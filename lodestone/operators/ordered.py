@@ -96,6 +96,48 @@ def row_numbers(
     )
 
 
+def previous_values(
+    df: DataFrame,
+    order: Sequence[Column],
+    columns: dict[str, str],
+    keys: Sequence[str] = (),
+    rows_per_range: int = ROWS_PER_RANGE,
+    materialise: bool = True,
+) -> DataFrame:
+    """For ``{new: old}`` add the value of ``old`` in the row before, per key.
+
+    The first row of a key in a range takes the last row of the key in an
+    earlier range.
+    """
+    by_key = [F.col(k) for k in keys]
+    packed = F.struct(*[F.col(old).alias(new) for new, old in columns.items()])
+    rows = ranged(df, [*by_key, *order], rows_per_range, materialise)
+    position = F.row_number().over(Window.partitionBy(*keys, RANGE).orderBy(*order))
+    inside = Window.partitionBy(*keys, RANGE).orderBy(*order)
+    marked = rows.withColumn("_before", F.lag(packed).over(inside)).withColumn("_at", position)
+    lasts = (
+        rows.withColumn("_row", packed)
+        .groupBy(*keys, RANGE)
+        .agg(F.max_by("_row", F.struct(*order)).alias("_last"))
+    )
+    earlier = Window.partitionBy(*keys).orderBy(RANGE)
+    carried = lasts.select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys],
+        F.col(RANGE).alias("_key_range"), F.lag("_last").over(earlier).alias("_carried"),
+    )
+    matched = F.col(RANGE) == F.col("_key_range")
+    for key in keys:
+        matched = matched & F.col(key).eqNullSafe(F.col(f"_key_{key}"))
+    joined = marked.join(carried, matched)
+    source = F.when(F.col("_at") == 1, F.col("_carried")).otherwise(F.col("_before"))
+    out = joined.withColumn("_source", source)
+    for new in columns:
+        out = out.withColumn(new, F.col(f"_source.{new}"))
+    return out.drop(
+        "_before", "_at", "_carried", "_source", "_key_range", RANGE, *[f"_key_{k}" for k in keys]
+    )
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """First ``k`` rows per key with their rank.
 

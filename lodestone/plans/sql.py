@@ -22,6 +22,17 @@ def tokens_of(text: str) -> str:
     )
 
 
+BENCHMARK = "SELECT item_id AS query_id, text FROM benchmark"
+DOCUMENTS = "SELECT doc_id, text FROM documents"
+
+
+def sources(asked: str = BENCHMARK, docs: str = DOCUMENTS) -> str:
+    """CTEs ``docs``, ``asked`` and their tokens."""
+    return f"""docs AS ({docs}), asked AS ({asked}),
+        doc_tokens AS (SELECT doc_id, {tokens_of('text')} AS toks FROM docs),
+        query_tokens AS (SELECT query_id, {tokens_of('text')} AS toks FROM asked)"""
+
+
 DOC_TOKENS = f"doc_tokens AS (SELECT doc_id, {tokens_of('text')} AS toks FROM documents)"
 QUERY_TOKENS = (
     f"query_tokens AS (SELECT item_id AS query_id, {tokens_of('text')} AS toks FROM benchmark)"
@@ -92,10 +103,13 @@ def hashed(name: str, source: str, key: str) -> str:
     )"""
 
 
-def hybrid(limit: int = C.HIT_LIMIT, degraded: bool = False) -> str:
-    """CTEs ending in ``hits`` for all benchmark passages over all documents."""
+def hybrid(
+    limit: int = C.HIT_LIMIT, degraded: bool = False, asked: str = BENCHMARK,
+    docs: str = DOCUMENTS,
+) -> str:
+    """CTEs ending in ``hits`` for all asked texts over all documents."""
     if degraded:
-        return f"""{DOC_TOKENS}, {QUERY_TOKENS}, {bm25()},
+        return f"""{sources(asked, docs)}, {bm25()},
         fused AS (
             SELECT query_id, doc_id,
                 round(score / max(score) OVER (PARTITION BY query_id), 6) AS score,
@@ -107,7 +121,7 @@ def hybrid(limit: int = C.HIT_LIMIT, degraded: bool = False) -> str:
                     PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
                 FROM fused WHERE score > 0)
             WHERE rank <= {limit})"""
-    return f"""{DOC_TOKENS}, {QUERY_TOKENS}, {bm25()},
+    return f"""{sources(asked, docs)}, {bm25()},
         {hashed('doc_vec', 'doc_tokens', 'doc_id')},
         {hashed('query_vec', 'query_tokens', 'query_id')},
         dense AS (
@@ -149,7 +163,7 @@ def signals() -> str:
     return f"""
     top AS (
         SELECT query_id, rank, lower(text) AS body, text
-        FROM hits JOIN documents USING (doc_id) WHERE rank <= 3),
+        FROM hits JOIN docs USING (doc_id) WHERE rank <= 3),
     q_distinct AS (
         SELECT query_id, unnest(list_distinct(toks)) AS term FROM query_tokens),
     found AS (
@@ -175,7 +189,7 @@ def signals() -> str:
             -sum(lexical_score / mass * ln(lexical_score / mass)) END AS score_entropy
         FROM hits JOIN agg USING (query_id) WHERE lexical_score > 0 GROUP BY query_id),
     signals AS (
-        SELECT b.item_id AS query_id,
+        SELECT b.query_id,
             coalesce(hit_count, 0) AS hit_count, coalesce(top_dense, 0) AS top_dense,
             coalesce(l1, 0) AS top_lexical, coalesce(top_dense * l1, 0) AS combined,
             coalesce(mean_dense_top3, 0) AS mean_dense_top3,
@@ -188,9 +202,10 @@ def signals() -> str:
             regexp_matches(b.text, '{SQL_DEMANDS}') AS demands_value,
             coalesce(value_present, false) AS value_present,
             len(toks) AS query_terms, coalesce(degraded, false) AS degraded
-        FROM benchmark b JOIN query_tokens t ON t.query_id = b.item_id
-        LEFT JOIN agg ON agg.query_id = b.item_id LEFT JOIN ent ON ent.query_id = b.item_id
-        LEFT JOIN found ON found.query_id = b.item_id LEFT JOIN value ON value.query_id = b.item_id
+        FROM asked b JOIN query_tokens t ON t.query_id = b.query_id
+        LEFT JOIN agg ON agg.query_id = b.query_id LEFT JOIN ent ON ent.query_id = b.query_id
+        LEFT JOIN found ON found.query_id = b.query_id
+        LEFT JOIN value ON value.query_id = b.query_id
     )"""
 
 
