@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text_and_lexical", "retrieval", "statistics", "storage_and_graph"]
+MODULES = ["text_and_lexical", "retrieval", "statistics", "storage_and_graph", "control_plane"]
 
 
 def _collect(attribute: str) -> dict:
