@@ -167,10 +167,10 @@ def stated(topics: DataFrame, chunks: DataFrame, block: int = TOPIC_BLOCK) -> Da
             (F.col("_row") > start) & (F.col("_row") <= start + block)
         )
         wanted = part.agg(F.collect_list(F.struct("topic", "terms")).alias("t")).scalar()
-        found = bodies.select(
+        found = bodies.withColumn("wanted", wanted).select(
             F.explode(
                 F.filter(
-                    wanted, lambda t: F.forall(t["terms"], lambda term: F.contains(F.col("body"), term))
+                    "wanted", lambda t: F.forall(t["terms"], lambda term: F.contains(F.col("body"), term))
                 )
             ).alias("t")
         ).select("t.topic").distinct()

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text_and_lexical", "retrieval", "statistics", "storage_and_graph", "control_plane"]
+MODULES = [
+    "text_and_lexical", "retrieval", "statistics", "storage_and_graph", "control_plane",
+    "questions_and_telemetry",
+]
 
 
 def _collect(attribute: str) -> dict:
