@@ -148,3 +148,31 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -
         "rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     )
     return ranked.filter(F.col("rank") <= k)
+
+
+def quantile_rows(
+    df: DataFrame, value: str, tie: str, keys: Sequence[str], share: float = 0.95,
+    rows_per_range: int = ROWS_PER_RANGE,
+) -> DataFrame:
+    """Mean, median and the value at index ``int(share * (n - 1))`` per key.
+
+    The position comes from range-split ranks, so no key is sorted by one task and
+    no list of its values is built.
+    """
+    placed = stage(
+        row_numbers(df, [F.col(value), F.col(tie)], "_at", keys, rows_per_range), "placed"
+    )
+    sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+    # Keys are few next to rows; the counts are joined by their measured size.
+    judged = placed.join(stage(sizes, "sizes"), list(keys))
+    high = F.floor(F.lit(share) * (F.col("n") - 1)) + 1
+    lower_middle, upper_middle = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    return judged.groupBy(*keys).agg(
+        F.first("mean").alias("mean"),
+        (
+            F.max(F.when(F.col("_at") == lower_middle, F.col(value)))
+            + F.max(F.when(F.col("_at") == upper_middle, F.col(value)))
+        ).alias("_middle"),
+        F.max(F.when(F.col("_at") == high, F.col(value))).alias("p95"),
+        F.first("n").alias("n"),
+    ).withColumn("median", F.col("_middle") / 2).drop("_middle")

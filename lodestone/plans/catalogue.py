@@ -6,7 +6,7 @@ import importlib
 
 MODULES = [
     "text_and_lexical", "retrieval", "statistics", "storage_and_graph", "control_plane",
-    "questions_and_telemetry",
+    "questions_and_telemetry", "streams_and_sets",
 ]
 
 
