@@ -20,17 +20,15 @@ from lodestone.staging import stage
 NEIGHBOURS = "query_id long, id long, score double"
 
 
-def hashed_weights(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Sparse unit vectors ``(key, idx, weight)`` of a text frame ``(key, text)``.
+def hashed_weights(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Sparse unit vectors ``(key, idx, w)`` of ``tokens(key, tokens)``, which has to be
+    partitioned by key already.
 
-    The text is partitioned by key once, before it is exploded. Every later
-    grouping begins with that key and reuses the partitioning, so the features,
+    Every grouping begins with the key and reuses that partitioning, so the features,
     several times the size of the text, are never shuffled.
     """
-    tokens = docs.select(key, "text").repartition(key).select(
-        key, F.explode(embedding_features(tokenize(F.col("text")))).alias("feature")
-    )
-    counted = tokens.groupBy(key, "feature").agg(F.count(F.lit(1)).alias("n"))
+    features = tokens.select(key, F.explode(embedding_features(F.col("tokens"))).alias("feature"))
+    counted = features.groupBy(key, "feature").agg(F.count(F.lit(1)).alias("n"))
     digest = F.crc32(F.col("feature").cast("binary"))
     sign = F.when(F.shiftright(digest, 16).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)
     signed = counted.select(
@@ -45,13 +43,20 @@ def hashed_weights(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def hashed_vectors(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Dense vectors ``(key, vec)``; a text without tokens keeps the zero vector."""
-    entries = hashed_weights(docs, key).groupBy(key).agg(
+def tokens_by_key(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, tokens)``, the text partitioned by key once."""
+    return docs.select(key, "text").repartition(key).select(
+        key, tokenize(F.col("text")).alias("tokens")
+    )
+
+
+def hashed_index(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, tokens, vec)``; a text without tokens keeps the zero vector."""
+    tokens = tokens_by_key(docs, key)
+    entries = hashed_weights(tokens, key).groupBy(key).agg(
         F.collect_list("idx").alias("idx"), F.collect_list("w").alias("w")
     )
-    # Same partitioning as the weights, so this left join adds no shuffle of them.
-    rows = docs.select(key).repartition(key).join(entries, key, "left")
+    rows = tokens.join(entries, key, "left")  # both sides are partitioned by key
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,10 +67,12 @@ def hashed_vectors(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             dense[row, at] = batch.column("w").flatten().to_numpy(zero_copy_only=False)
             offsets = np.arange(0, dense.size + 1, C.DIM, dtype=np.int32)
             vec = pa.ListArray.from_arrays(pa.array(offsets), pa.array(dense.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(key), vec], names=[key, "vec"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key), batch.column("tokens"), vec], names=[key, "tokens", "vec"]
+            )
 
     key_type = docs.schema[key].dataType.simpleString()
-    return rows.mapInArrow(scatter, f"{key} {key_type}, vec array<double>")
+    return rows.mapInArrow(scatter, f"{key} {key_type}, tokens array<string>, vec array<double>")
 
 
 class HashingEmbedder:
@@ -75,8 +82,13 @@ class HashingEmbedder:
     dim = C.DIM
     similarity_threshold = C.SIMILARITY_THRESHOLD
 
+    def index(self, texts: DataFrame, key: str = "doc_id") -> DataFrame:
+        """``(key, tokens, vec, model)``."""
+        return hashed_index(texts, key).withColumn("model", F.lit(self.model))
+
     def embed(self, texts: DataFrame, key: str = "doc_id") -> DataFrame:
-        return hashed_vectors(texts, key).withColumn("model", F.lit(self.model))
+        """``(key, vec, model)``."""
+        return self.index(texts, key).drop("tokens")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -10,171 +10,141 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone import constants as C
-from lodestone.operators import lexical
 from lodestone.operators.dense import HashingEmbedder
+from lodestone.operators.lexical import LexicalBlock, slices, weighted_queries
 from lodestone.operators.ordered import top_k
 from lodestone.operators.topk_blocks import Leaders, matrix, scan_with_blocks
 from lodestone.staging import stage
 
-HITS = (
-    "query_id long, doc_id long, score double, lexical_score double, dense_score double"
-)
+HITS = "query_id long, doc_id long, score double, lexical_score double, dense_score double"
 
 
-def max_normalised(scores: DataFrame, peak: DataFrame) -> DataFrame:
-    """Scores divided by the best of their query; a best of zero or less gives 0."""
-    scaled = F.when(F.col("peak") > 0, F.col("score") / F.col("peak")).otherwise(0.0)
-    return scores.join(peak, "query_id").withColumn("normalised", scaled)
+def build_index(docs: DataFrame, embedder: HashingEmbedder) -> DataFrame:
+    """``(doc_id, tokens, vec, model)``: one written row per document and model.
+
+    Tokens and vector lie side by side, so a search reads them in one scan and joins
+    nothing. The model is the partition folder: a search under one model reads only
+    its files.
+    """
+    return stage(embedder.index(docs), "index", ["model"])
+
+
+class _Block:
+    """One block of queries: their words, and their vectors unless degraded."""
+
+    def __init__(self, block: pa.Table, avg_length: float, dense: bool) -> None:
+        self.query_ids = block.column("query_id").to_numpy()
+        self.lexical = LexicalBlock(block, avg_length)
+        self.vectors = matrix(block.column("vec")) if dense else None
 
+    def scores(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        raw = self.lexical.scores(part.column("tokens"))
+        if self.vectors is None:
+            return raw, np.zeros_like(raw)
+        return raw, self.vectors @ matrix(part.column("vec")).T
 
-def dense_peaks(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Highest positive cosine of every query over all vectors."""
 
-    def task(block: pa.Table):
-        query_ids = block.column("query_id").to_numpy()
-        query_matrix = matrix(block.column("vec"))
+def _peaks(index: DataFrame, asked: DataFrame, avg_length: float, dense: bool) -> DataFrame:
+    """Highest raw score of every query on either side; one row per task and query."""
+
+    def task(rows: pa.Table):
+        block = _Block(rows, avg_length, dense)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            peak = np.zeros(len(query_ids))
-            for batch in batches:
-                if batch.num_rows:
-                    scores = query_matrix @ matrix(batch.column("vec")).T
-                    peak = np.maximum(peak, scores.max(axis=1))
+            top = np.zeros((2, len(block.query_ids)))
+            for part in slices(batches):
+                for side, scores in enumerate(block.scores(part)):
+                    top[side] = np.maximum(top[side], scores.max(axis=1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(query_ids), pa.array(peak)], names=["query_id", "dense_peak"]
+                [pa.array(block.query_ids), pa.array(top[0]), pa.array(top[1])],
+                names=["query_id", "lexical_peak", "dense_peak"],
             )
 
         return scan
 
     per_task = scan_with_blocks(
-        vectors.select("vec"), queries.select("query_id", "vec"), task,
-        "query_id long, dense_peak double",
+        index, asked, task, "query_id long, lexical_peak double, dense_peak double"
+    )
+    return per_task.groupBy("query_id").agg(
+        F.max("lexical_peak").alias("lexical_peak"), F.max("dense_peak").alias("dense_peak")
     )
-    return per_task.groupBy("query_id").agg(F.max("dense_peak").alias("dense_peak"))
+
+
+def max_normalised(scores: np.ndarray, peak: np.ndarray) -> np.ndarray:
+    """Scores divided by the best of their query; a best of zero or less gives 0."""
+    wide = np.broadcast_to(peak[:, None], scores.shape)
+    return np.divide(scores, wide, out=np.zeros_like(scores), where=wide > 0)
 
 
 def fused_top_k(
-    lexical_scores: DataFrame, vectors: DataFrame, queries: DataFrame, k: int
+    index: DataFrame, asked: DataFrame, avg_length: float, k: int, dense: bool
 ) -> DataFrame:
     """``(query_id, rank, doc_id, score, lexical_score, dense_score)``.
 
-    A document row carries its vector and the lexical scores it has against the
-    query block (at most one per query of the block). Each task fuses both sides
-    for all its documents and keeps the best ``k`` per query, so the pairs of
-    queries and documents never become rows.
+    Two scans of the index: the first finds what each query is normalised by, the
+    second fuses both sides for every document and keeps the best ``k`` per query and
+    task. Only positive cosines take part. Without a dense side the weight of the
+    lexical one is 1.
     """
-    lexical_scores = stage(lexical_scores, "lexical")
-    lexical_peak = lexical_scores.groupBy("query_id").agg(F.max("score").alias("lexical_peak"))
-    peaks = (
-        queries.join(dense_peaks(vectors, queries), "query_id")
-        .join(lexical_peak, "query_id", "left")
-        .select("query_id", "vec", "dense_peak", F.coalesce("lexical_peak", F.lit(0.0)).alias("lexical_peak"))
-    )
+    peaks = _peaks(index, asked, avg_length, dense)
+    weights = (C.LEXICAL_WEIGHT, C.DENSE_WEIGHT) if dense else (1.0, 0.0)
 
-    def task(block: pa.Table):
-        query_ids = block.column("query_id").to_numpy()
-        query_matrix = matrix(block.column("vec"))
-        dense_peak = block.column("dense_peak").to_numpy()
-        lexical_peak = block.column("lexical_peak").to_numpy()
-        order = np.argsort(query_ids)
+    def task(rows: pa.Table):
+        block = _Block(rows, avg_length, dense)
+        tops = [rows.column(c).to_numpy() for c in ("lexical_peak", "dense_peak")]
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            leaders = Leaders(len(query_ids), k, carried=2)
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                ids = batch.column("doc_id").to_numpy()
-                dense = query_matrix @ matrix(batch.column("vec")).T
-                raw = np.zeros_like(dense)
-                pairs = batch.column("lexical")
-                counts = pa.compute.list_value_length(pairs).fill_null(0).to_numpy()
-                flat = pairs.flatten()
-                owner = flat.field("query_id").to_numpy(zero_copy_only=False)
-                at = np.searchsorted(query_ids, owner, sorter=order)
-                inside = (at < len(query_ids)) & (
-                    query_ids[order[np.minimum(at, len(query_ids) - 1)]] == owner
-                )
-                doc_at = np.repeat(np.arange(batch.num_rows), counts)
-                value = flat.field("score").to_numpy(zero_copy_only=False)
-                raw[order[at[inside]], doc_at[inside]] = value[inside]
-                lexical_part = np.divide(
-                    raw, lexical_peak[:, None], out=np.zeros_like(raw),
-                    where=lexical_peak[:, None] > 0,
-                )
-                dense_part = np.divide(
-                    np.maximum(dense, 0.0), dense_peak[:, None], out=np.zeros_like(dense),
-                    where=dense_peak[:, None] > 0,
+            leaders = Leaders(len(block.query_ids), k, carried=2)
+            for part in slices(batches):
+                raw, cosine = block.scores(part)
+                fused = weights[0] * max_normalised(raw, tops[0]) + weights[1] * max_normalised(
+                    np.maximum(cosine, 0.0), tops[1]
                 )
-                fused = np.round(
-                    C.LEXICAL_WEIGHT * lexical_part + C.DENSE_WEIGHT * dense_part, 6
-                )
-                present = (raw > 0) | (dense > 0)
+                fused = np.round(fused, 6)
                 leaders.add(
-                    np.where(present & (fused > 0), fused, -np.inf), ids,
-                    np.stack([np.round(raw, 6), np.round(dense, 6)]),
+                    np.where(fused > 0, fused, -np.inf), part.column("doc_id").to_numpy(),
+                    np.stack([np.round(raw, 6), np.round(cosine, 6)]),
                 )
-            owner, ids, scores, extra = leaders.rows(query_ids)
-            if extra.size == 0:
-                extra = np.empty((2, 0))
+            owner, ids, scores, extra = leaders.rows(block.query_ids)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(owner.astype(np.int64)), pa.array(ids), pa.array(scores),
-                    pa.array(extra[0]), pa.array(extra[1]),
+                    pa.array(owner, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores),
+                    *[pa.array(side) for side in extra.reshape(2, -1)],
                 ],
                 names=["query_id", "doc_id", "score", "lexical_score", "dense_score"],
             )
 
         return scan
 
-    per_doc = lexical_scores.groupBy("doc_id").agg(
-        F.collect_list(F.struct("query_id", "score")).alias("lexical")
-    )
-    rows = vectors.select("doc_id", "vec").join(per_doc, "doc_id", "left")
-    found = scan_with_blocks(rows, peaks, task, HITS)
+    found = scan_with_blocks(index, asked.join(peaks, "query_id"), task, HITS)
     ranked = top_k(found, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
-    return ranked.select(
-        "query_id", "rank", "doc_id", "score", "lexical_score", "dense_score"
-    )
-
-
-def lexical_only(lexical_scores: DataFrame, k: int) -> DataFrame:
-    """Degraded form: the normalised lexical score alone, weight one."""
-    lexical_scores = stage(lexical_scores, "lexical")
-    peak = lexical_scores.groupBy("query_id").agg(F.max("score").alias("peak"))
-    fused = max_normalised(lexical_scores, peak).select(
-        "query_id", "doc_id",
-        F.round("normalised", 6).alias("score"),
-        F.round("score", 6).alias("lexical_score"),
-        F.lit(0.0).alias("dense_score"),
-    ).filter("score > 0")
-    ranked = top_k(fused, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
-    return ranked.select(
-        "query_id", "rank", "doc_id", "score", "lexical_score", "dense_score"
-    )
+    return ranked.select("query_id", "rank", "doc_id", "score", "lexical_score", "dense_score")
 
 
 def search(
-    docs: DataFrame,
-    queries: DataFrame,
-    vectors: DataFrame | None = None,
-    embedder: HashingEmbedder | None = None,
+    index: DataFrame, queries: DataFrame, embedder: HashingEmbedder | None = None,
     k: int = C.HIT_LIMIT,
 ) -> DataFrame:
     """Hybrid retrieval for a query frame ``(query_id, text)``.
 
-    ``vectors(doc_id, vec, model)`` is a store that may hold several models; only
-    rows of the embedder's own model are read. Without an embedder, or without a
-    vector under its model, the result is lexical only and says so.
+    ``index`` may hold several models; only rows of the embedder's own model are read.
+    Without an embedder, or without a row under its model, the result is lexical only
+    and says so.
     """
-    scores = lexical.score(docs, queries)
-    store = None
-    if embedder is not None and vectors is not None:
-        store = vectors.filter(F.col("model") == embedder.model)
-        if store.isEmpty():
-            store = None
-    if store is None:
-        return lexical_only(scores, k).withColumn("degraded", F.lit(True))
-    asked = stage(
-        embedder.embed(queries, "query_id").select("query_id", "vec"), "query-vectors"
-    )
-    return fused_top_k(scores, store, asked, k).withColumn("degraded", F.lit(False))
+    own = None
+    if embedder is not None and "vec" in index.columns:
+        own = index.filter(F.col("model") == embedder.model)
+        if own.isEmpty():
+            own = None
+    if own is not None:
+        asked, avg_length = weighted_queries(own, queries)
+        asked = asked.join(embedder.embed(queries, "query_id").select("query_id", "vec"), "query_id")
+        hits = fused_top_k(own.select("doc_id", "tokens", "vec"), stage(asked, "asked"), avg_length, k, True)
+        return hits.withColumn("degraded", F.lit(False))
+    words = index
+    if "model" in index.columns:  # each model repeats the tokens; one of them is enough
+        any_model = index.agg(F.min("model").alias("m")).first()["m"]
+        words = index.filter(F.col("model") == F.lit(any_model))
+    asked, avg_length = weighted_queries(words, queries)
+    hits = fused_top_k(words.select("doc_id", "tokens"), stage(asked, "asked"), avg_length, k, False)
+    return hits.withColumn("degraded", F.lit(True))

@@ -1,110 +1,159 @@
-"""BM25 over a corpus frame ``(doc_id, text)``."""
+"""BM25 over a token index ``(doc_id, tokens)``.
+
+The corpus is tokenized once into the index. Document frequencies of the query
+words come from one aggregation over it. Scoring then runs where the documents
+are: each task holds a bounded block of queries and keeps the best ``k`` per
+query, so pairs of queries and documents never become rows, however many
+documents share a word.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone import constants as C
 from lodestone.functions.text import tokenize
 from lodestone.operators.ordered import top_k
+from lodestone.operators.topk_blocks import Leaders, scan_with_blocks
 from lodestone.staging import spread, stage
 
-#: Marks the one row per document that carries its length. Tokens are never
-#: empty, so it cannot collide with a term.
-LENGTH_ROW = ""
+#: Documents scored together; bounds the score matrix of a task.
+SLICE = 512
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """``(query_id, term, qtf)``; a repeated query word counts each time."""
-    tokens = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term"))
-    return tokens.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-
-
-def postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """``(doc_id, term, tf, length)`` plus one length row per document.
-
-    The corpus is tokenized once. With a vocabulary, only its terms survive the
-    join, so the shuffle that counts them carries a small part of the text.
-    """
-    tokenized = spread(docs.select("doc_id", "text")).select(
+def token_index(docs: DataFrame) -> DataFrame:
+    """``(doc_id, tokens)`` of a text frame, written once."""
+    tokens = spread(docs.select("doc_id", "text")).select(
         "doc_id", tokenize(F.col("text")).alias("tokens")
     )
-    exploded = tokenized.select(
-        "doc_id",
-        F.size("tokens").cast("long").alias("length"),
-        F.explode(F.concat(F.array(F.lit(LENGTH_ROW)), F.col("tokens"))).alias("term"),
-    )
-    if vocabulary is not None:
-        wanted = vocabulary.select("term").distinct().union(
-            vocabulary.sparkSession.createDataFrame([(LENGTH_ROW,)], "term string")
-        )
-        exploded = exploded.join(wanted, "term", "left_semi")
-    return exploded.groupBy("doc_id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+    return stage(tokens, "tokens")
 
 
-def corpus_stats(index: DataFrame) -> DataFrame:
-    """One row: number of documents and their average length, empty ones included."""
-    return index.filter(F.col("term") == LENGTH_ROW).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length")
-    )
+def query_terms(queries: DataFrame) -> DataFrame:
+    """``(query_id, term, qtf)``; a repeated query word counts each time."""
+    tokens = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term"))
+    return tokens.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
 def inverse_frequency(n_docs: Column, df: Column) -> Column:
     return F.log(1.0 + (n_docs - df + 0.5) / (df + 0.5))
 
 
-def term_statistics(docs: DataFrame) -> DataFrame:
-    """``(term, df, idf)``, counting each document once before any shuffle."""
-    tokenized = spread(docs.select("doc_id", "text")).select(
-        F.array_distinct(tokenize(F.col("text"))).alias("terms")
-    )
-    counted = (
-        tokenized.select(F.explode(F.concat(F.array(F.lit(LENGTH_ROW)), "terms")).alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
-    counted = stage(counted, "document-frequency")
-    n_docs = counted.filter(F.col("term") == LENGTH_ROW).select("df").scalar()
-    return counted.filter(F.col("term") != LENGTH_ROW).withColumn(
-        "idf", inverse_frequency(n_docs, F.col("df"))
-    )
+def document_frequency(index: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """``(term, df)``. A document counts once per term before anything is shuffled, so
+    a term of every document arrives as one row per task."""
+    terms = index.select(F.explode(F.array_distinct("tokens")).alias("term"))
+    if vocabulary is not None:
+        terms = terms.join(vocabulary.select("term").distinct(), "term", "left_semi")
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def term_weight(tf: Column, length: Column, avg_length: Column, idf: Column) -> Column:
-    relative = F.when(avg_length > 0, length / avg_length).otherwise(1.0)
-    return idf * tf * (C.K1 + 1) / (tf + C.K1 * (1 - C.B + C.B * relative))
+def term_statistics(index: DataFrame) -> DataFrame:
+    """``(term, df, idf)`` of the whole corpus."""
+    n_docs = index.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return document_frequency(index).withColumn("idf", inverse_frequency(n_docs, F.col("df")))
 
 
-def score(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(query_id, doc_id, score)`` for every document that shares a term."""
+def weighted_queries(index: DataFrame, queries: DataFrame) -> tuple[DataFrame, float]:
+    """``(query_id, terms, weights)`` with weights ``qtf * idf``, and the average
+    document length. Documents without tokens count in both statistics."""
+    size = index.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("length")
+    ).first()
     terms = stage(query_terms(queries), "query-terms")
-    index = stage(postings(docs, terms), "postings")
-    return score_index(index, terms)
-
-
-def score_index(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """Score staged postings. A term held by most documents is a large join key;
-    the query side is broadcast when its written size allows, and otherwise the
-    adaptive skew join splits that key."""
-    stats = corpus_stats(index)
-    n_docs = stats.select("n_docs").scalar()
-    avg_length = stats.select("avg_length").scalar()
-    words = index.filter(F.col("term") != LENGTH_ROW)
-    frequency = words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = terms.join(frequency, "term").withColumn(
-        "idf", inverse_frequency(n_docs, F.col("df"))
+    frequency = document_frequency(index, terms)
+    idf = inverse_frequency(F.lit(size["n"]), F.col("df"))
+    weighted = terms.join(frequency, "term").groupBy("query_id").agg(
+        F.collect_list("term").alias("terms"), F.collect_list(F.col("qtf") * idf).alias("weights")
     )
-    matched = words.join(weighted, "term")
-    contribution = F.col("qtf") * term_weight(
-        F.col("tf"), F.col("length"), avg_length, F.col("idf")
+    kept = queries.select("query_id").join(weighted, "query_id", "left")
+    return (
+        kept.select(
+            "query_id", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"),
+            F.coalesce("weights", F.array().cast("array<double>")).alias("weights"),
+        ),
+        float(size["length"]),
     )
-    return matched.groupBy("query_id", "doc_id").agg(F.sum(contribution).alias("score"))
 
 
-def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+class LexicalBlock:
+    """Query words of a block, arranged to be met by the words of documents."""
+
+    def __init__(self, block: pa.Table, avg_length: float) -> None:
+        terms = block.column("terms").combine_chunks()
+        counts = pc.list_value_length(terms).fill_null(0).to_numpy(zero_copy_only=False)
+        encoded = terms.flatten().dictionary_encode()
+        self.vocabulary = encoded.dictionary
+        at = encoded.indices.to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(block.num_rows), counts)
+        weight = block.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        order = np.argsort(at, kind="stable")
+        self.owner, self.weight = owner[order], weight[order]
+        self.starts = np.searchsorted(at[order], np.arange(len(self.vocabulary) + 1))
+        self.n_queries = block.num_rows
+        self.avg_length = avg_length
+
+    def scores(self, tokens: pa.ListArray) -> np.ndarray:
+        """Raw scores, queries by documents."""
+        lengths = pc.list_value_length(tokens).fill_null(0).to_numpy(zero_copy_only=False)
+        out = np.zeros((self.n_queries, len(tokens)))
+        if len(self.vocabulary) == 0:
+            return out
+        term = pc.index_in(tokens.flatten(), value_set=self.vocabulary)
+        term = term.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(len(tokens)), lengths)
+        known = term >= 0
+        pair, tf = np.unique(term[known] * len(tokens) + doc[known], return_counts=True)
+        term, doc = np.divmod(pair, len(tokens))
+        relative = lengths[doc] / self.avg_length if self.avg_length else np.ones(len(doc))
+        weight = tf * (C.K1 + 1) / (tf + C.K1 * (1 - C.B + C.B * relative))
+        edges = np.flatnonzero(np.diff(term, prepend=-1, append=-1))
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            asking = slice(self.starts[term[lo]], self.starts[term[lo] + 1])
+            cells = np.ix_(self.owner[asking], doc[lo:hi])
+            out[cells] += np.outer(self.weight[asking], weight[lo:hi])
+        return out
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
+
+
+def bm25_top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``(query_id, rank, doc_id, score)``. Scores are rounded before ranking so
     equal documents stay tied, and ties go to the smaller id."""
-    rounded = score(docs, queries).withColumn("score", F.round("score", 6))
-    ranked = top_k(rounded, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+    weighted, avg_length = weighted_queries(index, queries)
+
+    def task(block: pa.Table):
+        query_ids = block.column("query_id").to_numpy()
+        lexical = LexicalBlock(block, avg_length)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            leaders = Leaders(len(query_ids), k)
+            for part in slices(batches):
+                scores = np.round(lexical.scores(part.column("tokens")), 6)
+                leaders.add(
+                    np.where(scores > 0, scores, -np.inf), part.column("doc_id").to_numpy()
+                )
+            owner, ids, scores, _ = leaders.rows(query_ids)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(owner, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores)],
+                names=["query_id", "doc_id", "score"],
+            )
+
+        return scan
+
+    found = scan_with_blocks(
+        index.select("doc_id", "tokens"), weighted, task,
+        "query_id long, doc_id long, score double",
+    )
+    ranked = top_k(found, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
     return ranked.select("query_id", "rank", "doc_id", "score")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone import constants as C
 from lodestone.functions import rules as R
 from lodestone.functions.text import has_marker, is_claim, sentences, words
-from lodestone.operators import budget, cache, citations, dense, evidence, hybrid, router, runs
+from lodestone.operators import budget, cache, citations, evidence, hybrid, router, runs
 from lodestone.operators.dense import HashingEmbedder
 from lodestone.plans import sql
 from lodestone.plans.tables import corpus, table
@@ -278,8 +278,8 @@ def _orchestrated(spark, folder):
     """Every user turn is a run; the recorded texts come from the turn after it."""
     asked = stage(_asked(spark, folder), "asked")
     docs = corpus(spark, folder)
-    vectors = stage(HashingEmbedder().embed(docs), "vectors")
-    hits = stage(hybrid.search(docs, asked, vectors, HashingEmbedder()), "hits")
+    index = hybrid.build_index(docs, HashingEmbedder())
+    hits = stage(hybrid.search(index, asked, HashingEmbedder()), "hits")
     verdicts = evidence.assess(asked, hits, docs).select(
         F.col("query_id").alias("run_id"), "verdict"
     )

@@ -143,9 +143,9 @@ def _assessed(spark, folder):
             (F.col("document_id") * 1000 + F.col("ordinal")).alias("doc_id"), F.col("body").alias("text")
         ), "chunk-texts",
     )
-    vectors = stage(HashingEmbedder().embed(docs), "chunk-vectors")
     queries = asked.select("query_id", "text")
-    hits = stage(hybrid.search(docs, queries, vectors, HashingEmbedder()), "hits")
+    index = hybrid.build_index(docs, HashingEmbedder())
+    hits = stage(hybrid.search(index, queries, HashingEmbedder()), "hits")
     judged = evidence.assess(queries, hits, docs).join(
         asked.select("query_id", "label", "gold_chunk_id", "gold_document_id"), "query_id"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone import constants as C
-from lodestone.operators import dense, evidence, hybrid, rerank
+from lodestone.operators import dense, evidence, hybrid, lexical, rerank
 from lodestone.plans import sql
 from lodestone.plans.tables import benchmark_queries, corpus, table
 from lodestone.staging import stage
@@ -57,19 +57,14 @@ def inverted_list_recall(spark, folder):
 
 
 def hash_embedding(spark, folder):
-    weights = dense.hashed_weights(corpus(spark, folder))
+    weights = dense.hashed_weights(dense.tokens_by_key(corpus(spark, folder)))
     return weights.select("doc_id", "idx", (F.round("w", 6) + 0.0).alias("w"))
 
 
-def document_vectors(spark, folder):
-    return stage(dense.HashingEmbedder().embed(corpus(spark, folder)), "vectors")
-
-
 def _hits(spark, folder, k=C.HIT_LIMIT):
-    return hybrid.search(
-        corpus(spark, folder), benchmark_queries(spark, folder),
-        document_vectors(spark, folder), dense.HashingEmbedder(), k,
-    )
+    embedder = dense.HashingEmbedder()
+    index = hybrid.build_index(corpus(spark, folder), embedder)
+    return hybrid.search(index, benchmark_queries(spark, folder), embedder, k)
 
 
 def hybrid_search(spark, folder):
@@ -78,13 +73,10 @@ def hybrid_search(spark, folder):
 
 def hybrid_degraded(spark, folder):
     """The store holds vectors of another model only, which is a miss."""
-    other = table(spark, folder, "embeddings").select(
-        F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"),
-        F.lit("other-model").alias("model"),
-    )
-    return hybrid.search(
-        corpus(spark, folder), benchmark_queries(spark, folder), other, dense.HashingEmbedder()
+    other = lexical.token_index(corpus(spark, folder)).withColumns(
+        {"vec": F.array(F.lit(1.0)), "model": F.lit("other-model")}
     )
+    return hybrid.search(other, benchmark_queries(spark, folder), dense.HashingEmbedder())
 
 
 def evidence_verdict(spark, folder):

@@ -13,11 +13,12 @@ from lodestone.staging import spread
 
 
 def bm25_topk(spark, folder):
-    return lexical.bm25_top_k(corpus(spark, folder), benchmark_queries(spark, folder), 5)
+    index = lexical.token_index(corpus(spark, folder))
+    return lexical.bm25_top_k(index, benchmark_queries(spark, folder), 5)
 
 
 def term_statistics(spark, folder):
-    stats = lexical.term_statistics(corpus(spark, folder))
+    stats = lexical.term_statistics(lexical.token_index(corpus(spark, folder)))
     return stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
