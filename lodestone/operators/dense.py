@@ -27,8 +27,14 @@ def hashed_weights(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     Every grouping begins with the key and reuses that partitioning, so the features,
     several times the size of the text, are never shuffled.
     """
-    features = tokens.select(key, F.explode(embedding_features(F.col("tokens"))).alias("feature"))
-    counted = features.groupBy(key, "feature").agg(F.count(F.lit(1)).alias("n"))
+    # Equal tokens are counted before they are cut into grams.
+    words = tokens.select(key, F.explode("tokens").alias("token")).groupBy(key, "token").agg(
+        F.count(F.lit(1)).alias("times")
+    )
+    features = words.select(
+        key, F.explode(embedding_features(F.array("token"))).alias("feature"), "times"
+    )
+    counted = features.groupBy(key, "feature").agg(F.sum("times").alias("n"))
     digest = F.crc32(F.col("feature").cast("binary"))
     sign = F.when(F.shiftright(digest, 16).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)
     signed = counted.select(
