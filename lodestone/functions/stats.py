@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lodestone import constants as C
 
@@ -79,7 +80,7 @@ def sample_size(baseline: Column, difference: Column, alpha: float = 0.05, power
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mcnemar_p(only_a: pd.Series, only_b: pd.Series) -> pd.Series:
     """Exact two-sided p-value from the two discordant counts.
 

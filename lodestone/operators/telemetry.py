@@ -7,6 +7,7 @@ import random
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lodestone import constants as C
 from lodestone.operators.graph import affected
@@ -146,7 +147,7 @@ def development(
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _noisy(seed: pd.Series, mean: pd.Series, sigma: pd.Series) -> pd.Series:
     """Seeded value per point; the generator is seeded anew for every point, so the
     result does not depend on partitioning."""

@@ -23,11 +23,8 @@ def scan_markdown(spark: SparkSession, root: str) -> DataFrame:
     One row per file; files are listed and read by the executors' scan. The page
     that lists what the corpus leaves out is never indexed.
     """
-    files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.md")
-        .text(root)
+    files = spark.read.text(
+        root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md"
     )
     path = F.col("_metadata.file_path")
     return files.select(
