@@ -198,23 +198,31 @@ def property_transfer_questions(
     """A property some passage states, asked of every entity it is not stated for.
 
     ``properties(position, prop, documented_for, proof_terms)``,
-    ``entities(position, entity)``. The list of entities is checked against a bound
-    before it is laid beside each property.
+    ``entities(position, entity)``. Entities are laid beside each property in blocks
+    of a fixed size, as many as it takes.
     """
-    if entities.count() > ENTITY_BLOCK:
-        raise ValueError(f"more than {ENTITY_BLOCK} entities; ask in several passes")
+    entities = stage(entities, "entities")
+    n = entities.count()
+    entities = stage(
+        row_numbers(entities, [F.col("position")], "_row", materialise=False), "entity-blocks"
+    )
     proof = properties.select(F.col("position").alias("topic"), F.col("proof_terms").alias("terms"))
     documented = properties.join(
         stated(proof, chunks).withColumnRenamed("topic", "position"), "position", "left_semi"
     )
-    listed = entities.agg(
-        F.sort_array(F.collect_list(F.struct(F.col("position").alias("at"), "entity"))).alias("e")
-    ).scalar()
-    pairs = documented.select(
-        "position", "prop", "documented_for", F.explode(listed).alias("e")
-    ).select("position", "prop", "documented_for", "e.at", "e.entity").filter(
-        ~F.contains(F.col("documented_for"), F.col("entity"))
-    )
+    documented = stage(documented, "documented-properties")
+    pairs: DataFrame | None = None
+    for start in range(0, max(n, 1), ENTITY_BLOCK):
+        block = entities.filter((F.col("_row") > start) & (F.col("_row") <= start + ENTITY_BLOCK))
+        listed = block.agg(
+            F.collect_list(F.struct(F.col("position").alias("at"), "entity")).alias("e")
+        ).scalar()
+        part = documented.select(
+            "position", "prop", "documented_for", F.explode(listed).alias("e")
+        ).select("position", "prop", "documented_for", "e.at", "e.entity").filter(
+            ~F.contains(F.col("documented_for"), F.col("entity"))
+        )
+        pairs = part if pairs is None else pairs.unionByName(part)
     pairs = stage(pairs, "property-pairs")
     both = pairs.select(
         F.struct("position", "at").alias("topic"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,14 @@ from pyspark.sql import functions as F
 from lodestone import constants as C
 from lodestone.functions.text import embedding_features, tokenize
 from lodestone.operators.ordered import top_k
-from lodestone.operators.topk_blocks import Leaders, best, matrix, scan_with_blocks
+from lodestone.operators.topk_blocks import (
+    QUERY_BLOCK,
+    Leaders,
+    best,
+    matrix,
+    scan_with_blocks,
+    slices,
+)
 from lodestone.staging import stage
 
 NEIGHBOURS = "query_id long, id long, score double"
@@ -119,9 +127,7 @@ def exact_neighbours(
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             leaders = Leaders(len(query_ids), k)
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
+            for batch in slices(batches):
                 ids = batch.column("id").to_numpy()
                 scores = np.round(query_matrix @ matrix(batch.column("vec")).T, 6)
                 if exclude_self:
@@ -171,7 +177,13 @@ class InvertedLists:
         )
 
     def search(self, queries: DataFrame, k: int, probes: int = C.IVF_PROBES) -> DataFrame:
+        """``(query_id, rank, id, score)`` from the ``probes`` nearest lists.
+
+        A task scores one cell against one block of queries, both of bounded size.
+        """
         centres, probes = self.centres, min(probes, len(self.centres))
+        queries = stage(queries, "queries")
+        n_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
 
         def nearest_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -195,10 +207,12 @@ class InvertedLists:
         visits = visits.join(self.cells, "list").select(
             "query_id", "vec", "list",
             F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"),
+            F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int").alias("block"),
         )
         members = self.assigned.join(self.cells, "list").select(
             "id", F.col("vec").cast("array<double>").alias("vec"), "list",
             F.pmod(F.xxhash64("id"), F.col("cells")).cast("int").alias("cell"),
+            F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),
         )
 
         def score_cell(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -224,8 +238,8 @@ class InvertedLists:
             )
 
         found = (
-            visits.groupBy("list", "cell")
-            .cogroup(members.groupBy("list", "cell"))
+            visits.groupBy("list", "cell", "block")
+            .cogroup(members.groupBy("list", "cell", "block"))
             .applyInArrow(score_cell, NEIGHBOURS)
         )
         ranked = top_k(found, ["query_id"], [F.desc("score"), F.asc("id")], k)

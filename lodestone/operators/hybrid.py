@@ -11,22 +11,25 @@ from pyspark.sql import functions as F
 
 from lodestone import constants as C
 from lodestone.operators.dense import HashingEmbedder
-from lodestone.operators.lexical import LexicalBlock, slices, weighted_queries
+from lodestone.operators.lexical import LexicalBlock, weighted_queries
 from lodestone.operators.ordered import top_k
-from lodestone.operators.topk_blocks import Leaders, matrix, scan_with_blocks
-from lodestone.staging import stage
+from lodestone.operators.topk_blocks import Leaders, matrix, scan_with_blocks, slices
+from lodestone.staging import new_path, stage
 
 HITS = "query_id long, doc_id long, score double, lexical_score double, dense_score double"
 
 
 def build_index(docs: DataFrame, embedder: HashingEmbedder) -> DataFrame:
-    """``(doc_id, tokens, vec, model)``: one written row per document and model.
+    """``(doc_id, tokens, vec, n_tokens, model)``: one written row per document and model.
 
     Tokens and vector lie side by side, so a search reads them in one scan and joins
     nothing. The model is the partition folder: a search under one model reads only
-    its files.
+    its files. There is one model per build, so the rows go straight to its folder.
     """
-    return stage(embedder.index(docs), "index", ["model"])
+    path = new_path(docs.sparkSession, "index")
+    rows = embedder.index(docs).drop("model").withColumn("n_tokens", F.size("tokens"))
+    rows.write.parquet(f"{path}/model={embedder.model}")
+    return docs.sparkSession.read.schema(rows.schema.add("model", "string")).parquet(path)
 
 
 class _Block:

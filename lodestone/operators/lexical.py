@@ -1,4 +1,4 @@
-"""BM25 over a token index ``(doc_id, tokens)``.
+"""BM25 over a token index ``(doc_id, tokens, n_tokens)``.
 
 The corpus is tokenized once into the index. Document frequencies of the query
 words come from one aggregation over it. Scoring then runs where the documents
@@ -20,19 +20,15 @@ from pyspark.sql import functions as F
 from lodestone import constants as C
 from lodestone.functions.text import tokenize
 from lodestone.operators.ordered import top_k
-from lodestone.operators.topk_blocks import Leaders, scan_with_blocks
+from lodestone.operators.topk_blocks import Leaders, scan_with_blocks, slices
 from lodestone.staging import spread, stage
 
-#: Documents scored together; bounds the score matrix of a task.
-SLICE = 512
-
-
 def token_index(docs: DataFrame) -> DataFrame:
-    """``(doc_id, tokens)`` of a text frame, written once."""
+    """``(doc_id, tokens, n_tokens)`` of a text frame, written once."""
     tokens = spread(docs.select("doc_id", "text")).select(
         "doc_id", tokenize(F.col("text")).alias("tokens")
     )
-    return stage(tokens, "tokens")
+    return stage(tokens.withColumn("n_tokens", F.size("tokens")), "tokens")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -64,7 +60,7 @@ def weighted_queries(index: DataFrame, queries: DataFrame) -> tuple[DataFrame, f
     """``(query_id, terms, weights)`` with weights ``qtf * idf``, and the average
     document length. Documents without tokens count in both statistics."""
     size = index.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("length")
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("n_tokens"), F.lit(0.0)).alias("length")
     ).first()
     terms = stage(query_terms(queries), "query-terms")
     frequency = document_frequency(index, terms)
@@ -121,12 +117,6 @@ class LexicalBlock:
         return out
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, SLICE):
-            yield batch.slice(start, SLICE)
-
-
 def bm25_top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``(query_id, rank, doc_id, score)``. Scores are rounded before ranking so
     equal documents stay tied, and ties go to the smaller id."""

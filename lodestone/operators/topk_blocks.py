@@ -8,7 +8,6 @@ block and keeps only the best ``k`` per query.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +20,14 @@ from lodestone.staging import stage
 
 #: Rows of one broadcast block of queries (4096 x 768 doubles is 24 MiB).
 QUERY_BLOCK = 4096
+#: Candidates scored together; with the query block it bounds a task's score matrix.
+SLICE = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -79,16 +86,19 @@ class Leaders:
         self.ids = [np.empty(0, dtype=np.int64) for _ in range(n_queries)]
         self.scores = [np.empty(0) for _ in range(n_queries)]
         self.extra = [np.empty((carried, 0)) for _ in range(n_queries)]
+        self.worst = np.full(n_queries, -np.inf)  # what a candidate has to reach
 
     def add(self, scores: np.ndarray, ids: np.ndarray, extra: np.ndarray | None = None) -> None:
         """``scores`` is queries by candidates; ``extra`` adds carried values per cell."""
-        for q, at in enumerate(best(scores, ids, self.k)):
-            if at.size == 0:
-                continue
+        top = scores.max(axis=1, initial=-np.inf)
+        open_queries = np.flatnonzero((top > -np.inf) & (top >= self.worst))
+        for q, at in zip(open_queries, best(scores[open_queries], ids, self.k), strict=True):
             all_ids = np.concatenate([self.ids[q], ids[at]])
             all_scores = np.concatenate([self.scores[q], scores[q, at]])
             order = np.lexsort((all_ids, -all_scores))[: self.k]
             self.ids[q], self.scores[q] = all_ids[order], all_scores[order]
+            if len(order) == self.k:
+                self.worst[q] = self.scores[q][-1]
             if extra is not None:
                 both = np.concatenate([self.extra[q], extra[:, q, at]], axis=1)
                 self.extra[q] = both[:, order]
@@ -119,6 +129,3 @@ def scan_with_blocks(
         return vectors.sparkSession.createDataFrame([], schema)
     return out
 
-
-def task_count(n_rows: int, rows_per_task: int = 50_000) -> int:
-    return max(1, math.ceil(n_rows / rows_per_task))

@@ -83,7 +83,7 @@ def test_bm25_equals_brute_force_for_any_query_block(spark, docs, queries, block
 
 
 def test_bm25_cuts_to_k_and_slices_do_not_matter(docs, queries, monkeypatch):
-    monkeypatch.setattr(lexical, "SLICE", 2)
+    monkeypatch.setattr(topk_blocks, "SLICE", 2)
     got = lexical.bm25_top_k(lexical.token_index(docs), queries, 1).collect()
     assert {(r.query_id, r.doc_id) for r in got} == {(10, 5), (11, 1), (13, 2)}
 
@@ -111,6 +111,7 @@ def test_neighbours_equal_numpy_with_ties_and_without_self(spark):
 
 def test_inverted_lists_with_all_lists_are_exact_even_when_split(spark, monkeypatch):
     monkeypatch.setattr(dense, "ROWS_PER_CELL", 30)
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 3)
     rng = np.random.default_rng(2)
     rows = [(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rng.normal(size=(250, 6)))]
     frame = spark.createDataFrame(rows, "id long, vec array<double>")
