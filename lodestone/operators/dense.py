@@ -36,7 +36,8 @@ def hashed_weights(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     several times the size of the text, are never shuffled.
     """
     # Equal tokens are counted before they are cut into grams.
-    words = tokens.select(key, F.explode("tokens").alias("token")).groupBy(key, "token").agg(
+    # The outer form asks for no filter below the exchange, so readers share it.
+    words = tokens.select(key, F.explode_outer("tokens").alias("token")).groupBy(key, "token").agg(
         F.count(F.lit(1)).alias("times")
     )
     features = words.select(
@@ -70,7 +71,9 @@ def hashed_index(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     entries = hashed_weights(tokens, key).groupBy(key).agg(
         F.collect_list("idx").alias("idx"), F.collect_list("w").alias("w")
     )
-    rows = tokens.join(entries, key, "left")  # both sides are partitioned by key
+    # Both sides are partitioned by key already. The estimate of the right side knows
+    # nothing of the explode, so the join that needs no estimate is asked for.
+    rows = tokens.join(entries.hint("merge"), key, "left")
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
