@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from lodestone import constants as C
 from lodestone.functions.text import strip, tokenize
 from lodestone.operators.ordered import ROWS_PER_RANGE, row_numbers, top_k
-from lodestone.operators.telemetry import applicable
 from lodestone.staging import stage
 
 
@@ -43,6 +42,16 @@ def _none() -> Column:
     return F.lit(None).cast("string")
 
 
+def first_per_runtime(services: DataFrame, k: int) -> DataFrame:
+    """``(position, name, runtime)`` of the first ``k`` services of each runtime. The first
+    ``k`` over several runtimes are among these, so no pattern meets every service."""
+    kept = top_k(
+        services.select("position", "name", "runtime"), ["runtime"],
+        [F.asc("position"), F.asc("name")], k,
+    )
+    return kept.drop("rank")
+
+
 def symptom_questions(services: DataFrame, patterns: DataFrame, signals: DataFrame) -> DataFrame:
     """Primary signal times template; template ``i`` names applicable service ``i mod n``.
 
@@ -50,11 +59,11 @@ def symptom_questions(services: DataFrame, patterns: DataFrame, signals: DataFra
     as many as there are templates, whatever the size of the estate.
     """
     n_templates = len(C.SYMPTOM_TEMPLATES)
-    able = applicable(services, patterns).join(
-        services.select(F.col("id").alias("service_id"), "position", "name"), "service_id"
-    )
-    counts = able.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n_services"))
-    named = top_k(able, ["pattern_id"], [F.asc("position"), F.asc("service_id")], n_templates).select(
+    able = patterns.select(F.col("id").alias("pattern_id"), F.explode("runtimes").alias("runtime"))
+    sizes = services.groupBy("runtime").agg(F.count(F.lit(1)).alias("n"))
+    counts = able.join(sizes, "runtime").groupBy("pattern_id").agg(F.sum("n").alias("n_services"))
+    first = first_per_runtime(services, n_templates).join(able, "runtime")
+    named = top_k(first, ["pattern_id"], [F.asc("position"), F.asc("name")], n_templates).select(
         "pattern_id", (F.col("rank") - 1).cast("long").alias("slot"), F.col("name").alias("service")
     )
     runbooks = patterns.select(F.col("id").alias("pattern_id"), "runbook_id")
@@ -259,7 +268,7 @@ def presupposition_questions(
         F.col("id").alias("pattern_id"), F.col("position").alias("p"),
         F.explode(F.array_except(runtimes, F.col("runtimes"))).alias("runtime"),
     )
-    paired = services.select("position", "name", "runtime").join(unable, "runtime")
+    paired = first_per_runtime(services, C.PRESUPPOSITION_SERVICES).join(unable, "runtime")
     six = top_k(paired, ["pattern_id"], [F.asc("position"), F.asc("name")], C.PRESUPPOSITION_SERVICES)
     rows = stage(six.join(first, "pattern_id"), "wrong-services")
     both = rows.select(

@@ -9,6 +9,7 @@ from lodestone.functions import rules as R
 from lodestone.functions.text import has_marker, is_claim, sentences, words
 from lodestone.operators import budget, cache, citations, evidence, hybrid, router, runs
 from lodestone.operators.dense import HashingEmbedder
+from lodestone.operators.ordered import top_k
 from lodestone.plans import sql
 from lodestone.plans.tables import corpus, table
 from lodestone.staging import stage
@@ -192,19 +193,20 @@ def _answers(spark, folder):
 
 
 def _answer_hits(spark, folder):
-    """Six passages of evidence per answer: the other turns of its conversation first."""
+    """Six passages of evidence per answer: the longest other turns of its conversation.
+
+    The ranking is the conversation's own, so it is cut to six before the answers are
+    joined and a long conversation gives six rows per answer, not all pairs.
+    """
     turns = table(spark, folder, "conversations")
-    answers = turns.filter("role = 'assistant'").select(
-        "conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("run_id")
-    )
     passages = turns.filter("role <> 'assistant'").select(
         "conv_id", "turn", F.length("text").alias("n")
     )
-    joined = answers.join(passages, "conv_id")
-    from lodestone.operators.ordered import top_k
-
-    ranked = top_k(joined, ["run_id"], [F.desc("n"), F.asc("turn")], C.HIT_LIMIT)
-    return ranked.select(
+    six = top_k(passages, ["conv_id"], [F.desc("n"), F.asc("turn")], C.HIT_LIMIT)
+    answers = turns.filter("role = 'assistant'").select(
+        "conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("run_id")
+    )
+    return answers.join(six, "conv_id").select(
         "run_id", "rank", F.format_string("c%d#%02d", "conv_id", "turn").alias("chunk_id"),
         (1.0 / F.col("rank")).alias("score"),
     )
@@ -540,6 +542,16 @@ def _risk_sql(key: str) -> str:
                 FROM src))"""
 
 
+_REASON = """CASE
+            WHEN base = 'critical' THEN 'the proposal is not reversible by redeploying'
+            WHEN base = 'high' THEN 'a state-changing action on a Tier 0 service'
+            WHEN verb IN ('restart', 'roll back') THEN 'a state-changing action outside the Tier 0 path'
+            WHEN zero THEN 'advice concerning a Tier 0 service'
+            ELSE 'no state-changing action proposed' END
+            || CASE WHEN workload = 'change_review' AND {key} % 5 = 0
+                THEN '; escalated because this service was rolled back recently' ELSE '' END"""
+
+
 _ASKED = "SELECT conv_id * 1000 + turn AS query_id, text FROM conversations WHERE role = 'user'"
 _UNCITED = (
     f"len(list_filter({_SENTENCES.format('{0}')}, lambda s: {_IS_CLAIM.format('s')} "
@@ -669,14 +681,7 @@ ORACLE = {
         FROM answers LEFT JOIN u USING (run_id) LEFT JOIN m USING (run_id)""",
     "risk_scoring": f"""
         WITH src AS (SELECT o_orderkey FROM orders), r AS ({_risk_sql('o_orderkey')})
-        SELECT o_orderkey, risk, CASE
-            WHEN base = 'critical' THEN 'the proposal is not reversible by redeploying'
-            WHEN base = 'high' THEN 'a state-changing action on a Tier 0 service'
-            WHEN verb IN ('restart', 'roll back') THEN 'a state-changing action outside the Tier 0 path'
-            WHEN zero THEN 'advice concerning a Tier 0 service'
-            ELSE 'no state-changing action proposed' END
-            || CASE WHEN workload = 'change_review' AND o_orderkey % 5 = 0
-                THEN '; escalated because this service was rolled back recently' ELSE '' END AS reason,
+        SELECT o_orderkey, risk, {_REASON.format(key='o_orderkey')} AS reason,
             risk IN ('high', 'critical') AS needs_approval FROM r""",
     "orchestrated_runs": f"""
         WITH {_STATE}
@@ -693,6 +698,26 @@ ORACLE = {
                 THEN ['escalate'] WHEN 'awaiting_approval' THEN ['propose_action', 'risk_gate', 'await_approval']
                 ELSE ['propose_action', 'risk_gate', 'emit'] END) FROM state)
         SELECT node, count(*) AS visits, CAST(0 AS BIGINT) AS illegal_moves FROM v GROUP BY node""",
+    "stage_payloads": f"""
+        WITH {_STATE},
+        p AS (SELECT *, 'Please ' || ({_VERBS})[run_id % 6 + 1] || CASE WHEN run_id % 4 = 0
+            THEN ' the Tier 0 service' ELSE ' the batch service' END AS proposal,
+            {_REASON.format(key='run_id')} AS reason
+            FROM state JOIN (SELECT run_id, verb, zero, base FROM risky) USING (run_id)),
+        e AS (
+            SELECT unnest(['classify', 'retrieve']) AS node, 2 AS n FROM p
+            UNION ALL SELECT 'assess_evidence', length(to_json({{'verdict': verdict}})) FROM p
+            UNION ALL SELECT 'adjudicate', length(to_json({{'verdict': verdict}})) FROM p WHERE adjudicated
+            UNION ALL SELECT 'hypothesise', CASE WHEN hypothesis IS NULL THEN length(to_json({{'attempts': attempts}}))
+                ELSE length(to_json({{'attempts': attempts, 'text': hypothesis}})) END
+                FROM p, range(3) t(i) WHERE i < attempts
+            UNION ALL SELECT 'verify', CASE WHEN uncited IS NULL THEN 2
+                ELSE length(to_json({{'uncited': uncited}})) END FROM p, range(3) t(i) WHERE i < attempts
+            UNION ALL SELECT 'propose_action', length(to_json({{'proposal': proposal}})) FROM p WHERE risk IS NOT NULL
+            UNION ALL SELECT 'risk_gate', length(to_json({{'risk': risk, 'reason': reason}})) FROM p WHERE risk IS NOT NULL
+            UNION ALL SELECT CASE status WHEN 'refused' THEN 'refuse' WHEN 'escalated' THEN 'escalate'
+                WHEN 'completed' THEN 'emit' ELSE 'await_approval' END, length(to_json({{'status': status}})) FROM p)
+        SELECT node, count(*) AS events, CAST(sum(n) AS BIGINT) AS payload_chars FROM e GROUP BY node""",
     "saved_run_rows": f"""
         WITH {_STATE}
         SELECT CAST(run_id AS VARCHAR) AS run_id, CAST(run_id // 1000 AS VARCHAR) AS session_id, status,

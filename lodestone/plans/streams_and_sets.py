@@ -117,7 +117,49 @@ QUERIES = {
     )
 }
 
+_NEVER = "CAST('-Infinity' AS DOUBLE)"
+
+
+def _failover_sql() -> str:
+    """One recursion step per request; the providers are nested one inside the next."""
+    n = len(_PROVIDERS)
+    step = """SELECT r.session_id, r.i, r.seq, r.now_s, false AS served, '' AS attempts, '' AS provider, """
+    step += ", ".join(f"w.c{i}, w.u{i}, r.o{i}" for i in range(n))
+    step += " FROM walk w JOIN req r ON r.session_id = w.session_id AND r.i = w.i + 1"
+    for i in range(n):
+        kept = ", ".join(
+            f"c{j}, u{j}, o{j}" if j != i else f"""CASE WHEN NOT tried THEN c{j}
+                WHEN o{j} = 'success' THEN 0 WHEN o{j} = 'rate_limited' THEN base + 1 ELSE base END AS c{j},
+                CASE WHEN NOT tried THEN u{j} WHEN o{j} = 'success' THEN {_NEVER}
+                WHEN o{j} = 'rate_limited' THEN CASE WHEN base + 1 < 8 THEN {_NEVER} ELSE now_s + 600 END
+                ELSE now_s + 60 END AS u{j}, o{j}"""
+            for j in range(n)
+        )
+        name = _PROVIDERS[i]
+        step = f"""SELECT session_id, i, seq, now_s, served OR (tried AND o{i} = 'success') AS served,
+            attempts || CASE WHEN NOT tried THEN '' WHEN attempts = '' THEN '{name}' ELSE ',{name}' END
+                AS attempts,
+            CASE WHEN tried AND o{i} = 'success' THEN '{name}' ELSE provider END AS provider, {kept}
+            FROM (SELECT *, NOT served AND now_s >= u{i} AS tried,
+                CASE WHEN u{i} > {_NEVER} THEN 0 ELSE c{i} END AS base FROM ({step}))"""
+    kinds = """(['rate_limited', 'success', 'transport_error', 'rate_limited', 'success',
+        'rate_limited', 'rate_limited'])"""
+    outcomes = ", ".join(f"{kinds}[event_id * {i + 2} % 7 + 1] AS o{i}" for i in range(n))
+    state = ", ".join(f"c{i}, u{i}, o{i}" for i in range(n))
+    start = ", ".join(f"0 AS c{i}, {_NEVER} AS u{i}, '' AS o{i}" for i in range(n))
+    return f"""
+        WITH RECURSIVE req AS (
+            SELECT user_id AS session_id, event_id AS seq, epoch_us(ts) / 1e6 AS now_s,
+                row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, {outcomes} FROM events),
+        walk AS (
+            SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS seq,
+                '' AS attempts, '' AS provider, {start} FROM req
+            UNION ALL SELECT session_id, i, seq, attempts, provider, {state} FROM ({step}))
+        SELECT session_id, seq, attempts, nullif(provider, '') AS provider FROM walk WHERE i > 0"""
+
+
 ORACLE = {
+    "provider_failover": _failover_sql(),
     "circuit_breaker": """
         WITH RECURSIVE calls AS (
             SELECT 'p' || user_id AS provider, event_id AS seq, epoch_us(ts) / 1e6 AS now_s,
