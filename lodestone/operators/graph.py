@@ -121,3 +121,21 @@ def cycle_path(core: DataFrame) -> list | None:
         path.append(node)
         node = following.filter(F.col("upstream_id") == F.lit(node)).first()["next"]
     return [*path[path.index(node) :], node]
+
+
+def downstream_of(edges: DataFrame, node) -> DataFrame:
+    """What ``node`` depends on directly."""
+    return edges.filter(F.col("upstream_id") == F.lit(node)).select(F.col("downstream_id").alias("node"))
+
+
+def upstream_of(edges: DataFrame, node) -> DataFrame:
+    """What depends on ``node`` directly."""
+    return edges.filter(F.col("downstream_id") == F.lit(node)).select(F.col("upstream_id").alias("node"))
+
+
+def lookup_one(rows: DataFrame, column: str, value):
+    """The row with this id; an unknown id is an error."""
+    found = rows.filter(F.col(column) == F.lit(value)).limit(1).collect()
+    if not found:
+        raise KeyError(value)
+    return found[0]

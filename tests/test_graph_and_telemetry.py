@@ -116,3 +116,12 @@ def test_window_has_76_steps_and_far_services_move_later(points):
     ).first()
     assert contrast is None or contrast.fault_max > 10 * contrast.baseline_mean
     assert sampled.filter("hops > 0").count() > 0
+
+
+def test_direct_neighbours(spark):
+    edges = estate.dependencies(spark)
+    assert {r.node for r in graph.upstream_of(edges, "svc-config").collect()} == {"svc-edge-gateway", "svc-pricing"}
+    assert {r.node for r in graph.downstream_of(edges, "svc-pricing").collect()} == {"svc-config"}
+    assert graph.lookup_one(estate.services(spark), "id", "svc-config").tier == 2
+    with pytest.raises(KeyError):
+        graph.lookup_one(estate.services(spark), "id", "nobody")

@@ -121,3 +121,31 @@ def test_migration_edits_are_seen_and_reformatting_is_not(spark):
         ("0002_b.sql", "edited after it was applied"), ("0009", "applied but missing"),
     }
     assert [r.version for r in K.pending_migrations(files.filter("file <> 'bad.sql'"), applied).collect()] == [4]
+
+
+def test_every_table_can_be_made_and_checked(spark):
+    from lodestone import schemas
+
+    empty = {name: spark.createDataFrame([], ddl) for name, ddl in schemas.TABLES.items()}
+    assert len(empty) == 18 and schemas.violations(empty).isEmpty()
+
+
+def test_broken_rows_are_reported(spark):
+    from lodestone import schemas
+
+    def rows(name, *values):
+        return spark.createDataFrame(list(values), schemas.TABLES[name])
+
+    tables = {
+        "document": rows("document", ("d", "poem", "t", "u", None)),
+        "chunk": rows("chunk", ("c", "d", 0, None, "b", 1), ("e", "gone", 0, None, "", 1)),
+        "approval": rows("approval", (1, "r", "a", "high", None, "approved", None, None), (2, "r", "a", "low", None, None, None, None)),
+    }
+    assert {r.rule: r.n for r in schemas.violations(tables).collect()} == {
+        "document: kind IN ('runbook', 'postmortem', 'policy', 'architecture')": 1,
+        "chunk: length(body) > 0": 1, "chunk: document_id in document": 1,
+        "approval: unique run_id": 1, "approval: (decision IS NULL) = (decided_at IS NULL)": 1,
+        "approval: (decision IS NULL) = (decided_by IS NULL)": 1,
+    }
+    with pytest.raises(ValueError, match="unknown"):
+        schemas.violations({"nothing": tables["chunk"]})
