@@ -18,47 +18,34 @@ def reserve(
     A call is refused if it would take its run past the ceiling, and a refused
     call holds nothing, so one running sum is right only up to the first refusal.
     Each round therefore refuses every open call dearer than what its run has
-    left, sums the rest, accepts up to the first call that no longer fits and goes
-    on after it. What is left of a run falls with every round, so the open calls
-    fall quickly; sums run over ranges, so a run with very many calls is shared
-    out. Prices are whole units and sums exact.
+    left, sums the rest and accepts the calls whose sum still fits: sums only grow,
+    so these are the ones before the first refusal. What is left of a run falls with
+    every round, so the open calls fall quickly; sums run over ranges, so a run with
+    very many calls is shared out. Prices are whole units and sums exact.
     """
     if ceiling_units <= 0:
         raise ValueError("a budget ceiling must be positive")
     calls = stage(calls.select("run_id", "seq", "units"), "calls")
-    held = calls.select("run_id").distinct().withColumn("held", F.lit(0).cast("long"))
-    open_calls = calls
+    open_calls = calls.withColumn("held", F.lit(0).cast("long"))
     accepted: DataFrame | None = None
     while True:
-        fitting = stage(
-            open_calls.join(held, "run_id").filter(F.col("held") + F.col("units") <= ceiling_units),
-            "fitting-calls",
-        )
-        if fitting.isEmpty():
-            break
+        fitting = open_calls.filter(F.col("held") + F.col("units") <= ceiling_units)
         summed = stage(
             running_totals(
-                fitting, [F.col("seq")], {"total": F.col("units")}, ["run_id"], rows_per_range,
-                materialise=False,
+                fitting, [F.col("seq")], {"total": F.col("units")}, ["run_id"], rows_per_range
             ),
             "summed-calls",
         )
-        over = F.col("held") + F.col("total") > ceiling_units
-        first_over = summed.groupBy("run_id").agg(F.min(F.when(over, F.col("seq"))).alias("stop"))
-        judged = summed.join(first_over, "run_id")
-        taken = stage(
-            judged.filter(F.col("stop").isNull() | (F.col("seq") < F.col("stop"))).select(
-                "run_id", "seq",
-                (F.col("held") + F.col("total") - F.col("units")).alias("reserved_before"),
-                "units",
-            ),
-            "accepted-calls",
-        )
-        accepted = taken if accepted is None else accepted.unionByName(taken)
-        held = stage(
-            accepted.groupBy("run_id").agg(F.sum("units").alias("held")), "held"
+        if summed.isEmpty():
+            break
+        reached = F.col("held") + F.col("total")
+        taken = summed.filter(reached <= ceiling_units)
+        part = taken.select("run_id", "seq", (reached - F.col("units")).alias("reserved_before"))
+        accepted = part if accepted is None else accepted.unionByName(part)
+        held = taken.groupBy("run_id").agg(F.max(reached).alias("held"))
+        open_calls = summed.filter(reached > ceiling_units).select("run_id", "seq", "units").join(
+            held, "run_id"
         )
-        open_calls = judged.filter(F.col("seq") > F.col("stop")).select("run_id", "seq", "units")
     if accepted is None:
         return calls.select(
             "run_id", "seq", "units", F.lit(False).alias("accepted"),
