@@ -37,7 +37,7 @@ def main() -> None:
     def noop(frame) -> None:
         frame.write.format("noop").mode("overwrite").save()
 
-    noop(registered["tokenize_counts"](spark, folder))  # start the workers
+    noop(registered["hybrid_search"](spark, folder))  # start the workers, warm the JVM
     times = {}
     for name in HEADLINE:
         times[name] = timed(lambda name=name: noop(registered[name](spark, folder)))
@@ -52,7 +52,7 @@ def main() -> None:
     n = vectors.count()
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
-        "queries": times, "sf": os.path.basename(folder.rstrip("/")),
+        "queries": times, "sf": os.path.basename(folder.rstrip("/")), "warm": True,
         "vector_rows": n,
         "exact_ms_per_query": round(times["exact_768_50_queries"] * 1000 / 50, 2),
         "inverted_lists_ms_per_query": round(times["inverted_lists_768_50_queries"] * 1000 / 50, 2),
