@@ -33,3 +33,10 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+@query("op10_licence_scan")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from lodestone.llm.licences import scan
+
+    return scan(documents(spark, folder))
