@@ -40,3 +40,24 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     from lodestone.llm.licences import scan
 
     return scan(documents(spark, folder))
+
+
+def _joined(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query("op6_personal_data")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from lodestone.llm.personal_data import KINDS, find
+
+    found = find(documents(spark, folder))
+    counts = [
+        F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}")
+        for k in KINDS
+    ]
+    return found.select(
+        "doc_id", *counts,
+        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
+        _joined(F.sort_array(F.concat("base", "added"))).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
