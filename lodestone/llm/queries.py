@@ -61,3 +61,16 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
         _joined(F.sort_array(F.concat("base", "added"))).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
     )
+
+
+@query("op9_quality_classifier")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    from lodestone.llm.quality import train, with_score
+
+    docs = documents(spark, folder).select("doc_id", "text")
+    network = train(docs, table(spark, folder, "labels"))
+    scored = with_score(docs, network)
+    return scored.select(
+        "doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
