@@ -74,3 +74,26 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score",
         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
     )
+
+
+@query("op8_warc_zip", """
+    WITH p AS (
+        SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest FROM pages
+    ), f AS (SELECT digest, min(page_id) AS first FROM p GROUP BY digest),
+    bits AS (
+        SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+            ('0b' || substr(b, 5 * i + 1, 5)) AS INTEGER), 1), '' ORDER BY i) AS payload_digest
+        FROM (SELECT page_id, string_agg(lpad(bin(CAST('0x' || c AS INTEGER)), 4, '0'), '' ORDER BY k) AS b
+              FROM (SELECT page_id, k, digest[k] AS c FROM p, range(1, 41) r(k)) GROUP BY page_id),
+             range(0, 32) q(i)
+        GROUP BY page_id
+    )
+    SELECT p.page_id, strlen(html) AS payload_bytes, payload_digest,
+        CASE WHEN p.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN p.page_id = f.first THEN NULL ELSE f.first END AS refers_to
+    FROM p JOIN f USING (digest) JOIN bits USING (page_id)
+""")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from lodestone.llm.warc_zip import read, write
+
+    return read(write(table(spark, folder, "pages"))).drop("url")
