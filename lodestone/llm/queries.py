@@ -97,3 +97,20 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     from lodestone.llm.warc_zip import read, write
 
     return read(write(table(spark, folder, "pages"))).drop("url")
+
+
+@query("op5_exact_dedup", """
+    SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+""")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from lodestone.llm.exact import mark_duplicates
+
+    docs = documents(spark, folder)
+    small = docs.select(
+        "doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    )
+    return mark_duplicates(small).select(
+        "row.doc_id", "keep_id", "group_size", "kept", "row.text_sha256"
+    )
