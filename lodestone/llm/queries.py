@@ -114,3 +114,13 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return mark_duplicates(small).select(
         "row.doc_id", "keep_id", "group_size", "kept", "row.text_sha256"
     )
+
+
+@query("op7_token_records")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodestone.llm.token_records import read, write
+
+    index = write(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+    return read(index)
