@@ -124,3 +124,61 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 
     index = write(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
     return read(index)
+
+
+@query("op2_sentencepiece")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodestone.llm.pieces import round_trip
+
+    return round_trip(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _decontamination_sql() -> str:
+    from lodestone.llm.decontaminate import UNITS
+
+    units = ", ".join(f"'{u}'" for u in UNITS)
+    digit = "substr({0}, 1, 1) BETWEEN '0' AND '9'"
+
+    def form(name: str) -> str:
+        return (
+            f"list_transform(words, lambda w, i: CASE WHEN {digit.format('w')} THEN '<n>' "
+            f"WHEN i > 1 AND lower(w) IN ({units}) AND {digit.format('words[greatest(i - 1, 1)]')} "
+            f"THEN '<u>' {name}ELSE lower(w) END)")
+
+    def windows(table: str, key: str) -> str:
+        return " UNION ALL ".join(
+            f"SELECT {key}, {f} AS form, i AS pos, t[i + 1 : i + 8] AS w FROM "
+            f"(SELECT {key}, {form(name)} AS t FROM {table}), "
+            "LATERAL (SELECT unnest(range(0, len(t) - 7)) AS i)"
+            for f, name in ((0, ""), (1, "WHEN lower(w) <> w THEN '<p>' ")))
+
+    split = "list_filter(regexp_split_to_array(coalesce(text, ''), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+    return f"""
+        WITH d AS (SELECT doc_id, {split} AS words FROM documents),
+        b AS (SELECT item_id, {split} AS words FROM benchmark),
+        dw AS ({windows('d', 'doc_id')}),
+        bw AS (SELECT * FROM ({windows('b', 'item_id')})
+               WHERE len(list_filter(w, lambda x: x NOT IN ('<n>', '<u>', '<p>'))) >= 4),
+        totals AS (SELECT item_id, count(DISTINCT pos) AS windows FROM bw GROUP BY item_id),
+        g AS (SELECT doc_id, item_id, dw.pos - bw.pos AS shift, list(DISTINCT bw.pos) AS places
+              FROM dw JOIN bw USING (form, w) GROUP BY ALL),
+        e AS (SELECT * FROM g JOIN totals USING (item_id) WHERE len(places) >= 0.5 * windows),
+        p AS (SELECT DISTINCT doc_id, item_id, shift, windows, len(places) AS matched, q + k AS place
+              FROM e, LATERAL (SELECT unnest(places) AS q), range(0, 8) r(k)),
+        v AS (SELECT p.*, lower(b.words[place + 1]) AS x, lower(d.words[place + shift + 1]) AS y
+              FROM p JOIN b USING (item_id) JOIN d USING (doc_id)),
+        j AS (SELECT doc_id, item_id, shift, windows, matched,
+                  count(*) FILTER (WHERE x <> y) AS changed
+              FROM v GROUP BY ALL HAVING count(DISTINCT (x, y)) = count(DISTINCT x))
+        SELECT doc_id, item_id, unnest(max_by({{'matched': matched, 'windows': windows, 'changed': changed}},
+            (matched, -changed))) FROM j GROUP BY doc_id, item_id
+    """
+
+
+@query("op3_benchmark_decontamination", _decontamination_sql())
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from lodestone.llm.decontaminate import contaminated
+
+    return contaminated(documents(spark, folder), table(spark, folder, "benchmark"))
