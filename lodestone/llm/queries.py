@@ -182,3 +182,25 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     from lodestone.llm.decontaminate import contaminated
 
     return contaminated(documents(spark, folder), table(spark, folder, "benchmark"))
+
+
+@query("op1_substring_dedup", """
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS words FROM documents
+    ), w AS (
+        SELECT doc_id, i AS start, sha256(array_to_string(words[i + 1 : i + 50], ' ')) AS h
+        FROM d, LATERAL (SELECT unnest(range(0, len(words) - 49)) AS i)
+    ), f AS (SELECT h, min(doc_id) AS first FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+    gone AS (
+        SELECT DISTINCT doc_id, start + k AS place FROM w JOIN f USING (h), range(0, 50) r(k)
+        WHERE doc_id > first
+    ), g AS (SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id)
+    SELECT doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+        sha256(array_to_string(CASE WHEN places IS NULL THEN words ELSE list_filter(
+            words, lambda x, i: NOT list_contains(places, i - 1)) END, ' ')) AS kept_sha256
+    FROM d LEFT JOIN g USING (doc_id)
+""")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from lodestone.llm.substrings import remove_repeats
+
+    return remove_repeats(documents(spark, folder))
