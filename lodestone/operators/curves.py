@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -16,32 +16,31 @@ from lodestone.staging import stage
 
 
 def grouped_scores(scored: DataFrame) -> DataFrame:
-    """One row per distinct score: ties stay together and copies collapse early."""
+    """One row per distinct score: ties stay together and copies collapse early.
+
+    ``bad`` counts labels other than 0 and 1, for ``validated`` to refuse.
+    """
     return scored.groupBy("score").agg(
-        F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")
+        F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"),
+        F.count_if(F.col("label").isNull() | ~F.col("label").isin(0, 1)).alias("bad"),
     )
 
 
 def validated(groups: DataFrame) -> DataFrame:
-    """Fail on no rows, a missing class or a score that is not a number."""
+    """Fail on no rows, a label other than 0 or 1, a missing class or a score that is no number."""
     bad = groups.agg(
         F.sum("p").alias("p"), F.sum("n").alias("n"),
-        F.max(F.isnan("score") | F.col("score").isNull()).alias("nan"),
+        F.max(F.isnan("score") | F.col("score").isNull()).alias("nan"), F.sum("bad").alias("bad"),
     ).first()
     if bad["p"] is None:
         raise ValueError("no observations")
+    if bad["bad"]:
+        raise ValueError("labels must be 0 or 1")
     if not bad["p"] or not bad["n"]:
         raise ValueError("both classes must be present; a one-class set has no curve")
     if bad["nan"]:
         raise ValueError("scores must be numbers")
-    return groups
-
-
-def check_labels(scored: DataFrame) -> None:
-    """Labels must be 0 or 1; reported from a count, not from the rows."""
-    bad = scored.filter(~F.col("label").isin(0, 1) | F.col("label").isNull())
-    if not bad.isEmpty():
-        raise ValueError("labels must be 0 or 1")
+    return groups.drop("bad")
 
 
 def cumulative(scored: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
@@ -134,7 +133,7 @@ def youden_point(points: DataFrame) -> DataFrame:
 
 
 def budget_point(points: DataFrame, limit: float) -> DataFrame:
-    """Most sensitive point within a false-positive budget; empty if there is none."""
+    """Most sensitive point within a false-positive budget; an error if there is none."""
     eligible = points.filter(F.col("false_positive_rate") <= limit)
     order = F.struct(
         "true_positive_rate", (-F.col("false_positive_rate")).alias("low_fpr"), "threshold"
@@ -153,66 +152,117 @@ def refusal_point(points: DataFrame, lost: float) -> DataFrame:
 
 def _pick(points: DataFrame, chooser, order: Column) -> DataFrame:
     row = F.struct("threshold", "false_positive_rate", "true_positive_rate")
-    return points.agg(chooser(row, order).alias("r")).filter("r IS NOT NULL").select("r.*")
+    found = F.coalesce(chooser(row, order), F.raise_error(F.lit("no point of the curve is within the budget")))
+    return points.agg(found.alias("r")).select("r.*")
+
+
+class Statistic(Protocol):
+    """A number of a resample, put together from sums over ranges of scores.
+
+    ``partial`` gets the scores of a range, best first, and the drawn counts of positives
+    and negatives (replicates by scores); it returns one array per name in ``sums``.
+    ``value`` makes the number from the columns named in ``sums`` and from ``p`` and ``n``,
+    summed over all ranges; ``carry`` names pairs (a, b): a times the ``p`` of better ranges
+    is added to b. A null value leaves the replicate out.
+    """
+
+    sums: tuple[str, ...]
+    carry: tuple[tuple[str, str], ...]
+
+    def partial(self, scores: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]: ...
+
+    def value(self) -> Column: ...
+
+
+class Auc:
+    """Area under the ROC curve."""
 
+    sums = ("area",)
+    carry = (("n", "area"),)
 
-def bootstrap_auc(
-    scored: DataFrame,
-    resamples: int = 2000,
-    confidence: float = 0.95,
-    seed: int = C.SEED,
-    rows_per_range: int = 20_000,
+    def partial(self, scores: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        return ((n * (np.cumsum(p, axis=1) - p / 2)).sum(1),)
+
+    def value(self) -> Column:
+        return F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("area") / (F.col("p") * F.col("n")))
+
+
+class Accuracy:
+    """Share of rows on their side of a threshold."""
+
+    sums = ("right",)
+    carry = ()
+
+    def __init__(self, threshold: float) -> None:
+        self.threshold = threshold
+
+    def partial(self, scores: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        above = scores >= self.threshold
+        return (p[:, above].sum(1) + n[:, ~above].sum(1),)
+
+    def value(self) -> Column:
+        return F.try_divide(F.col("right"), F.col("p") + F.col("n"))
+
+
+def bootstrap(
+    scored: DataFrame, statistic: Statistic, resamples: int = 2000, confidence: float = 0.95,
+    seed: int = C.SEED, rows_per_range: int = 20_000,
 ) -> DataFrame:
-    """Percentile interval of the AUC.
+    """Percentile interval ``(low, high, used)`` of any ``Statistic``.
 
-    Every distinct score keeps its two counts, and a replicate draws a Poisson
-    number for each of them: the large-sample form of resampling rows. A range of
-    scores reports three sums per replicate, so what is shuffled is replicates
-    times ranges and not replicates times rows. Replicates that miss a class are
-    left out.
+    Every distinct score keeps its two counts, and a replicate draws a Poisson number for
+    each of them: the large-sample form of resampling rows. The generator is seeded by the
+    score itself, so the draws do not depend on how rows are laid out or split in ranges.
+    A range reports a few sums per replicate; what is shuffled is replicates times ranges.
     """
     groups = validated(stage(grouped_scores(scored), "scores"))
     rows = ranged(groups, [F.desc("score")], rows_per_range, materialise=False)
+    names = ["p", "n", *statistic.sums]
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("score", ascending=False)
-        number = int(pdf[RANGE].iloc[0])
-        rng = np.random.default_rng([seed, number])
-        out = []
-        for start in range(0, resamples, 100):
-            size = (min(100, resamples - start), len(pdf))
-            p = rng.poisson(pdf["p"].to_numpy(), size).astype(float)
-            n = rng.poisson(pdf["n"].to_numpy(), size).astype(float)
-            above = np.cumsum(p, axis=1) - p / 2
-            out.append(np.column_stack([
-                np.arange(start, start + size[0]), p.sum(1), n.sum(1), (n * above).sum(1)
-            ]))
-        table = pd.DataFrame(np.concatenate(out), columns=["replicate", "p", "n", "area"])
-        return table.assign(part=number)
-
-    parts = rows.groupBy(RANGE).applyInPandas(
-        draw, "replicate double, p double, n double, area double, part int"
-    )
+        scores = pdf["score"].to_numpy(dtype=float)
+        sums = np.zeros((len(names), resamples))
+        carried = np.zeros(resamples)
+        for start in range(0, len(pdf), 500):
+            part = pdf.iloc[start : start + 500]
+            p = np.empty((resamples, len(part)))
+            n = np.empty((resamples, len(part)))
+            bits = scores[start : start + 500].view(np.uint64)
+            for i, (positives, negatives) in enumerate(zip(part["p"], part["n"], strict=True)):
+                rng = np.random.default_rng([seed, int(bits[i])])
+                p[:, i], n[:, i] = rng.poisson(positives, resamples), rng.poisson(negatives, resamples)
+            made = [p.sum(1), n.sum(1), *statistic.partial(scores[start : start + 500], p, n)]
+            for a, b in statistic.carry:
+                made[names.index(b)] = made[names.index(b)] + made[names.index(a)] * carried
+            carried = carried + made[0]
+            sums += np.array(made)
+        table = pd.DataFrame(sums.T, columns=names)
+        return table.assign(replicate=np.arange(resamples), part=int(pdf[RANGE].iloc[0]))
+
+    schema = ", ".join(f"{c} double" for c in names) + ", replicate int, part int"
+    parts = rows.groupBy(RANGE).applyInPandas(draw, schema)
     before = Window.partitionBy("replicate").orderBy("part").rowsBetween(
         Window.unboundedPreceding, -1
     )
     placed = parts.withColumn("p_before", F.coalesce(F.sum("p").over(before), F.lit(0.0)))
-    estimates = placed.groupBy("replicate").agg(
-        F.sum("p").alias("p"), F.sum("n").alias("n"),
-        F.sum(F.col("area") + F.col("n") * F.col("p_before")).alias("area"),
-    ).filter("p > 0 AND n > 0").select((F.col("area") / (F.col("p") * F.col("n"))).alias("auc"))
+    for a, b in statistic.carry:
+        placed = placed.withColumn(b, F.col(b) + F.col(a) * F.col("p_before"))
+    estimates = placed.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in names]).select(
+        statistic.value().alias("e")
+    ).filter("e IS NOT NULL")
     tail = (1.0 - confidence) / 2
     # ``resamples`` numbers at most, whatever the table holds.
-    ordered = estimates.agg(F.sort_array(F.collect_list("auc")).alias("e")).withColumn(
-        "m", F.size("e")
-    )
+    ordered = estimates.agg(F.sort_array(F.collect_list("e")).alias("e")).withColumn("m", F.size("e"))
     low = F.greatest(F.lit(0), F.floor(tail * F.col("m"))).cast("int")
     high = F.least(F.col("m") - 1, F.ceil((1 - tail) * F.col("m")) - 1).cast("int")
+    return ordered.select(F.get("e", low).alias("low"), F.get("e", high).alias("high"), F.col("m").alias("used"))
+
+
+def bootstrap_auc(scored: DataFrame, **options) -> DataFrame:
+    """``(point, low, high, used)`` of the AUC; options as for ``bootstrap``."""
     point = auc_both_ways(scored).select("auc_rank_sum").scalar()
-    return ordered.select(
-        point.alias("point"), F.get("e", low).alias("low"), F.get("e", high).alias("high"),
-        F.col("m").alias("used"),
-    )
+    return bootstrap(scored, Auc(), **options).select(point.alias("point"), "low", "high", "used")
 
 
 def rank_metrics(judged: DataFrame) -> DataFrame:

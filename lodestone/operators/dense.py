@@ -160,13 +160,18 @@ ROWS_PER_CELL = 50_000
 class InvertedLists:
     """Vectors clustered into lists; a query visits only its nearest lists.
 
-    A list with very many vectors is split into cells of a bounded size, so one
-    dense region does not become one task.
+    The number of lists grows with the vectors unless ``most_lists`` (published:
+    ``IVF_MAX_LISTS``) bounds it. A list with very many vectors is split into cells of a
+    bounded size, so one dense region does not become one task.
     """
 
-    def __init__(self, vectors: DataFrame, seed: int = C.SEED, max_iter: int = 10) -> None:
+    def __init__(
+        self, vectors: DataFrame, seed: int = C.SEED, max_iter: int = 10, most_lists: int | None = None
+    ) -> None:
         n = vectors.count()
-        self.lists = max(1, min(n // C.IVF_ROWS_PER_LIST, C.IVF_MAX_LISTS))
+        self.lists = max(1, n // C.IVF_ROWS_PER_LIST)
+        if most_lists is not None:
+            self.lists = min(self.lists, most_lists)
         prepared = vectors.select("id", "vec", array_to_vector("vec").alias("features"))
         model = KMeans(k=self.lists, seed=seed, maxIter=max_iter).fit(prepared)
         self.centres = np.array(model.clusterCenters())

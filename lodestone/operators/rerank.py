@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Protocol
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone import constants as C
@@ -34,43 +32,6 @@ class OverlapScorer:
         return F.when(either > 0, shared / either).otherwise(0.0)
 
 
-class OnnxScorer:
-    """A cross-encoder in an ONNX file next to its tokenizer, loaded once per task."""
-
-    def __init__(self, model_path: str, tokenizer_path: str, max_tokens: int = C.RERANK_MAX_TOKENS):
-        self.model_path, self.tokenizer_path = model_path, tokenizer_path
-        self.max_tokens = max_tokens
-
-    def score(self, question: Column, passage: Column) -> Column:
-        model_path, tokenizer_path = self.model_path, self.tokenizer_path
-        max_tokens = self.max_tokens
-
-        @F.pandas_udf("double")
-        def logits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            import numpy as np
-            import onnxruntime
-            from tokenizers import Tokenizer
-
-            options = onnxruntime.SessionOptions()
-            options.intra_op_num_threads = options.inter_op_num_threads = 1
-            session = onnxruntime.InferenceSession(model_path, options)
-            tokenizer = Tokenizer.from_file(tokenizer_path)
-            tokenizer.enable_truncation(max_length=max_tokens)
-            tokenizer.enable_padding()
-            wanted = {i.name for i in session.get_inputs()}
-            for questions, passages in batches:
-                encoded = tokenizer.encode_batch(list(zip(questions, passages, strict=True)))
-                feed = {
-                    "input_ids": np.array([e.ids for e in encoded], dtype=np.int64),
-                    "attention_mask": np.array([e.attention_mask for e in encoded], dtype=np.int64),
-                    "token_type_ids": np.array([e.type_ids for e in encoded], dtype=np.int64),
-                }
-                out = session.run(None, {k: v for k, v in feed.items() if k in wanted})[0]
-                yield pd.Series(np.asarray(out).reshape(len(encoded), -1)[:, 0].astype("float64"))
-
-        return logits(question, passage)
-
-
 def rerank(
     hits: DataFrame, queries: DataFrame, docs: DataFrame, scorer: Scorer, k: int | None = None
 ) -> DataFrame:
@@ -87,25 +48,29 @@ def rerank(
         F.when(F.isnan("score") | F.col("score").isNull(), F.raise_error(F.lit("score is not a number")))
         .otherwise(F.col("score")),
     )
-    ranked = top_k(
-        checked.select("query_id", "doc_id", "first_rank", "score"), ["query_id"],
-        [F.desc("score"), F.asc("first_rank")], k if k is not None else 2_147_483_647,
-    )
+    scored = checked.select("query_id", "doc_id", "first_rank", "score")
+    order = [F.desc("score"), F.asc("first_rank")]
+    if k is None:
+        ranked = scored.withColumn(
+            "rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+        )
+    else:
+        ranked = top_k(scored, ["query_id"], order, k)
     return ranked.select("query_id", "rank", "doc_id", "first_rank", "score")
 
 
 def hard_negatives(
     hits: DataFrame, gold: DataFrame, seed: int = C.SEED
 ) -> DataFrame:
-    """Training pairs: the best gold hits and a seeded choice of other hits.
+    """Training pairs: the best ranked gold hits and a seeded choice of other hits.
 
     ``hits(query_id, rank, doc_id)`` are the first candidates of every question,
     ``gold(query_id, gold_id)`` the document that answers it.
     """
     judged = hits.join(gold, "query_id").withColumn("is_gold", F.col("doc_id") == F.col("gold_id"))
     positive = top_k(
-        judged.filter("is_gold").drop("rank").withColumn("order", F.col("doc_id")),
-        ["query_id"], [F.asc("order")], C.POSITIVES_PER_QUESTION,
+        judged.filter("is_gold").withColumnRenamed("rank", "first_rank"),
+        ["query_id"], [F.asc("first_rank"), F.asc("doc_id")], C.POSITIVES_PER_QUESTION,
     ).select("query_id", "doc_id", F.lit(1.0).alias("label"))
     missing = gold.join(positive, "query_id", "left_anti").select(
         "query_id", F.col("gold_id").alias("doc_id"), F.lit(1.0).alias("label")

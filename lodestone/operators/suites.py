@@ -57,17 +57,8 @@ def core(assessed: DataFrame, reached: DataFrame) -> DataFrame:
     })
 
 
-def first_per_class(assessed: DataFrame, size: int | None) -> DataFrame:
-    """All questions, or the first ``size`` of each class in id order."""
-    if size is None:
-        return assessed
-    placed = row_numbers(assessed, [F.col("query_id")], "_place", ["label"])
-    return placed.filter(F.col("_place") <= size).drop("_place")
-
-
 def probe(
-    assessed: DataFrame, gold_ranks: DataFrame, value_absent: DataFrame,
-    class_size: int | None = C.PROBE_CLASS_SIZE,
+    assessed: DataFrame, gold_ranks: DataFrame, value_absent: DataFrame
 ) -> DataFrame:
     """Known limits, reported and never blocking.
 
@@ -79,7 +70,7 @@ def probe(
     ceiling = F.max(F.when(F.col("label") == "unanswerable", score)).alias("ceiling")
     share = gold_ranks.agg(F.coalesce(F.avg(F.col("is_first").cast("double")), F.lit(0.0)).alias("s"))
     hard = value_absent.agg(F.max("combined_score").alias("s"))
-    counted = first_per_class(assessed, class_size).agg(floor, ceiling).withColumns(
+    counted = assessed.agg(floor, ceiling).withColumns(
         {"share": share.scalar(), "hard": hard.scalar()}
     )
     return _rows(counted, "probe", {

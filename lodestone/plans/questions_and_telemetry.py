@@ -178,7 +178,7 @@ def probe_suite(spark, folder):
         "query_id", F.coalesce(F.col("first_chunk") == F.col("gold_chunk_id"), F.lit(False)).alias("is_first")
     )
     hard = assessed.filter("label = 'unanswerable'").select("combined_score")
-    return suites.probe(assessed, gold, hard, class_size=None).withColumn(
+    return suites.probe(assessed, gold, hard).withColumn(
         "value", F.round("value", 5)
     )
 

@@ -51,11 +51,11 @@ def decode_events(buffers: DataFrame, column: str, schema: str) -> DataFrame:
     )
     lines = F.split("_frame", "\n")
     kind = F.trim(
-        F.substring(
+        F.regexp_replace(
             F.coalesce(
                 F.try_element_at(F.filter(lines, lambda x: x.startswith("event: ")), F.lit(-1)),
                 F.lit(""),
-            ), 8, 1_000_000,
+            ), "^event: ", "",
         )
     )
     payload = F.array_join(

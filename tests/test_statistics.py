@@ -58,18 +58,30 @@ def test_invalid_input_is_refused(spark):
     with pytest.raises(ValueError, match="numbers"):
         curves.roc_points(frame(spark, [1, float("nan")], [1, 0]))
     with pytest.raises(ValueError, match="labels"):
-        curves.check_labels(frame(spark, [1.0], [2]))
+        curves.roc_points(frame(spark, [1.0, 2.0, 3.0], [2, 1, 0]))
 
 
 def test_bootstrap_is_seeded_and_covers(spark, sample):
     df = frame(spark, *sample)
     one = curves.bootstrap_auc(df, resamples=300, rows_per_range=20).first()
-    two = curves.bootstrap_auc(df.repartition(3), resamples=300, rows_per_range=20).first()
-    assert one == two
+    two = curves.bootstrap_auc(df.repartition(3), resamples=300, rows_per_range=1000).first()
+    assert one == two  # neither the layout nor the ranges matter
     assert one.low < one.point < one.high and one.used == 300
     assert 0.02 < one.high - one.low < 0.2
 
 
+def test_bootstrap_of_another_statistic(spark, sample):
+    row = curves.bootstrap(frame(spark, *sample), curves.Accuracy(0.5), resamples=300).first()
+    right = sum((s >= 0.5) == bool(y) for s, y in zip(*sample, strict=True)) / len(sample[0])
+    assert row.low < right < row.high and row.used == 300 and row.high - row.low < 0.2
+
+
+def test_no_point_within_budget_is_an_error(spark):
+    points = curves.roc_points(frame(spark, [2, 1], [0, 1])).where("threshold < 2")
+    with pytest.raises(Exception, match="budget"):
+        curves.budget_point(points, 0.5).collect()
+
+
 def test_published_intervals(spark):
     df = spark.createDataFrame([(15, 319), (9, 396), (0, 50), (50, 50)], "s long, n long")
     rows = [r.w for r in df.select(S.wilson(F.col("s"), F.col("n")).alias("w")).collect()]
