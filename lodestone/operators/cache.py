@@ -39,10 +39,11 @@ def lookup(
         )
         vectors = embedder.embed(candidates, "entry_id").select(F.col("entry_id").alias("id"), "vec")
         asked = embedder.embed(open_prompts.select("query_id", "text"), "query_id")
-        near = exact_neighbours(vectors, asked.select("query_id", "vec"), 1)
+        near = exact_neighbours(vectors, asked.select("query_id", "vec"), 1, exact_scores=True)
         found = near if found is None else found.unionByName(near)
+    # The threshold meets the score itself; only what is reported is rounded.
     similar = found.filter(F.col("score") >= threshold).select(
-        "query_id", F.col("id").alias("near_id"), F.col("score").alias("near_score")
+        "query_id", F.col("id").alias("near_id"), F.round("score", 6).alias("near_score")
     )
     answered = exact.join(similar, "query_id", "left").select(
         "prompt_hash", "model_tier",

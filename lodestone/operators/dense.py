@@ -117,30 +117,34 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def exact_neighbours(
-    vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False
+    vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False,
+    exact_scores: bool = False,
 ) -> DataFrame:
     """``(query_id, rank, id, score)`` over all ``vectors(id, vec)``.
 
-    Scores are rounded to six decimals before ranking; ties go to the smaller id.
+    Scores are rounded to six decimals before ranking unless ``exact_scores``; ties go to
+    the smaller id.
     """
 
-    def task(block: pa.Table):
-        query_ids = block.column("query_id").to_numpy()
-        query_matrix = matrix(block.column("vec"))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            leaders = Leaders(len(query_ids), k)
-            for batch in slices(batches):
-                ids = batch.column("id").to_numpy()
-                scores = np.round(query_matrix @ matrix(batch.column("vec")).T, 6)
-                if exclude_self:
-                    scores[query_ids[:, None] == ids[None, :]] = -np.inf
-                leaders.add(scores, ids)
-            yield neighbour_rows(leaders, query_ids)
-
-        return scan
-
-    found = scan_with_blocks(vectors.select("id", "vec"), queries, task, NEIGHBOURS)
+    class Task:
+        def __init__(self, block: pa.Table) -> None:
+            self.query_ids = block.column("query_id").to_numpy()
+            self.asked = matrix(block.column("vec"))
+            self.leaders = Leaders(len(self.query_ids), k)
+
+        def add(self, part: pa.RecordBatch) -> None:
+            ids = part.column("id").to_numpy()
+            scores = self.asked @ matrix(part.column("vec")).T
+            if not exact_scores:
+                scores = np.round(scores, 6)
+            if exclude_self:
+                scores[self.query_ids[:, None] == ids[None, :]] = -np.inf
+            self.leaders.add(scores, ids)
+
+        def rows(self) -> pa.RecordBatch:
+            return neighbour_rows(self.leaders, self.query_ids)
+
+    found = scan_with_blocks(vectors.select("id", "vec"), queries, Task, NEIGHBOURS)
     ranked = top_k(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
     return ranked.select("query_id", "rank", "id", "score")
 

@@ -50,23 +50,23 @@ class _Block:
 def _peaks(index: DataFrame, asked: DataFrame, avg_length: float, dense: bool) -> DataFrame:
     """Highest raw score of every query on either side; one row per task and query."""
 
-    def task(rows: pa.Table):
-        block = _Block(rows, avg_length, dense)
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            top = np.zeros((2, len(block.query_ids)))
-            for part in slices(batches):
-                for side, scores in enumerate(block.scores(part)):
-                    top[side] = np.maximum(top[side], scores.max(axis=1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block.query_ids), pa.array(top[0]), pa.array(top[1])],
+    class Task:
+        def __init__(self, rows: pa.Table) -> None:
+            self.block = _Block(rows, avg_length, dense)
+            self.top = np.zeros((2, len(self.block.query_ids)))
+
+        def add(self, part: pa.RecordBatch) -> None:
+            for side, scores in enumerate(self.block.scores(part)):
+                self.top[side] = np.maximum(self.top[side], scores.max(axis=1))
+
+        def rows(self) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(self.block.query_ids), pa.array(self.top[0]), pa.array(self.top[1])],
                 names=["query_id", "lexical_peak", "dense_peak"],
             )
 
-        return scan
-
     per_task = scan_with_blocks(
-        index, asked, task, "query_id long, lexical_peak double, dense_peak double"
+        index, asked, Task, "query_id long, lexical_peak double, dense_peak double"
     )
     return per_task.groupBy("query_id").agg(
         F.max("lexical_peak").alias("lexical_peak"), F.max("dense_peak").alias("dense_peak")
@@ -92,24 +92,26 @@ def fused_top_k(
     peaks = _peaks(index, asked, avg_length, dense)
     weights = (C.LEXICAL_WEIGHT, C.DENSE_WEIGHT) if dense else (1.0, 0.0)
 
-    def task(rows: pa.Table):
-        block = _Block(rows, avg_length, dense)
-        tops = [rows.column(c).to_numpy() for c in ("lexical_peak", "dense_peak")]
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            leaders = Leaders(len(block.query_ids), k, carried=2)
-            for part in slices(batches):
-                raw, cosine = block.scores(part)
-                fused = weights[0] * max_normalised(raw, tops[0]) + weights[1] * max_normalised(
-                    np.maximum(cosine, 0.0), tops[1]
-                )
-                fused = np.round(fused, 6)
-                leaders.add(
-                    np.where(fused > 0, fused, -np.inf), part.column("doc_id").to_numpy(),
-                    np.stack([np.round(raw, 6), np.round(cosine, 6)]),
-                )
-            owner, ids, scores, extra = leaders.rows(block.query_ids)
-            yield pa.RecordBatch.from_arrays(
+    class Task:
+        def __init__(self, rows: pa.Table) -> None:
+            self.block = _Block(rows, avg_length, dense)
+            self.tops = [rows.column(c).to_numpy() for c in ("lexical_peak", "dense_peak")]
+            self.leaders = Leaders(len(self.block.query_ids), k, carried=2)
+
+        def add(self, part: pa.RecordBatch) -> None:
+            raw, cosine = self.block.scores(part)
+            fused = weights[0] * max_normalised(raw, self.tops[0]) + weights[1] * max_normalised(
+                np.maximum(cosine, 0.0), self.tops[1]
+            )
+            fused = np.round(fused, 6)
+            self.leaders.add(
+                np.where(fused > 0, fused, -np.inf), part.column("doc_id").to_numpy(),
+                np.stack([np.round(raw, 6), np.round(cosine, 6)]),
+            )
+
+        def rows(self) -> pa.RecordBatch:
+            owner, ids, scores, extra = self.leaders.rows(self.block.query_ids)
+            return pa.RecordBatch.from_arrays(
                 [
                     pa.array(owner, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores),
                     *[pa.array(side) for side in extra.reshape(2, -1)],
@@ -117,9 +119,7 @@ def fused_top_k(
                 names=["query_id", "doc_id", "score", "lexical_score", "dense_score"],
             )
 
-        return scan
-
-    found = scan_with_blocks(index, asked.join(peaks, "query_id"), task, HITS)
+    found = scan_with_blocks(index, asked.join(peaks, "query_id"), Task, HITS)
     ranked = top_k(found, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
     return ranked.select("query_id", "rank", "doc_id", "score", "lexical_score", "dense_score")
 

@@ -122,27 +122,25 @@ def bm25_top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     equal documents stay tied, and ties go to the smaller id."""
     weighted, avg_length = weighted_queries(index, queries)
 
-    def task(block: pa.Table):
-        query_ids = block.column("query_id").to_numpy()
-        lexical = LexicalBlock(block, avg_length)
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            leaders = Leaders(len(query_ids), k)
-            for part in slices(batches):
-                scores = np.round(lexical.scores(part.column("tokens")), 6)
-                leaders.add(
-                    np.where(scores > 0, scores, -np.inf), part.column("doc_id").to_numpy()
-                )
-            owner, ids, scores, _ = leaders.rows(query_ids)
-            yield pa.RecordBatch.from_arrays(
+    class Task:
+        def __init__(self, block: pa.Table) -> None:
+            self.query_ids = block.column("query_id").to_numpy()
+            self.lexical = LexicalBlock(block, avg_length)
+            self.leaders = Leaders(len(self.query_ids), k)
+
+        def add(self, part: pa.RecordBatch) -> None:
+            scores = np.round(self.lexical.scores(part.column("tokens")), 6)
+            self.leaders.add(np.where(scores > 0, scores, -np.inf), part.column("doc_id").to_numpy())
+
+        def rows(self) -> pa.RecordBatch:
+            owner, ids, scores, _ = self.leaders.rows(self.query_ids)
+            return pa.RecordBatch.from_arrays(
                 [pa.array(owner, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores)],
                 names=["query_id", "doc_id", "score"],
             )
 
-        return scan
-
     found = scan_with_blocks(
-        index.select("doc_id", "tokens"), weighted, task,
+        index.select("doc_id", "tokens"), weighted, Task,
         "query_id long, doc_id long, score double",
     )
     ranked = top_k(found, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)

@@ -1,25 +1,34 @@
 """Exact nearest neighbours by blocks.
 
 Every query has to meet every vector, but the pairs never become rows. Queries
-are taken in blocks of a fixed number of rows, so what is broadcast is bounded
-whatever the query table holds; each task multiplies its Arrow batches with the
-block and keeps only the best ``k`` per query.
+are written in blocks of a fixed number of rows that tasks read from the shared
+folder; each task multiplies its Arrow batches with a block and keeps only the
+best ``k`` per query.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.ordered import row_numbers
-from lodestone.staging import stage
+from lodestone.staging import new_path, stage
 
-#: Rows of one broadcast block of queries (4096 x 768 doubles is 24 MiB).
+#: Rows of one block of queries (4096 x 768 doubles is 24 MiB).
 QUERY_BLOCK = 4096
+BLOCK = "_block"
+#: Blocks whose leaders a task keeps through its partition.
+CARRIED = 4
+#: Candidates of a partition that are held while all blocks pass by.
+PIECE = 8192
 #: Candidates scored together; with the query block it bounds a task's score matrix.
 SLICE = 512
 
@@ -45,21 +54,37 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(n, -1)
 
 
-def blocks_of(queries: DataFrame, block: int = QUERY_BLOCK) -> Iterator[pa.Table]:
-    """Query rows in blocks of at most ``block`` rows, ordered by ``query_id``."""
+def written_blocks(queries: DataFrame, block: int) -> tuple[str, int]:
+    """Writes the queries in blocks of at most ``block`` rows; their folder and number."""
     queries = stage(queries, "queries")
     n = queries.count()
-    if n == 0:
-        return
     if n <= block:
-        yield queries.orderBy("query_id").toArrow()
-        return
-    numbered = stage(
-        row_numbers(queries, [F.col("query_id")], "_row", materialise=False), "query-blocks"
-    )
-    for start in range(0, n, block):
-        one = numbered.filter((F.col("_row") > start) & (F.col("_row") <= start + block))
-        yield one.drop("_row").orderBy("query_id").toArrow()
+        numbered = queries.withColumn(BLOCK, F.lit(0))
+    else:
+        rows = row_numbers(queries, [F.col("query_id")], "_row", materialise=False)
+        numbered = rows.withColumn(BLOCK, F.floor((F.col("_row") - 1) / block)).drop("_row")
+    folder = new_path(queries.sparkSession, "query-blocks")
+    numbered.repartition(BLOCK).write.partitionBy(BLOCK).parquet(folder)
+    return folder, math.ceil(n / block)
+
+
+def read_block(folder: str, number: int) -> pa.Table:
+    """One block, by ``query_id``; called in tasks."""
+    filesystem, path = fs.FileSystem.from_uri(f"{folder}/{BLOCK}={number}")
+    return pq.read_table(path, filesystem=filesystem, partitioning=None).sort_by("query_id")
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of the input in lists of about PIECE rows."""
+    held, rows = [], 0
+    for part in slices(batches):
+        held.append(part)
+        rows += part.num_rows
+        if rows >= PIECE:
+            yield held
+            held, rows = [], 0
+    if held:
+        yield held
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
@@ -113,19 +138,39 @@ class Leaders:
         )
 
 
+class BlockTask(Protocol):
+    """Work of one task on one block of queries."""
+
+    def add(self, part: pa.RecordBatch) -> None: ...
+
+    def rows(self) -> pa.RecordBatch: ...
+
+
 def scan_with_blocks(
-    vectors: DataFrame,
-    queries: DataFrame,
-    task: Callable[[pa.Table], Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]],
-    schema: str,
+    vectors: DataFrame, queries: DataFrame, task: Callable[[pa.Table], BlockTask], schema: str,
     block: int = QUERY_BLOCK,
 ) -> DataFrame:
-    """Union over query blocks of ``vectors.mapInArrow(task(block))``."""
-    out: DataFrame | None = None
-    for rows in blocks_of(queries, block):
-        part = vectors.mapInArrow(task(rows), schema)
-        out = part if out is None else out.unionAll(part)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], schema)
-    return out
+    """One scan of ``vectors`` against all blocks of queries.
 
+    Tasks read the written blocks themselves; nothing of the queries passes the driver and
+    the plan does not depend on their number. The first CARRIED blocks keep their leaders
+    through a whole partition; later ones are read again for every piece of it and report
+    what that piece holds, so a task's memory is bounded by both.
+    """
+    folder, n_blocks = written_blocks(queries, block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried: dict[int, BlockTask] = {}
+        for piece in pieces(batches):
+            for number in range(n_blocks):
+                work = carried.get(number) or task(read_block(folder, number))
+                for part in piece:
+                    work.add(part)
+                if number < CARRIED:
+                    carried[number] = work
+                else:
+                    yield work.rows()
+        for work in carried.values():
+            yield work.rows()
+
+    return vectors.mapInArrow(run, schema)
