@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone import constants as C
-from lodestone.functions.text import embedding_features, tokenize
+from lodestone.functions.text import tokenize
 from lodestone.operators.ordered import top_k
 from lodestone.operators.topk_blocks import (
     QUERY_BLOCK,
@@ -23,73 +24,93 @@ from lodestone.operators.topk_blocks import (
     scan_with_blocks,
     slices,
 )
-from lodestone.staging import stage
+from lodestone.staging import spread, stage
 
 NEIGHBOURS = "query_id long, id long, score double"
 
 
-def hashed_weights(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Sparse unit vectors ``(key, idx, w)`` of ``tokens(key, tokens)``, which has to be
-    partitioned by key already.
+def token_features(token: str) -> list[str]:
+    """The token and its padded character grams, as ``embedding_features`` makes them."""
+    if len(token) <= C.NGRAM:
+        return [token, token]
+    padded = f"^{token}$"
+    return [token] + [padded[i : i + C.NGRAM] for i in range(len(padded) - C.NGRAM + 1)]
 
-    Every grouping begins with the key and reuses that partitioning, so the features,
-    several times the size of the text, are never shuffled.
+
+def sparse_vectors(tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, index, weight) of the unit vectors of all token lists.
+
+    A distinct token is cut and hashed once per batch; counts are sums over pairs of
+    numbers, so a vector depends on its own row only and nothing is shuffled.
     """
-    # Equal tokens are counted before they are cut into grams.
-    # The outer form asks for no filter below the exchange, so readers share it.
-    words = tokens.select(key, F.explode_outer("tokens").alias("token")).groupBy(key, "token").agg(
-        F.count(F.lit(1)).alias("times")
-    )
-    features = words.select(
-        key, F.explode(embedding_features(F.array("token"))).alias("feature"), "times"
-    )
-    counted = features.groupBy(key, "feature").agg(F.sum("times").alias("n"))
-    digest = F.crc32(F.col("feature").cast("binary"))
-    sign = F.when(F.shiftright(digest, 16).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)
-    signed = counted.select(
-        key,
-        (digest % C.DIM).cast("int").alias("idx"),
-        (sign * (1.0 + F.log("n"))).alias("w"),
-    )
-    summed = signed.groupBy(key, "idx").agg(F.sum("w").alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return summed.withColumn("norm", norm).select(
-        key, "idx", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0).alias("w")
+    sizes = pa.compute.list_value_length(tokens).fill_null(0).to_numpy(zero_copy_only=False)
+    encoded = tokens.flatten().dictionary_encode()
+    words = encoded.dictionary.to_pylist()
+    if not words:
+        nothing = np.zeros(0, dtype=np.int64)
+        return nothing, nothing, np.zeros(0)
+    pair, times = np.unique(
+        np.repeat(np.arange(len(tokens)), sizes) * len(words)
+        + encoded.indices.to_numpy(zero_copy_only=False), return_counts=True,
     )
+    row, word = np.divmod(pair, len(words))
+    number: dict[str, int] = {}
+    cut = [[number.setdefault(f, len(number)) for f in token_features(w)] for w in words]
+    lengths = np.array([len(c) for c in cut])
+    starts = np.cumsum(lengths) - lengths
+    reach = lengths[word]
+    at = np.repeat(starts[word] - (np.cumsum(reach) - reach), reach) + np.arange(reach.sum())
+    feature = np.concatenate([np.array(c) for c in cut])[at]
+    key, back = np.unique(np.repeat(row, reach) * len(number) + feature, return_inverse=True)
+    count = np.bincount(back, weights=np.repeat(times, reach))
+    row, feature = np.divmod(key, len(number))
+    digest = np.array([zlib.crc32(f.encode()) for f in number], dtype=np.int64)[feature]
+    weight = np.where(digest >> 16 & 1, 1.0, -1.0) * (1.0 + np.log(count))
+    cell, back = np.unique(row * C.DIM + digest % C.DIM, return_inverse=True)
+    weight = np.bincount(back, weights=weight)
+    row, index = np.divmod(cell, C.DIM)
+    norm = np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(tokens)))[row]
+    return row, index, np.divide(weight, norm, out=np.zeros_like(weight), where=norm > 0)
+
+
+def _map_tokens(docs: DataFrame, key: str, make, schema: str) -> DataFrame:
+    key_type = docs.schema[key].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            yield make(part)
 
-def tokens_by_key(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(key, tokens)``, the text partitioned by key once."""
-    return docs.select(key, "text").repartition(key).select(
-        key, tokenize(F.col("text")).alias("tokens")
-    )
+    tokens = docs.select(key, tokenize(F.col("text")).alias("tokens"))
+    return tokens.mapInArrow(run, f"{key} {key_type}, {schema}")
+
+
+def hashed_weights(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Sparse unit vectors ``(key, idx, w)`` of ``docs(key, text)``."""
+
+    def make(part: pa.RecordBatch) -> pa.RecordBatch:
+        row, index, weight = sparse_vectors(part.column("tokens"))
+        return pa.RecordBatch.from_arrays(
+            [part.column(key).take(pa.array(row)), pa.array(index.astype(np.int32)), pa.array(weight)],
+            names=[key, "idx", "w"],
+        )
+
+    return _map_tokens(docs, key, make, "idx int, w double")
 
 
 def hashed_index(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """``(key, tokens, vec)``; a text without tokens keeps the zero vector."""
-    tokens = tokens_by_key(docs, key)
-    entries = hashed_weights(tokens, key).groupBy(key).agg(
-        F.collect_list("idx").alias("idx"), F.collect_list("w").alias("w")
-    )
-    # Both sides are partitioned by key already. The estimate of the right side knows
-    # nothing of the explode, so the join that needs no estimate is asked for.
-    rows = tokens.join(entries.hint("merge"), key, "left")
 
-    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = pa.compute.list_value_length(batch.column("idx")).fill_null(0).to_numpy()
-            dense = np.zeros((batch.num_rows, C.DIM))
-            row = np.repeat(np.arange(batch.num_rows), counts)
-            at = batch.column("idx").flatten().to_numpy(zero_copy_only=False)
-            dense[row, at] = batch.column("w").flatten().to_numpy(zero_copy_only=False)
-            offsets = np.arange(0, dense.size + 1, C.DIM, dtype=np.int32)
-            vec = pa.ListArray.from_arrays(pa.array(offsets), pa.array(dense.ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(key), batch.column("tokens"), vec], names=[key, "tokens", "vec"]
-            )
+    def make(part: pa.RecordBatch) -> pa.RecordBatch:
+        row, index, weight = sparse_vectors(part.column("tokens"))
+        dense = np.zeros((part.num_rows, C.DIM))
+        dense[row, index] = weight
+        offsets = np.arange(0, dense.size + 1, C.DIM, dtype=np.int32)
+        vec = pa.ListArray.from_arrays(pa.array(offsets), pa.array(dense.ravel()))
+        return pa.RecordBatch.from_arrays(
+            [part.column(key), part.column("tokens"), vec], names=[key, "tokens", "vec"]
+        )
 
-    key_type = docs.schema[key].dataType.simpleString()
-    return rows.mapInArrow(scatter, f"{key} {key_type}, tokens array<string>, vec array<double>")
+    return _map_tokens(spread(docs, key), key, make, "tokens array<string>, vec array<double>")
 
 
 class HashingEmbedder:

@@ -209,3 +209,22 @@ def test_short_tokens_count_twice(spark):
     df = spark.createDataFrame([("rate",)], "t string")
     assert df.select(char_ngrams(F.col("t"))).first()[0] == ["rate"]
     assert brute_vector(["rate"]).any()
+
+
+def test_embedding_needs_no_shuffle(spark):
+    docs = spark.createDataFrame([(1, "payments-api latency p99"), (2, "")], "doc_id long, text string")
+    plan = dense.hashed_weights(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_many_query_blocks_give_one_answer(spark, monkeypatch):
+
+    vectors = dense.clustered_vectors(spark.range(200), "id", dim=16, clusters=5)
+    asked = vectors.withColumnRenamed("id", "query_id")
+    want = sorted(map(tuple, dense.exact_neighbours(vectors, asked, 3).collect()))
+    monkeypatch.setattr(topk_blocks, "CARRIED", 1)
+    monkeypatch.setattr(topk_blocks, "PIECE", 32)
+    monkeypatch.setattr(topk_blocks, "SLICE", 8)
+    monkeypatch.setattr(topk_blocks.scan_with_blocks, "__defaults__", (30,))
+    found = dense.exact_neighbours(vectors, asked, 3)
+    assert sorted(map(tuple, found.collect())) == want
