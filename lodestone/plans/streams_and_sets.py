@@ -9,7 +9,7 @@ from lodestone.operators import runs
 from lodestone.operators.ordered import quantile_rows
 from lodestone.plans.tables import table
 from lodestone.streaming import rate_limit, router_state
-from lodestone.streaming.jobs import drain, file_stream
+from lodestone.streaming.jobs import drain, file_stream, keyed_stream
 
 
 def _stream(spark, folder):
@@ -27,14 +27,20 @@ def _outcome():
     )
 
 
-def circuit_breaker(spark, folder):
+def _events(spark, folder):
+    return table(spark, folder, "events")
+
+
+def _calls(spark, folder):
     """Every user as a provider; errors, views and clicks are rate limits."""
-    calls = _stream(spark, folder).select(
+    return _events(spark, folder).select(
         F.concat(F.lit("p"), F.col("user_id")).alias("provider"), F.col("event_id").alias("seq"),
         (F.unix_micros("ts") / 1e6).alias("at"), _outcome().alias("outcome"),
         F.when(F.col("event_id") % 2 == 0, F.lit(0.0)).otherwise(F.lit(7200.0)).alias("retry_after"),
     )
-    done = drain(router_state.circuit_breaker(calls), "breaker")
+
+
+def _breaker_rows(done):
     return done.select(
         "provider", "seq", "action", "consecutive",
         F.when(F.col("disabled_until") < float("inf"), F.round("disabled_until", 4))
@@ -42,6 +48,17 @@ def circuit_breaker(spark, folder):
     )
 
 
+def circuit_breaker(spark, folder):
+    """The archived calls, walked in order."""
+    return _breaker_rows(router_state.circuit_breaker(_calls(spark, folder)))
+
+
+def circuit_breaker_stream(spark, folder):
+    """The same calls as a stream with keyed state."""
+    calls = keyed_stream(_calls(spark, folder), "provider", "calls")
+    return _breaker_rows(drain(router_state.circuit_breaker(calls), "breaker"))
+
+
 _PROVIDERS = ["groq", "cerebras", "mistral"]
 
 
@@ -54,16 +71,15 @@ def provider_failover(spark, folder):
         F.element_at(kinds, ((F.col("event_id") * (i + 2)) % 7 + 1).cast("int"))
         for i in range(len(_PROVIDERS))
     ])
-    requests = _stream(spark, folder).select(
+    requests = _events(spark, folder).select(
         F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"),
         (F.unix_micros("ts") / 1e6).alias("at"), outcomes.alias("outcomes"),
     )
-    done = drain(router_state.failover(requests, _PROVIDERS), "failover")
-    return done.drop("batch_id")
+    return router_state.failover(requests, _PROVIDERS)
 
 
 def windowed_client_counts(spark, folder):
-    counted = rate_limit.windowed_counts(_stream(spark, folder), F.col("user_id"), "ts")
+    counted = rate_limit.windowed_counts(_stream(spark, folder), F.col("user_id"), "ts", late=None)
     latest = rate_limit.latest_counts(drain(counted, "client-counts", "update"))
     return latest.select(
         "client", F.unix_micros("window_start").alias("window_start_us"), "n",
@@ -112,7 +128,7 @@ def declared_and_traced(spark, folder):
 
 QUERIES = {
     f.__name__: f for f in (
-        circuit_breaker, provider_failover, windowed_client_counts, sliding_rate_limit, stage_spans,
+        circuit_breaker, circuit_breaker_stream, provider_failover, windowed_client_counts, sliding_rate_limit, stage_spans,
         value_percentiles, declared_and_traced,
     )
 }
@@ -223,3 +239,4 @@ ORACLE = {
         UNION ALL SELECT DISTINCT o_custkey, 'not declared' FROM orders
             WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""",
 }
+ORACLE["circuit_breaker_stream"] = ORACLE["circuit_breaker"]

@@ -10,7 +10,8 @@ from lodestone.staging import new_path
 def file_stream(
     spark: SparkSession, folder: str, pattern: str, bytes_per_trigger: int = 256 * 1024 * 1024
 ) -> DataFrame:
-    """Parquet files of a folder as a stream; a trigger reads a bounded amount."""
+    """Parquet files of a folder as a stream; a trigger reads about ``bytes_per_trigger``,
+    but always one file at least."""
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
     return (
         spark.readStream.schema(schema)
@@ -41,3 +42,11 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema.add("batch_id", "long")).parquet(out)
+
+
+def keyed_stream(rows: DataFrame, key: str, label: str, bytes_per_trigger: int = 256 * 1024 * 1024) -> DataFrame:
+    """A table as a stream in which all rows of a key lie in one file, so that no trigger
+    sees a part of a key and the order of files does not matter."""
+    spark, folder = rows.sparkSession, new_path(rows.sparkSession, label)
+    rows.repartition(key).write.option("maxRecordsPerFile", 0).parquet(folder)
+    return file_stream(spark, folder, "*.parquet", bytes_per_trigger)

@@ -31,78 +31,129 @@ def after_call(
     return consecutive, math.inf
 
 
-def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """A key's rows of one trigger, by sequence. What a trigger reads is bounded."""
-    return pd.concat(list(batches), ignore_index=True).sort_values("seq")
+BREAKER = "provider string, seq long, action string, consecutive int, disabled_until double"
+FAILOVER = "session_id long, seq long, attempts string, provider string"
 
 
-BREAKER = "provider string, seq long, action string, consecutive int, disabled_until double"
+class Breaker:
+    """One provider: a disabled one is skipped while a call comes before the expiry; a later
+    call finds it enabled again and its count forgotten."""
 
+    start = (0, NEVER)
 
-def circuit_breaker(calls: DataFrame) -> DataFrame:
-    """``calls(provider, seq, at, outcome, retry_after)`` to one row per call.
+    def step(self, key, state: tuple, call) -> tuple[tuple, tuple]:
+        consecutive, until = state
+        if call.at < until:
+            return (key, call.seq, "skipped", consecutive, until), state
+        if until != NEVER:
+            consecutive, until = 0, NEVER
+        consecutive, until = after_call(consecutive, call.outcome, call.at, call.retry_after)
+        action = "served" if call.outcome == "success" else ("failed" if until == NEVER else "disabled")
+        shown = None if until == NEVER else until
+        return (key, call.seq, action, consecutive, shown), (int(consecutive), float(until))
 
-    A disabled provider is skipped while ``at`` is before the expiry. A call after
-    the expiry finds it enabled again and its count forgotten.
-    """
+    def forever(self, state: tuple) -> bool:
+        return state[1] == math.inf
+
+
+class Failover:
+    """One session: providers in order; a request nobody serves has a null provider."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        consecutive, until = state.get if state.exists else (0, NEVER)
-        rows = []
-        for call in _in_order(batches).itertuples(index=False):
-            if call.at < until:
-                rows.append((key[0], call.seq, "skipped", consecutive, until))
+    def __init__(self, providers: list[str]) -> None:
+        self.providers = providers
+        self.start = ([0] * len(providers), [NEVER] * len(providers))
+
+    def step(self, key, state: tuple, request) -> tuple[tuple, tuple]:
+        counts, until = list(state[0]), list(state[1])
+        tried, served = [], None
+        for i, name in enumerate(self.providers):
+            if request.at < until[i]:
                 continue
-            if until != NEVER:
-                consecutive, until = 0, NEVER
-            consecutive, until = after_call(consecutive, call.outcome, call.at, call.retry_after)
-            action = "served" if call.outcome == "success" else (
-                "failed" if until == NEVER else "disabled"
-            )
-            rows.append((key[0], call.seq, action, consecutive, until))
-        state.update((int(consecutive), float(until)))
-        out = pd.DataFrame(rows, columns=["provider", "seq", "action", "consecutive", "disabled_until"])
-        out["disabled_until"] = out["disabled_until"].where(out["disabled_until"] > NEVER, math.nan)
-        yield out
-
-    return calls.groupBy("provider").applyInPandasWithState(
-        step, BREAKER, "consecutive int, until double", "append", GroupStateTimeout.NoTimeout
+            if until[i] != NEVER:
+                counts[i], until[i] = 0, NEVER
+            tried.append(name)
+            counts[i], until[i] = after_call(counts[i], request.outcomes[i], request.at, 0.0)
+            if request.outcomes[i] == "success":
+                served = name
+                break
+        return (key, request.seq, ",".join(tried), served), (counts, until)
+
+    def forever(self, state: tuple) -> bool:
+        return math.inf in state[1]
+
+
+def _columns(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
+
+
+def _stream(
+    rows: DataFrame, key: str, walker, schema: str, state_schema: str, idle_ms: int | None
+) -> DataFrame:
+    """Keyed state over a live stream. A key's rows of one trigger are taken by ``seq``; rows
+    of a key have to arrive in order from trigger to trigger.
+
+    With ``idle_ms`` the state of a key that no row met for so long is dropped, unless a
+    provider is off for good. A stream that only drains what there is never ends with such
+    timeouts, so it takes None.
+    """
+
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = tuple(state.get) if state.exists else walker.start
+        out = []
+        for row in pd.concat(list(batches), ignore_index=True).sort_values("seq").itertuples(index=False):
+            made, now = walker.step(group[0], now, row)
+            out.append(made)
+        state.update(now)
+        if idle_ms is not None and not walker.forever(now):
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=_columns(schema))
+
+    return rows.groupBy(key).applyInPandasWithState(
+        step, schema, state_schema, "append",
+        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
-FAILOVER = "session_id long, seq long, attempts string, provider string"
+def _archive(rows: DataFrame, key: str, walker, schema: str) -> DataFrame:
+    """The same walk over a whole table, in order whatever its files hold.
+
+    Rows of a key are sorted by Spark and met one by one; a task holds one state and one
+    batch, however many rows a key has.
+    """
 
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, now = None, walker.start
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                own = getattr(row, key)
+                if own != last:
+                    last, now = own, walker.start
+                made, now = walker.step(own, now, row)
+                out.append(made)
+            yield pd.DataFrame(out, columns=_columns(schema))
 
-def failover(requests: DataFrame, providers: list[str]) -> DataFrame:
-    """Try providers in order for ``requests(session_id, seq, at, outcomes)``.
+    return rows.repartition(key).sortWithinPartitions(key, "seq").mapInPandas(walk, schema)
+
+
+def circuit_breaker(calls: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """``calls(provider, seq, at, outcome, retry_after)``, a stream or a table, to one row per call."""
+    if calls.isStreaming:
+        return _stream(calls, "provider", Breaker(), BREAKER, "consecutive int, until double", idle_ms)
+    return _archive(calls, "provider", Breaker(), BREAKER)
+
+
+def failover(requests: DataFrame, providers: list[str], idle_ms: int | None = None) -> DataFrame:
+    """Try providers in order for ``requests(session_id, seq, at, outcomes)``, stream or table.
 
     ``outcomes`` has the recorded outcome per provider. Each session has its own
     health state. A request nobody serves has a null provider: it fails closed.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        counts, until = (
-            (list(state.get[0]), list(state.get[1]))
-            if state.exists
-            else ([0] * len(providers), [NEVER] * len(providers))
-        )
-        rows = []
-        for request in _in_order(batches).itertuples(index=False):
-            tried, served = [], None
-            for i, name in enumerate(providers):
-                if request.at < until[i]:
-                    continue
-                if until[i] != NEVER:
-                    counts[i], until[i] = 0, NEVER
-                tried.append(name)
-                counts[i], until[i] = after_call(counts[i], request.outcomes[i], request.at, 0.0)
-                if request.outcomes[i] == "success":
-                    served = name
-                    break
-            rows.append((key[0], request.seq, ",".join(tried), served))
-        state.update((counts, until))
-        yield pd.DataFrame(rows, columns=["session_id", "seq", "attempts", "provider"])
-
-    return requests.groupBy("session_id").applyInPandasWithState(
-        step, FAILOVER, "counts array<int>, until array<double>", "append", GroupStateTimeout.NoTimeout
-    )
+    walker = Failover(providers)
+    if requests.isStreaming:
+        return _stream(
+            requests, "session_id", walker, FAILOVER, "counts array<int>, until array<double>", idle_ms)
+    return _archive(requests, "session_id", walker, FAILOVER)
