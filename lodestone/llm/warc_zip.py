@@ -240,7 +240,9 @@ def write(
         if index:
             yield close()
 
-    return stage(ordered.mapInArrow(run, "path string, records long"), "warc-manifest")
+    # The manifest is a row per package; a few files hold it.
+    found = ordered.mapInArrow(run, "path string, records long").repartition(8)
+    return stage(found, "warc-manifest")
 
 
 def read(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -274,5 +276,7 @@ def read(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
                             [pa.array(v, type=f.type) for v, f in zip(columns, arrow, strict=True)],
                             schema=arrow)
 
-    files = manifest.sparkSession.sparkContext.defaultParallelism
-    return manifest.select("path").repartition(max(files, 1), "path").mapInArrow(run, schema)
+    # A task for every few packages, so that a small set still uses all cores.
+    packages, cores = manifest.count(), manifest.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(packages, max(cores, packages // 8)))
+    return manifest.select("path").repartition(tasks).mapInArrow(run, schema)
