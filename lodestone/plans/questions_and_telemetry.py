@@ -216,7 +216,7 @@ def logistic_cross_validation(spark, folder):
 
 def boosted_cross_validation(spark, folder):
     rows = stage(_document_features(spark, folder), "features")
-    scored = models.out_of_fold(rows, _COLUMNS, lambda names: models.boosted(names, trees=5), k=2)
+    scored = models.out_of_fold(rows, _COLUMNS, models.boosted)
     return curves.auc_both_ways(scored)
 
 
