@@ -6,6 +6,7 @@ gold_chunk_id)``; its label follows from how it was built.
 
 from __future__ import annotations
 
+import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -252,13 +253,14 @@ def property_transfer_questions(
 
 
 def presupposition_questions(
-    services: DataFrame, patterns: DataFrame, signals: DataFrame, chunks: DataFrame
+    services: DataFrame, patterns: DataFrame, signals: DataFrame, chunks: DataFrame,
+    per_pattern: int = C.PRESUPPOSITION_SERVICES,
 ) -> DataFrame:
     """A fault asked about the first services whose runtime cannot show it.
 
     A pattern excludes its own runtimes only, so each runtime is paired with the
     patterns it is not listed for; services then join by runtime and each pattern
-    keeps six.
+    keeps the first ``per_pattern`` (published: six).
     """
     first = signals.filter("role = 'primary'").groupBy("pattern_id").agg(
         F.min_by("metric", "position").alias("metric")
@@ -268,8 +270,8 @@ def presupposition_questions(
         F.col("id").alias("pattern_id"), F.col("position").alias("p"),
         F.explode(F.array_except(runtimes, F.col("runtimes"))).alias("runtime"),
     )
-    paired = first_per_runtime(services, C.PRESUPPOSITION_SERVICES).join(unable, "runtime")
-    six = top_k(paired, ["pattern_id"], [F.asc("position"), F.asc("name")], C.PRESUPPOSITION_SERVICES)
+    paired = first_per_runtime(services, per_pattern).join(unable, "runtime")
+    six = top_k(paired, ["pattern_id"], [F.asc("position"), F.asc("name")], per_pattern)
     rows = stage(six.join(first, "pattern_id"), "wrong-services")
     both = rows.select(
         F.struct("p", "rank").alias("topic"), F.array(F.lower("name"), F.lower("metric")).alias("terms")
@@ -300,7 +302,8 @@ def capped_sizes(sizes: dict[str, int], max_share: float = C.MAX_MECHANISM_SHARE
     """Rows each mechanism keeps when the cap is applied until nothing changes.
 
     The cap is a share of what is left, and each pass keeps a prefix of the same
-    round-robin order, so the passes need the counts only.
+    round-robin order, so the passes need the counts only. As published there are
+    ``MAX_CAP_ROUNDS`` passes at most; a warning tells when they do not suffice.
     """
     kept = dict(sizes)
     for _ in range(C.MAX_CAP_ROUNDS):
@@ -309,6 +312,8 @@ def capped_sizes(sizes: dict[str, int], max_share: float = C.MAX_MECHANISM_SHARE
         if after == kept:
             break
         kept = after
+    else:
+        warnings.warn(f"the cap still moves after {C.MAX_CAP_ROUNDS} passes", stacklevel=2)
     return kept
 
 

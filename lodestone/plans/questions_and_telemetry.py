@@ -74,8 +74,8 @@ def policy_questions(spark, folder):
 def gap_questions(spark, folder):
     topics = table(spark, folder, "benchmark").select(
         F.col("item_id").alias("position"),
-        F.concat(F.lit("what about "), F.array_join(_two_tokens(), " ")).alias("text"),
-        _two_tokens().alias("terms"),
+        F.concat(F.lit("what about "), F.array_join(tokenize(F.col("text")), " ")).alias("text"),
+        tokenize(F.col("text")).alias("terms"),
     )
     return dataset.gap_questions(topics, _chunks(spark, folder))
 
@@ -389,7 +389,7 @@ _POLICY = f"""q_policy AS (
         SELECT printf('q-pol-%03d', item_id) {_question(
             'text', 'answerable', 'policy_value_lookup', "'pol-' || item_id % 4",
             "'pol-' || item_id % 4")} FROM benchmark)"""
-_GAP = f"""gt AS (SELECT item_id, {_TWO} AS terms FROM benchmark),
+_GAP = f"""gt AS (SELECT item_id, {sql.tokens_of('text')} AS terms FROM benchmark),
     q_gap AS (
         SELECT printf('q-gap-%03d', item_id) {_question(
             "'what about ' || array_to_string(terms, ' ')", 'unanswerable',
