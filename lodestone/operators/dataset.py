@@ -7,6 +7,7 @@ gold_chunk_id)``; its label follows from how it was built.
 from __future__ import annotations
 
 import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
