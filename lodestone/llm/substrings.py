@@ -107,45 +107,67 @@ def _ranges(starts: np.ndarray, window: int) -> list[list[int]]:
 
 
 def _scan(source: DataFrame, window: int) -> DataFrame:
+    """Words, a digest of them, and the distinct anchors of every document."""
     def work(part: pa.RecordBatch) -> dict:
         documents = [t.split() for t in raw_bytes(part["text"])]
         named = part["doc_id"].is_valid().to_pylist()
         found = anchors([d if ok else [] for d, ok in zip(documents, named, strict=True)], window)
+        digests = [hashlib.sha256(b" ".join(d)) for d in documents]
         return {
             "doc_id": part["doc_id"], "tk": part["tk"], "n_words": [len(d) for d in documents],
-            "sha": [hashlib.sha256(b" ".join(d)).hexdigest() for d in documents],
-            "hs": [h for h, _ in found], "ps": [p for _, p in found],
+            "sha": [d.hexdigest() for d in digests],
+            "ck": [int.from_bytes(d.digest()[:8], "big", signed=True) for d in digests],
+            "hs": [np.unique(h) for h, _ in found],
         }
 
     return map_text(
-        source, work,
-        "doc_id long, tk long, n_words long, sha string, hs array<long>, ps array<int>")
+        source, work, "doc_id long, tk long, n_words long, sha string, ck long, hs array<long>")
 
 
-def _contexts(partial: DataFrame, window: int) -> DataFrame:
-    """A row per shared anchor: its words, and as many around it as a window can reach."""
+def _members(partial: DataFrame, window: int) -> DataFrame:
+    """A row per shared anchor: where its context stands, and a 128-bit digest of the context.
+
+    The context is the anchor's words with as many around them as a window can reach.
+    """
     before = window - PREFIX
+    names = ("doc_id", "tk", "h", "start", "n", "c1", "c2")
 
     def work(part: pa.RecordBatch) -> dict:
-        made: dict = {k: [] for k in ("doc_id", "h", "start", "n", "context")}
-        for doc, text, spots in zip(
-            part["doc_id"].to_pylist(), raw_bytes(part["text"]), part["spots"].to_pylist(), strict=True
+        made: dict = {k: [] for k in names}
+        documents = [t.split() for t in raw_bytes(part["text"])]
+        keys = zip(part["doc_id"].to_pylist(), part["tk"].to_pylist(), part["hs"].to_pylist(), strict=True)
+        for (doc, tk, shared), words, (hashes, spots) in zip(
+            keys, documents, anchors(documents, window), strict=True
+        ):
+            shared = set(shared)
+            for h, spot in zip(hashes.tolist(), spots.tolist(), strict=True):
+                if h in shared:
+                    start = max(0, spot - before)
+                    near = words[start : spot + window]
+                    c1, c2 = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(near)), "<i8").tolist()
+                    for k, v in zip(names, (doc, tk, h, start, len(near), c1, c2), strict=True):
+                        made[k].append(v)
+        return made
+
+    return map_text(partial, work, "doc_id long, tk long, h long, start long, n long, c1 long, c2 long")
+
+
+def _contexts(partial: DataFrame) -> DataFrame:
+    """(h, c1, c2, first, context): the words of the contexts that ``wanted`` names."""
+    def work(part: pa.RecordBatch) -> dict:
+        made: dict = {k: [] for k in ("h", "c1", "c2", "first", "context")}
+        for doc, text, wanted in zip(
+            part["doc_id"].to_pylist(), raw_bytes(part["text"]), part["wanted"].to_pylist(), strict=True
         ):
             words = text.split()
-            for spot in spots:
-                start = max(0, spot["p"] - before)
-                near = words[start : spot["p"] + window]
-                made["doc_id"].append(doc)
-                made["h"].append(spot["h"])
-                made["start"].append(start)
-                made["n"].append(len(near))
-                made["context"].append(b" ".join(near).decode())
-        return made | {"tk": np.repeat(
-            np.array(part["tk"].to_pylist(), dtype=np.int64), [len(s) for s in part["spots"].to_pylist()])}
-
-    made = map_text(partial, work, "doc_id long, tk long, h long, start long, n long, context string")
-    return made.withColumn("c1", F.xxhash64("context")).withColumn(
-        "c2", F.xxhash64(F.lit(1), "context"))
+            for w in wanted:
+                made["first"].append(doc)
+                made["context"].append(b" ".join(words[w["start"] : w["start"] + w["n"]]).decode())
+                for k in ("h", "c1", "c2"):
+                    made[k].append(w[k])
+        return made
+
+    return map_text(partial, work, "h long, c1 long, c2 long, first long, context string")
 
 
 def _tree_ranges(classes: DataFrame, window: int, group_rows: int) -> DataFrame:
@@ -228,28 +250,38 @@ def remove_repeats(
         scanned.where(f"n_words >= {window} and doc_id is not null").groupBy("sha").agg(
             F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         .where("first < last").select("sha", "first"), "twins")
-    marked = scanned.join(twins, "sha", "left")
-    own = marked.where("first is null or first = doc_id")
-    spots = own.select("doc_id", "tk", F.explode(F.arrays_zip("hs", "ps")).alias("s")).select(
-        "doc_id", "tk", F.col("s.hs").alias("h"), F.col("s.ps").alias("p"))
-    shared = spots.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where(
-        "a < b").select("h")
-    places = spots.join(shared, "h").groupBy("doc_id", "tk").agg(
-        F.collect_set(F.struct("p", "h")).alias("spots"))  # no more than the document's words
+    copies = stage(
+        scanned.select("doc_id", "tk", "sha").join(twins, "sha").where("first < doc_id")
+        .select("doc_id", "tk").distinct(), "twin-copies")
+    spots = scanned.select("doc_id", "tk", "ck", F.explode("hs").alias("h"))
+    shared = stage(
+        spots.groupBy("h").agg(F.min("ck").alias("a"), F.max("ck").alias("b")).where("a < b").select("h"),
+        "shared-anchors")
+    places = spots.select("doc_id", "tk", "h").join(shared, "h").groupBy("doc_id", "tk").agg(
+        F.collect_set("h").alias("hs")  # no more than the document's words
+    ).join(copies, ["doc_id", "tk"], "left_anti")
     partial = stage(source.join(places, ["doc_id", "tk"]), "partial-repeats")
 
-    contexts = _contexts(partial, window).where(f"n >= {window}")
+    members = stage(_members(partial, window).where(f"n >= {window}"), "anchor-members")
     classes = stage(
-        contexts.groupBy("h", "context", "c1", "c2").agg(F.min("doc_id").alias("first")), "contexts")
-    hot = classes.groupBy("h").count().where(f"count > {group_rows}").select("h")
-    hot = stage(hot, "hot-prefixes")
-    spans = _tree_ranges(classes.join(hot, "h", "left_anti"), window, group_rows)
-    if not hot.isEmpty():
-        spans = spans.unionByName(_deep_ranges(classes.join(hot, "h"), window))
-    known = classes.select("c1", "c2", "first").groupBy("c1", "c2").agg(F.min("first").alias("first"))
+        members.groupBy("h", "c1", "c2", "n").agg(
+            F.min(F.struct("doc_id", "tk", "start")).alias("first")), "contexts")
+    sizes = classes.groupBy("h").count().where("count > 1")  # one context alone repeats itself only
+    wanted = classes.join(sizes, "h").groupBy("first.doc_id", "first.tk").agg(
+        F.collect_list(F.struct("h", "c1", "c2", "n", F.col("first.start").alias("start"))).alias("wanted"))
+    contexts = _contexts(partial.select("doc_id", "tk", "text").dropDuplicates(["doc_id", "tk"]).join(
+        wanted, ["doc_id", "tk"]))
+    hot = stage(sizes.where(f"count > {group_rows}").select("h"), "hot-prefixes")
+    if hot.isEmpty():
+        spans = _tree_ranges(contexts, window, group_rows)
+    else:
+        contexts = stage(contexts, "context-words")
+        spans = _tree_ranges(contexts.join(hot, "h", "left_anti"), window, group_rows).unionByName(
+            _deep_ranges(contexts.join(hot, "h"), window))
+    known = classes.groupBy("c1", "c2").agg(F.min("first.doc_id").alias("first"))
     judged = known.join(spans.groupBy("c1", "c2").agg(
         F.flatten(F.collect_list("spans")).alias("spans")), ["c1", "c2"], "left")
-    gone = contexts.select("doc_id", "tk", "start", "n", "c1", "c2").join(judged, ["c1", "c2"]).select(
+    gone = members.join(stage(judged, "judged-contexts"), ["c1", "c2"]).select(
         "doc_id", "tk", F.explode(F.expr(
             "if(doc_id > first, array(array(start, start + n)), "
             "transform(spans, x -> transform(x, y -> y + start)))")).alias("x"))
@@ -257,12 +289,13 @@ def remove_repeats(
     cut = stage(_cut(partial.select("doc_id", "tk", "text").join(cuts, ["doc_id", "tk"])).distinct(), "cut")
 
     empty = hashlib.sha256(b"").hexdigest()
-    return marked.join(cut, ["doc_id", "tk"], "left").select(
-        "doc_id", "n_words",
-        F.when(F.col("first") < F.col("doc_id"), F.col("n_words"))
-        .otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(F.col("first") < F.col("doc_id"), F.lit(empty))
-        .otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"))
+    whole = copies.join(
+        scanned.select("doc_id", "tk", "n_words").distinct(), ["doc_id", "tk"]
+    ).select("doc_id", "tk", F.col("n_words").alias("removed"), F.lit(empty).alias("kept_sha"))
+    changed = cut.unionByName(whole)
+    return scanned.select("doc_id", "tk", "n_words", "sha").join(changed, ["doc_id", "tk"], "left").select(
+        "doc_id", "n_words", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("kept_sha", "sha").alias("kept_sha256"))
 
 
 def _cut(texts: DataFrame) -> DataFrame:
