@@ -113,6 +113,26 @@ def cut_words(text: str) -> list[str]:
     return ([first] if first else []) + [" " + w for w in rest]
 
 
+#: Marks that the tokenizer keeps apart from a letter before them. The apostrophe is none.
+_MARKS = ".,;:!?#$%&*|"
+
+
+def word_parts(word: str) -> list[str] | None:
+    """Parts of a word that the tokenizer would not join: lines, and marks after a letter."""
+    if "\n" in word:
+        lines = word.split("\n")
+        if len(lines) < 2 or not all(lines) or word.split() != [lines[0].strip(" "), *lines[1:]]:
+            return None
+        out = [lines[0]]
+        for line in lines[1:]:
+            out += ["\n", line]
+        return out
+    base = word.rstrip(_MARKS)
+    if len(base) == len(word) or not base[-1:].isalpha():
+        return None
+    return [base, word[len(base) :]]
+
+
 @lru_cache(2)
 def _byte_bpe(path: str):
     """Memory of words over a byte-level tokenizer, kept by the worker between tasks."""
@@ -133,15 +153,15 @@ def _byte_bpe(path: str):
         again where the bytes of a word end."""
         starts_right = [w for w in words if w[0] == " " and not _UNSAFE.search(w)]
         found = dict.fromkeys(words)
-        groups = [starts_right[i : i + 64] for i in range(0, len(starts_right), 64)]
+        groups = [starts_right[i : i + 512] for i in range(0, len(starts_right), 512)]
         for group, coded in zip(groups, tokenizer.encode_batch_fast(
                 ["".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(coded.ids, dtype=wide)
-            ends = np.searchsorted(
-                np.cumsum(lengths[ids]), np.cumsum([len(w.encode()) for w in group])) + 1
-            at = 0
+            ends = (np.searchsorted(
+                np.cumsum(lengths[ids]), np.cumsum([len(w.encode()) for w in group])) + 1) * wide.itemsize
+            data, at = ids.tobytes(), 0
             for word, end in zip(group, ends.tolist(), strict=True):
-                found[word] = ids[at:end].tobytes()
+                found[word] = data[at:end]
                 at = end
         rest = [w for w, v in found.items() if v is None]
         for word, coded in zip(rest, tokenizer.encode_batch_fast(
@@ -149,7 +169,7 @@ def _byte_bpe(path: str):
             found[word] = np.array(coded.ids, dtype=wide).tobytes()
         return [found[w] for w in words]
 
-    return WordMemory(encode), wide
+    return WordMemory(encode, parts=word_parts), wide
 
 
 def write(

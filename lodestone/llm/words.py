@@ -8,22 +8,63 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-#: Words a worker remembers; beyond it the memory starts anew, which changes no result.
-MOST_WORDS = 400_000
+#: Words of one generation. A worker remembers two; older words are encoded anew when they
+#: come again, which changes no result.
+MOST_WORDS = 300_000
 
 
 class WordMemory:
-    """Ids of words, as bytes; ``encode`` gets lists of words that are not known yet."""
+    """Ids of words, as bytes; ``encode`` gets lists of words that are not known yet.
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = MOST_WORDS):
-        self.encode, self.most, self.known = encode, most, {}
+    ``parts`` may cut a word into parts whose ids make up its own.
+    """
+
+    def __init__(
+        self, encode: Callable[[list[str]], list[bytes]], most: int = MOST_WORDS,
+        parts: Callable[[str], list[str] | None] | None = None,
+    ):
+        self.encode, self.most, self.parts = encode, most, parts
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def join(self, texts: list[list[str]]) -> list[bytes]:
         """The ids of each text, given as its words."""
         if len(self.known) > self.most:
-            self.known = {}
-        fresh = list(set().union(*texts).difference(self.known)) if texts else []
+            self.known, self.older = {}, self.known
+        get, out, open_texts, unknown = self.known.get, [], [], set()
+        for i, words in enumerate(texts):
+            ids = list(map(get, words))
+            try:
+                out.append(b"".join(ids))
+            except TypeError:  # a word is not known yet
+                out.append(b"")
+                open_texts.append((i, words, ids))
+                unknown.update([w for w, x in zip(words, ids, strict=True) if x is None])
+        self._learn(unknown)
+        find = self.known.__getitem__
+        for i, words, ids in open_texts:
+            out[i] = b"".join([find(w) if x is None else x for w, x in zip(words, ids, strict=True)])
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        known, older, fresh, cut = self.known, self.older, [], {}
+        for word in words:
+            ids = older.get(word)
+            if ids is not None:
+                known[word] = ids
+            elif self.parts is not None and (parts := self.parts(word)) is not None:
+                cut[word] = parts
+            else:
+                fresh.append(word)
+        if cut:
+            self._learn_plain({p for parts in cut.values() for p in parts}.union(fresh))
+            find = known.__getitem__
+            for word, parts in cut.items():
+                known[word] = b"".join(map(find, parts))
+        elif fresh:
+            known.update(zip(fresh, self.encode(fresh), strict=True))
+
+    def _learn_plain(self, words: set[str]) -> None:
+        fresh = list(words.difference(self.known))
         if fresh:
             self.known.update(zip(fresh, self.encode(fresh), strict=True))
-        find = self.known.__getitem__
-        return [b"".join(map(find, words)) for words in texts]
