@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from lodestone import constants as C
 from lodestone.functions.stats import wilson
-from lodestone.operators.ordered import row_numbers
 
 CHECK = "suite string, name string, passed boolean, value double"
 
