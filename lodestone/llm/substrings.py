@@ -220,7 +220,10 @@ def _deep_ranges(classes: DataFrame, window: int) -> DataFrame:
     ).select("c1", "c2", "first", F.posexplode(F.expr(
         f"transform(sequence(0, size(w) - {window}), i -> array_join(slice(w, i + 1, {window}), ' '))"
     )).alias("at", "words"))
-    least = windows.groupBy("words").agg(F.min("first").alias("least"))
+    # Written out, so that the join below reads two exchanges and a hot window can be split.
+    least = stage(
+        windows.groupBy("words").agg(F.min("first").alias("least"), F.max("first").alias("most"))
+        .where("least < most").select("words", "least"), "deep-nodes")
     found = windows.join(least, "words").where("least < first")
     return found.groupBy("c1", "c2").agg(F.collect_list(
         F.array(F.col("at").cast("long"), (F.col("at") + window).cast("long"))).alias("spans"))
