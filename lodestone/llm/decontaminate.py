@@ -6,11 +6,17 @@ joined with those of the benchmark. Windows of one document that meet an item on
 diagonal are aligned word by word, and the item is found where enough of its windows are
 met and its slots are filled consistently: one value of the item, one value of the document.
 That finds copies as well as questions with other numbers and names.
+
+A value may have another number of words than the item's: in a third form a run of
+numbers, or of names, is one placeholder, and windows on neighbouring diagonals count
+together. Windows that are equal word by word count whatever the slots of others hold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import column, with_row_ids
@@ -28,6 +34,9 @@ NUMBER, UNIT, NAME = "<n>", "<u>", "<p>"
 #: Most benchmark windows that are sent to every task; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
+#: Diagonals at most so many words apart belong to one place of a document.
+DRIFT = 8
+
 WORDS = "filter(split(coalesce(text, ''), '[^\\\\p{L}\\\\p{N}]+'), w -> w <> '')"
 
 
@@ -43,43 +52,118 @@ def _template(names: bool) -> str:
     )
 
 
-def _windows(frame: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
-    """(keep..., form, length, pos, hash) of all template windows; form 1 hides names.
+def _collapsed(template: str) -> str:
+    """The column ``template`` with each run of numbers or of names as one placeholder."""
+    return f"filter({template}, (w, i) -> not {_repeats(template, 'w', 'i')})"
+
+
+def _repeats(template: str, word: str, at: str) -> str:
+    return (f"({word} in ('{NUMBER}', '{NAME}') and {at} > 0 "
+            f"and {template}[greatest({at} - 1, 0)] = {word})")
+
+
+def _templates(frame: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., words, t0, t1, t2): form 1 hides names, form 2 also makes a run one placeholder."""
+    return frame.select(
+        *keep, "words", F.expr(_template(False)).alias("t0"), F.expr(_template(True)).alias("t1")
+    ).select(
+        *keep, "words", "t0", "t1", F.expr(_collapsed("t1")).alias("t2"))
+
+
+def _windows(frame: DataFrame, wanted: list[tuple[int, int]], *keep: str) -> DataFrame:
+    """(keep..., form, length, pos, hash) of all template windows of the (form, length) wanted.
 
     Only ``keep`` travels with the windows, never the text or its words.
     """
     each = F.array(*[
         F.expr(
-            f"struct({form} as form, {n} as length, if(size(words) < {n}, array(), "
-            f"transform(sequence(0, size(words) - {n}), "
+            f"struct({form} as form, {n} as length, if(size(t{form}) < {n}, array(), "
+            f"transform(sequence(0, size(t{form}) - {n}), "
             f"i -> xxhash64({form}, slice(t{form}, i + 1, {n})))) as hashes)"
         )
-        for form in (0, 1) for n in lengths
+        for form, n in wanted
     ])
-    listed = frame.select(
-        *keep, "words", F.expr(_template(False)).alias("t0"), F.expr(_template(True)).alias("t1")
-    ).select(*keep, F.explode(each).alias("x"))
+    listed = _templates(frame, *keep).select(*keep, F.explode(each).alias("x"))
     return listed.select(
         *keep, "x.form", "x.length", F.posexplode("x.hashes").alias("pos", "hash"))
 
 
 def benchmark_windows(items: DataFrame, window: int, least_words: int, literals: int) -> DataFrame:
-    """(item_id, words, form, length, pos, hash): windows with enough words that are no slots."""
+    """(item_id, form, length, pos, hash): windows with enough words that are no slots."""
     words = items.withColumn("words", F.expr(WORDS)).where(f"size(words) >= {least_words}")
-    sized = words.withColumn("length", F.least(F.lit(window), F.size("words")))
+    made = _templates(words, "item_id")
+    slots = f"('{NUMBER}', '{UNIT}', '{NAME}')"
     forms = [
-        sized.withColumn("template", F.expr(_template(bool(form)))).select(
-            "item_id", F.lit(form).alias("form"), "length", F.posexplode(F.expr(
-                "transform(sequence(0, size(words) - length), "
-                "i -> slice(template, i + 1, length))")).alias("pos", "w"))
-        for form in (0, 1)
+        made.select(
+            "item_id", F.lit(form).alias("form"), F.col(f"t{form}").alias("template"),
+            F.expr(f"least({window}, size(t{form}))").alias("length"))
+        for form in range(3)
     ]
-    slots = f"('{NUMBER}', '{UNIT}', '{NAME}')"
-    return forms[0].union(forms[1]).where(
+    return reduce(DataFrame.union, forms).select("item_id", "form", "length", F.posexplode(F.expr(
+        "transform(sequence(0, size(template) - length), i -> slice(template, i + 1, length))"
+    )).alias("pos", "w")).where(
         F.expr(f"size(filter(w, x -> x not in {slots})) >= least({literals}, length)")
     ).select("item_id", "form", "length", "pos", F.xxhash64("form", "w").alias("hash"))
 
 
+def _with_values(frame: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, system, name): what stands at each place of a text, in lower case.
+
+    System 0 numbers the words, system 2 those of form 2, where a whole run is one value.
+    """
+    made = stage(_templates(frame, key), "templates")
+    starts = stage(made.where("size(words) > 0").select(key, "words", F.expr(
+        f"filter(sequence(0, size(words) - 1), i -> not {_repeats('t1', 't1[i]', 'i')})"
+    ).alias("starts")), "run-starts")
+    plain = made.select(
+        key, F.lit(0).alias("system"), F.expr("transform(words, w -> lower(w))").alias(name))
+    runs = starts.select(key, F.lit(2).alias("system"), F.expr(
+        "transform(starts, (p, k) -> lower(array_join(slice(words, p + 1, "
+        "if(k + 1 < size(starts), starts[least(k + 1, size(starts) - 1)], size(words)) - p), ' ')))"
+    ).alias(name))
+    return stage(plain.union(runs), "values")
+
+
+def _by_place(hits: DataFrame, items: DataFrame, held: DataFrame, coverage: float,
+              totals: DataFrame) -> DataFrame:
+    """(rid, item_id, matched, windows, changed) over neighbouring diagonals, in each numbering.
+
+    If a place fills its slots inconsistently, only windows equal word by word count.
+    """
+    key = ["rid", "item_id", "system"]
+    diagonals = hits.groupBy(*key, F.expr("at - pos").alias("shift")).agg(
+        F.collect_set("pos").alias("places"), F.max("length").alias("length"))
+    order = Window.partitionBy(*key).orderBy("shift")
+    clustered = diagonals.withColumn(
+        "new", F.coalesce((F.col("shift") - F.lag("shift").over(order) > DRIFT).cast("int"), F.lit(0))
+    ).withColumn("place", F.sum("new").over(order))
+    # A window that is met on several diagonals of a place counts on the fullest of them.
+    chosen = clustered.select(
+        *key, "place", "shift", "length", F.size("places").alias("n"), F.explode("places").alias("pos")
+    ).groupBy(*key, "place", "pos").agg(
+        F.max_by("shift", F.struct("n", "shift")).alias("shift"), F.max("length").alias("length"))
+    enough = chosen.groupBy(*key, "place").agg(
+        F.collect_list(F.struct("pos", "shift")).alias("met"), F.max("length").alias("length")
+    ).join(totals, ["item_id", "system"]).where(F.size("met") >= coverage * F.col("windows"))
+    theirs = _with_values(items.withColumn("words", F.expr(WORDS)), "item_id", "theirs")
+    ours = _with_values(held, "rid", "ours")
+    pairs = stage(enough.join(theirs, ["item_id", "system"]).join(ours, ["rid", "system"]).select(
+        *key, "place", "windows", F.expr(
+            "transform(met, m -> transform(sequence(0, length - 1), k -> struct(m.pos + k as p, "
+            "theirs[m.pos + k] as a, ours[m.pos + m.shift + k] as b)))").alias("met")), "met-places")
+    judged = pairs.select(
+        "rid", "item_id", "windows", F.size("met").alias("n"),
+        F.expr("size(filter(met, w -> not exists(w, x -> x.a <> x.b)))").alias("equal"),
+        F.expr("array_distinct(transform(flatten(met), x -> struct(x.a as a, x.b as b)))").alias("kinds"),
+        F.expr("size(array_distinct(filter(flatten(met), x -> x.a <> x.b)))").alias("other"),
+    ).withColumn("fits", F.expr(
+        "size(kinds) = size(array_distinct(transform(kinds, x -> x.a)))"
+    )).select(
+        "rid", "item_id", F.expr("cast(if(fits, n, equal) as long)").alias("matched"),
+        "windows", F.expr("cast(if(fits, other, 0) as long)").alias("changed"))
+    return judged.where(F.col("matched") >= coverage * F.col("windows"))
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", window: int = 8, literals: int = 4,
@@ -89,7 +173,9 @@ def contaminated(
 
     ``windows`` counts the item's windows with ``literals`` words or more outside slots,
     ``matched`` those met on the best diagonal (at least the share ``coverage``), and
-    ``changed`` the slots of the met windows that hold other values. An item shorter than
+    ``changed`` the slots of the met windows that hold other values. Where no single diagonal
+    holds enough, the three are those of the best place: neighbouring diagonals together,
+    words numbered as they are or with runs collapsed. An item shorter than
     the window is one window; items under ``least_words`` words are too short to tell.
     Words are runs of letters and digits. Null and empty texts hold nothing, null item
     texts are no items; repeated rows are judged alike and reported once; a null id is
@@ -103,7 +189,7 @@ def contaminated(
         column(item_text_col).cast("string").alias("text"),
     ).where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
     wanted = stage(benchmark_windows(items, window, least_words, literals), "benchmark-windows")
-    lengths = [r[0] for r in wanted.select("length").distinct().collect()] or [window]
+    sizes = [tuple(r) for r in wanted.select("form", "length").distinct().collect()] or [(0, window)]
     rows = wanted.count()
     probe = wanted.select("form", "length", "hash").distinct()
     if rows <= BROADCAST_ROWS:
@@ -111,19 +197,22 @@ def contaminated(
 
     texts = source.withColumn("words", F.expr(WORDS))
     met = stage(
-        _windows(texts, lengths, "doc_id").join(probe, ["form", "length", "hash"], "left_semi")
+        _windows(texts, sizes, "doc_id").join(probe, ["form", "length", "hash"], "left_semi")
         .select("doc_id").distinct(), "met-documents")
     again = source.join(
         met.withColumnRenamed("doc_id", "m"), F.expr("doc_id <=> m"), "left_semi")
     held = stage(
         with_row_ids(again.distinct()).select("rid", "doc_id", F.expr(WORDS).alias("words")),
         "met-words")
-    hits = _windows(held, lengths, "rid").withColumnRenamed("pos", "at").join(
-        wanted, ["form", "length", "hash"])
-    diagonals = hits.groupBy("rid", "item_id", F.expr("at - pos").alias("shift")).agg(
+    hits = stage(_windows(held, sizes, "rid").withColumnRenamed("pos", "at").join(
+        wanted, ["form", "length", "hash"]
+    ).withColumn("system", F.expr("if(form < 2, 0, form)")), "window-hits")
+    diagonals = hits.where("system = 0").groupBy("rid", "item_id", F.expr("at - pos").alias("shift")).agg(
         F.collect_set("pos").alias("places"), F.max("length").alias("length"))
-    totals = stage(wanted.groupBy("item_id").agg(F.countDistinct("pos").alias("windows")), "item-windows")
-    enough = diagonals.join(totals, "item_id").where(F.size("places") >= coverage * F.col("windows"))
+    totals = stage(wanted.groupBy("item_id", F.expr("if(form < 2, 0, form)").alias("system")).agg(
+        F.countDistinct("pos").alias("windows")), "item-windows")
+    enough = diagonals.join(totals.where("system = 0").drop("system"), "item_id").where(
+        F.size("places") >= coverage * F.col("windows"))
     item_words = items.select("item_id", F.expr(WORDS).alias("theirs"))
     aligned = enough.join(item_words, "item_id").join(held, "rid").select(
         "doc_id", "item_id", "windows", F.size("places").cast("long").alias("matched"),
@@ -136,5 +225,13 @@ def contaminated(
         "size(distinct_pairs) = size(array_distinct(transform(distinct_pairs, x -> x.a)))"
     ).withColumn("changed", F.expr("cast(size(filter(pairs, x -> x.a <> x.b)) as long)"))
     best = F.max_by(F.struct("matched", "windows", "changed"), F.struct("matched", -F.col("changed")))
-    return judged.groupBy("doc_id", "item_id").agg(best.alias("x")).select(
+    found = stage(judged.groupBy("doc_id", "item_id").agg(best.alias("x")).select(
+        "doc_id", "item_id", "x.matched", "x.windows", "x.changed"), "found")
+    names = held.select("rid", "doc_id")
+    best = F.max_by(F.struct("matched", "windows", "changed"), F.struct(
+        F.col("matched") / F.col("windows"), "matched", -F.col("changed")))
+    more = _by_place(hits, items, held, coverage, totals).join(names, "rid").groupBy(
+        "doc_id", "item_id").agg(best.alias("x")).select(
         "doc_id", "item_id", "x.matched", "x.windows", "x.changed")
+    known = found.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"))
+    return found.union(more.join(known, F.expr("doc_id <=> d and item_id = i"), "left_anti"))

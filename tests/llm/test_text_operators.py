@@ -155,6 +155,35 @@ def test_no_python_in_decontamination(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def slotted(name, number, words=30):
+    text = [f"plain{i}" for i in range(words)]
+    text[words // 2] = number
+    return f"{name} " + " ".join(text)
+
+
+def test_values_with_another_number_of_words(spark):
+    bench = spark.createDataFrame(
+        [(1, slotted("the", "5")), (2, slotted("a", "5", 45).replace("plain", "other")),
+         (3, slotted("the", "Paris").replace("plain", "some")),
+         (4, " ".join(["Ann"] + [f"long{i}" for i in range(30)] + ["Ann"] + ["near"]))],
+        "item_id long, text string")
+    noise = " ".join(f"filler{i % 7} word{i}" for i in range(40))
+    rows = [
+        (10, f"{noise} {slotted('the', '1,250')} {noise}"),
+        (11, slotted("a", "3.5", 45).replace("plain", "other")),
+        (12, f"{noise} {slotted('the', 'New York')}".replace("plain", "some")),
+        (13, f"{noise} {slotted('the', 'a port of call')} {noise}".replace("plain", "some")),
+        (14, " ".join(["Bob"] + [f"long{i}" for i in range(30)] + ["Carl"] + ["near"])),
+        (15, noise), (16, " ".join(slotted("the", "1,250").split()[:9])),
+    ]
+    got = decontaminate.contaminated(frame(spark, rows), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(10, 1), (11, 2), (12, 3), (13, 3), (14, 4)}
+    assert len(got) == 5
+    found = {r["doc_id"]: r for r in got}
+    assert [found[i]["changed"] for i in (10, 11, 12, 14)] == [1, 1, 1, 0]
+    assert all(found[i]["matched"] == found[i]["windows"] for i in (10, 11, 12))
+
+
 def quality_rows():
     draw = random.Random(9)
     syllables = ["the", "re", "on", "ti", "an", "ou", "ly", "en"]
