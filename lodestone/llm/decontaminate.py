@@ -10,6 +10,9 @@ That finds copies as well as questions with other numbers and names.
 A value may have another number of words than the item's: in a third form a run of
 numbers, or of names, is one placeholder, and windows on neighbouring diagonals count
 together. Windows that are equal word by word count whatever the slots of others hold.
+
+Items that templates do not hold whole (short ones, windows of little but slots, scripts
+without spaces) are also sought as they stand, with real numbers and names.
 """
 
 from __future__ import annotations
@@ -40,6 +43,14 @@ DRIFT = 8
 WORDS = "filter(split(coalesce(text, ''), '[^\\\\p{L}\\\\p{N}]+'), w -> w <> '')"
 
 
+#: Letters of scripts without spaces between words; each is a word of the form as it stands.
+UNSPACED = "[\\\\p{IsHan}\\\\p{IsHiragana}\\\\p{IsKatakana}\\\\p{IsThai}\\\\p{IsLao}\\\\p{IsKhmer}\\\\p{IsMyanmar}]"
+AS_IT_STANDS = (
+    f"flatten(transform(words, w -> if(w rlike '{UNSPACED}', filter(split(regexp_replace("
+    f"lower(w), '({UNSPACED})', ' $1 '), ' '), x -> x <> ''), array(lower(w)))))"
+)
+
+
 def _template(names: bool) -> str:
     """Template words of the column ``words``; with or without placeholders for names."""
     units = ", ".join(f"'{u}'" for u in UNITS)
@@ -63,11 +74,13 @@ def _repeats(template: str, word: str, at: str) -> str:
 
 
 def _templates(frame: DataFrame, *keep: str) -> DataFrame:
-    """(keep..., words, t0, t1, t2): form 1 hides names, form 2 also makes a run one placeholder."""
+    """(keep..., words, t0, t1, t2, t3): form 1 hides names, form 2 also makes a run one
+    placeholder, and form 3 is the text as it stands."""
     return frame.select(
         *keep, "words", F.expr(_template(False)).alias("t0"), F.expr(_template(True)).alias("t1")
     ).select(
-        *keep, "words", "t0", "t1", F.expr(_collapsed("t1")).alias("t2"))
+        *keep, "words", "t0", "t1", F.expr(_collapsed("t1")).alias("t2"),
+        F.expr(AS_IT_STANDS).alias("t3"))
 
 
 def _windows(frame: DataFrame, wanted: list[tuple[int, int]], *keep: str) -> DataFrame:
@@ -89,27 +102,35 @@ def _windows(frame: DataFrame, wanted: list[tuple[int, int]], *keep: str) -> Dat
 
 
 def benchmark_windows(items: DataFrame, window: int, least_words: int, literals: int) -> DataFrame:
-    """(item_id, form, length, pos, hash): windows with enough words that are no slots."""
-    words = items.withColumn("words", F.expr(WORDS)).where(f"size(words) >= {least_words}")
-    made = _templates(words, "item_id")
+    """(item_id, form, length, pos, hash): windows with enough words that are no slots.
+
+    Windows as they stand need no such words. They are made for items that lose a window
+    of form 0, have under ``least_words`` words, or hold letters of a script without spaces.
+    """
+    made = _templates(items.withColumn("words", F.expr(WORDS)), "item_id")
     slots = f"('{NUMBER}', '{UNIT}', '{NAME}')"
-    forms = [
-        made.select(
-            "item_id", F.lit(form).alias("form"), F.col(f"t{form}").alias("template"),
-            F.expr(f"least({window}, size(t{form}))").alias("length"))
-        for form in range(3)
-    ]
-    return reduce(DataFrame.union, forms).select("item_id", "form", "length", F.posexplode(F.expr(
-        "transform(sequence(0, size(template) - length), i -> slice(template, i + 1, length))"
-    )).alias("pos", "w")).where(
-        F.expr(f"size(filter(w, x -> x not in {slots})) >= least({literals}, length)")
+
+    def cut(form: int, template: str) -> DataFrame:
+        return made.select(
+            "item_id", F.lit(form).alias("form"), F.col(template).alias("template"),
+            F.expr(f"least({window}, size({template}))").alias("length"), F.size("words").alias("n"),
+            F.expr(f"exists(words, w -> w rlike '{UNSPACED}')").alias("unspaced"),
+        ).where("length > 0").select("*", F.posexplode(F.expr(
+            "transform(sequence(0, size(template) - length), i -> slice(template, i + 1, length))"
+        )).alias("pos", "w"))
+
+    told = f"n >= {least_words} and size(filter(w, x -> x not in {slots})) >= least({literals}, length)"
+    lost = cut(0, "t0").where(f"unspaced or not ({told})").select("item_id").distinct()
+    return reduce(DataFrame.union, [cut(form, f"t{form}").where(told) for form in range(3)]).union(
+        cut(3, "t3").join(lost, "item_id", "left_semi")
     ).select("item_id", "form", "length", "pos", F.xxhash64("form", "w").alias("hash"))
 
 
 def _with_values(frame: DataFrame, key: str, name: str) -> DataFrame:
     """(key, system, name): what stands at each place of a text, in lower case.
 
-    System 0 numbers the words, system 2 those of form 2, where a whole run is one value.
+    System 0 numbers the words, system 2 those of form 2, where a whole run is one value,
+    and system 3 those of form 3.
     """
     made = stage(_templates(frame, key), "templates")
     starts = stage(made.where("size(words) > 0").select(key, "words", F.expr(
@@ -121,7 +142,8 @@ def _with_values(frame: DataFrame, key: str, name: str) -> DataFrame:
         "transform(starts, (p, k) -> lower(array_join(slice(words, p + 1, "
         "if(k + 1 < size(starts), starts[least(k + 1, size(starts) - 1)], size(words)) - p), ' ')))"
     ).alias(name))
-    return stage(plain.union(runs), "values")
+    stands = made.select(key, F.lit(3).alias("system"), F.col("t3").alias(name))
+    return stage(plain.union(runs).union(stands), "values")
 
 
 def _by_place(hits: DataFrame, items: DataFrame, held: DataFrame, coverage: float,
@@ -176,7 +198,8 @@ def contaminated(
     ``changed`` the slots of the met windows that hold other values. Where no single diagonal
     holds enough, the three are those of the best place: neighbouring diagonals together,
     words numbered as they are or with runs collapsed. An item shorter than
-    the window is one window; items under ``least_words`` words are too short to tell.
+    the window is one window; items under ``least_words`` words have no template and are
+    met only as they stand, by their whole word sequence.
     Words are runs of letters and digits. Null and empty texts hold nothing, null item
     texts are no items; repeated rows are judged alike and reported once; a null id is
     reported as null. Other columns are not read. Texts are read whole.

@@ -184,6 +184,24 @@ def test_values_with_another_number_of_words(spark):
     assert all(found[i]["matched"] == found[i]["windows"] for i in (10, 11, 12))
 
 
+def test_items_that_templates_do_not_hold(spark):
+    bench = spark.createDataFrame(
+        [(1, "What is 12 + 15 x 3 - 4 / 2"), (2, "Name three primes"), (3, "日本の首都はどこですか"),
+         (4, "1 2 3 4 5 6 7 8 9 10 11 12"), (5, "..."), (6, "巴黎")],
+        "item_id long, text string")
+    noise = " ".join(f"filler{i % 7} word{i}" for i in range(40))
+    rows = [
+        (10, f"{noise} what is 12 + 15 x 3 - 4 / 2? {noise}"), (11, f"{noise} What is 13 + 15 x 3 - 4 / 2"),
+        (12, "Please name three primes."), (13, "Please name three large primes"),
+        (14, "問題:日本の首都はどこですか。東京"), (15, "日本の首都"), (16, f"1 2 3 4 5 6 7 8 9 10 11 12 {noise}"),
+        (17, "2 3 4 5 6 7 8 9 10 11 12 1 9"), (18, "7 6 5 4 3 2 1 7 6 5 4 3 2 1"), (19, "我爱巴黎"), (20, None),
+    ]
+    got = decontaminate.contaminated(frame(spark, rows), bench).collect()
+    want = {(10, 1), (12, 2), (14, 3), (16, 4), (17, 4), (19, 6)}
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+    assert all(r["changed"] == 0 for r in got)
+
+
 def quality_rows():
     draw = random.Random(9)
     syllables = ["the", "re", "on", "ti", "an", "ou", "ly", "en"]
