@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_schema, column, slices
+from lodestone.llm.common import arrow_schema, column, slices, with_row_ids
 from lodestone.llm.files import attempt_name, open_folder
 from lodestone.staging import new_path, stage
 
@@ -175,11 +175,12 @@ def _page(urn: str | None) -> int | None:
 
 def first_copies(pages: DataFrame, least_bytes: int) -> DataFrame:
     """(id, digest, first): for pages whose payload, of at least ``least_bytes``, equals that
-    of a page with a smaller id. Only ids and digests are shuffled; a hot digest is one row
+    of a page with a smaller id, and with ``first`` = id for repeated rows of the smallest. Only ids and digests are shuffled; a hot digest is one row
     of minima after map-side grouping."""
     small = pages.where(F.octet_length("html") >= least_bytes).select("id", "digest")
     least = small.groupBy("digest").agg(F.min("id").alias("first"))
-    return small.join(least, "digest").where("id > first or (id is null and first is not null)").distinct()
+    return small.join(least, "digest").groupBy("id", "digest", "first").count().where(
+        "id > first or (id is null and first is not null) or (id = first and count > 1)").drop("count")
 
 
 def write(
@@ -199,11 +200,18 @@ def write(
         column(id_col).cast("long").alias("id"), column(url_col).cast("string").alias("url"),
         F.coalesce(column(html_col).cast("string"), F.lit("")).alias("html"),
     ).withColumn("digest", F.sha1("html"))
-    copies = first_copies(rows, least_bytes)
+    copies = stage(first_copies(rows, least_bytes), "page-copies")
     a, b = rows.alias("a"), copies.alias("b")
     joined = a.join(
         b, F.expr("a.id <=> b.id and a.digest = b.digest"), "left"
     ).select("a.id", "a.url", "a.html", "a.digest", "b.first")
+    if not copies.where("id = first").isEmpty():
+        # Of repeated rows, wherever a plan puts them, the one with the least row id is the response.
+        again = stage(with_row_ids(joined.where("id = first")), "repeated-pages")
+        chosen = again.groupBy("id", "digest").agg(F.min("rid").alias("least"))
+        marked = again.join(chosen, ["id", "digest"]).select(
+            "id", "url", "html", "digest", F.expr("if(rid = least, null, first)").alias("first"))
+        joined = joined.where("first is null or id is null or id <> first").union(marked)
     ordered = joined.sortWithinPartitions("id", "digest")
     folder = new_path(spark, "warc")
     made = arrow_schema("path string, records long")
@@ -211,7 +219,7 @@ def write(
     def run(batches):
         filesystem, root = open_folder(folder)
         filesystem.create_dir(root, recursive=True)
-        held, index, size, number, last = [], [], 0, 0, None
+        held, index, size, number = [], [], 0, 0
 
         def close():
             nonlocal held, index, size, number
@@ -226,12 +234,9 @@ def write(
                 {"path": [f"{folder}/{name}"], "records": [count]}, schema=made)
 
         for part in slices(batches, "html"):
-            for page, url, html, digest, first in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for page, url, html, _, first in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 payload = html.encode()
-                repeated = (page, digest) == last and page is not None and len(payload) >= least_bytes
-                refers = first if first is not None else page if repeated else None
-                last = (page, digest)
-                packed = record(page, url or "", payload, refers, date)
+                packed = record(page, url or "", payload, first, date)
                 index.append({"offset": size, "length": len(packed)})
                 held.append(packed)
                 size += len(packed)

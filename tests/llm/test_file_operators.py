@@ -191,6 +191,24 @@ def test_archives_round_trip(spark):
                        str(r["refers_to"]), bytes(r["payload"])) for r in got) == sorted(want)
 
 
+def test_repeated_rows_in_different_partitions(spark, tmp_path):
+    one = spark.createDataFrame([(1, "u", "<p>one</p>"), (2, "u", "<p>two</p>")],
+                                "page_id long, url string, html string").coalesce(1)
+    for _ in range(6):
+        one.write.mode("append").parquet(str(tmp_path / "pages"))
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # a task for every file
+    try:
+        pages = spark.read.parquet(str(tmp_path / "pages"))
+        assert pages.rdd.getNumPartitions() == 6
+        got = warc_zip.read(warc_zip.write(pages)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+    kinds = sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in got if r["refers_to"] is not None)
+    assert kinds == [(i, "revisit", i) for i in (1, 2) for _ in range(5)]
+    assert sorted(r["page_id"] for r in got if r["record_type"] == "response") == [1, 2]
+
+
 def test_packages_open_with_other_tools(spark):
     pages = spark.createDataFrame([(*r, "d", "i", "f") for r in page_rows()], PAGES)
     path = warc_zip.write(pages).first()["path"]
