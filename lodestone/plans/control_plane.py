@@ -13,6 +13,7 @@ from lodestone.operators.ordered import top_k
 from lodestone.plans import sql
 from lodestone.plans.tables import corpus, table
 from lodestone.staging import stage
+from lodestone.streaming import router_state
 
 
 # --- prompts and cache -----------------------------------------------------
@@ -108,19 +109,15 @@ def http_outcomes(spark, folder):
 
 
 def provider_status(spark, folder):
-    """Health at the end of the stream, after each provider's last bad call."""
-    calls = stage(_calls(spark, folder), "calls")
-    bad = calls.filter("outcome <> 'success'").groupBy("provider").agg(
-        F.max_by("outcome", "seq").alias("reason"), F.max("at_us").alias("last_us")
-    )
-    off = bad.select(
-        "provider", "reason",
-        (F.col("last_us") / 1e6 + router.disable_seconds(F.col("reason"), F.lit(0.0))).alias("expires_at"),
-    )
+    """Health at the end of the calls, from the state that the breaker ends in."""
+    calls = stage(_calls(spark, folder).select(
+        "provider", "seq", "outcome", (F.col("at_us") / 1e6).alias("at"),
+        F.when(F.col("seq") % 2 == 0, 0.0).otherwise(40_000.0).alias("retry_after")), "calls")
+    off = router_state.disablements(router_state.circuit_breaker(calls), calls)
     providers = calls.groupBy("provider").agg(F.min("seq").alias("position")).withColumn(
         "in_environment", F.col("provider") != "p9"
     )
-    now = (calls.agg(F.max("at_us").alias("m")).select("m").scalar() / 1e6)
+    now = calls.agg(F.max("at").alias("m")).select("m").scalar()
     return router.provider_status(providers, off, now).withColumn(
         "disabled_until", F.round("disabled_until", 4)
     )
@@ -620,13 +617,27 @@ ORACLE = {
             WHEN status >= 500 THEN 'transport_error' WHEN spent THEN 'quota_exhausted'
             ELSE 'transport_error' END AS outcome FROM s""",
     "provider_status": f"""
-        WITH {_CALLS},
-        p AS (SELECT provider, min(seq) AS position FROM calls GROUP BY provider),
-        b AS (SELECT provider, arg_max(outcome, seq) AS reason, max(at_s)
-            + CASE arg_max(outcome, seq) WHEN 'rate_limited' THEN 600 ELSE 60 END AS until
-            FROM calls WHERE outcome <> 'success' GROUP BY provider),
-        s AS (SELECT *, reason IS NOT NULL AND (SELECT max(at_s) FROM calls) < until AS off,
-            provider <> 'p9' AS here FROM p LEFT JOIN b USING (provider))
+        WITH RECURSIVE {_CALLS},
+        n AS (SELECT *, CASE WHEN seq % 2 = 0 THEN 600 ELSE 40000 END AS ttl,
+            row_number() OVER (PARTITION BY provider ORDER BY at_s, seq) AS i FROM calls),
+        walk AS (
+            SELECT DISTINCT provider, CAST(0 AS BIGINT) AS i, 0 AS c, CAST('-Infinity' AS DOUBLE) AS until,
+                '' AS reason FROM n
+            UNION ALL
+            SELECT provider, i, CASE WHEN off THEN c WHEN outcome = 'success' THEN 0
+                    WHEN outcome = 'rate_limited' THEN c + 1 ELSE c END,
+                CASE WHEN off THEN until WHEN outcome = 'success' THEN CAST('-Infinity' AS DOUBLE)
+                    WHEN outcome = 'transport_error' THEN at_s + 60
+                    WHEN c + 1 < 8 THEN CAST('-Infinity' AS DOUBLE) ELSE at_s + ttl END,
+                CASE WHEN off OR outcome = 'success' OR (outcome = 'rate_limited' AND c + 1 < 8) THEN reason
+                    ELSE outcome END
+            FROM (SELECT n.*, w.until, w.reason, n.at_s < w.until AS off,
+                      CASE WHEN w.until > '-Infinity' AND n.at_s >= w.until THEN 0 ELSE w.c END AS c
+                  FROM walk w JOIN n ON n.provider = w.provider AND n.i = w.i + 1)),
+        ends AS (SELECT provider, arg_max(until, i) AS until, arg_max(reason, i) AS reason FROM walk GROUP BY provider),
+        s AS (SELECT provider, min(seq) AS position, any_value(until) AS until, any_value(reason) AS reason,
+                (SELECT max(at_s) FROM calls) < any_value(until) AS off, provider <> 'p9' AS here
+            FROM calls JOIN ends USING (provider) GROUP BY provider)
         SELECT position, provider, here AND NOT off AS available,
             CASE WHEN NOT here THEN 'unavailable_in_environment' WHEN off THEN reason END AS disabled_reason,
             CASE WHEN here AND off THEN round(until, 4) END AS disabled_until FROM s""",

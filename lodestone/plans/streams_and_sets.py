@@ -9,7 +9,7 @@ from lodestone.operators import runs
 from lodestone.operators.ordered import quantile_rows
 from lodestone.plans.tables import table
 from lodestone.streaming import rate_limit, router_state
-from lodestone.streaming.jobs import drain, file_stream, keyed_stream
+from lodestone.streaming.jobs import drain, file_stream, replay
 
 
 def _stream(spark, folder):
@@ -54,12 +54,15 @@ def circuit_breaker(spark, folder):
 
 
 def circuit_breaker_stream(spark, folder):
-    """The same calls as a stream with keyed state."""
-    calls = keyed_stream(_calls(spark, folder), "provider", "calls")
-    return _breaker_rows(drain(router_state.circuit_breaker(calls), "breaker"))
+    """The same calls as a stream with keyed state, in any order of files."""
+    calls = _calls(spark, folder).repartition(4, F.xxhash64("seq"))
+    return _breaker_rows(replay(calls, "calls", router_state.circuit_breaker))
 
 
-_PROVIDERS = ["groq", "cerebras", "mistral"]
+_PROVIDERS = [
+    router_state.Provider("groq", 2.0), router_state.Provider("local", 0.0, False),
+    router_state.Provider("cerebras", 0.0), router_state.Provider("mistral", 1.5),
+]
 
 
 def provider_failover(spark, folder):
@@ -71,11 +74,14 @@ def provider_failover(spark, folder):
         F.element_at(kinds, ((F.col("event_id") * (i + 2)) % 7 + 1).cast("int"))
         for i in range(len(_PROVIDERS))
     ])
+    hints = F.array(*[F.when(F.col("event_id") % (i + 3) == 0, 5.0).otherwise(0.0) for i in range(len(_PROVIDERS))])
+    # The synthetic sessions ask rarely, so their clock runs slower here.
     requests = _events(spark, folder).select(
         F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"),
-        (F.unix_micros("ts") / 1e6).alias("at"), outcomes.alias("outcomes"),
+        (F.unix_micros("ts") / 2e10).alias("at"), outcomes.alias("outcomes"), hints.alias("retry_after"),
     )
-    return router_state.failover(requests, _PROVIDERS)
+    found = router_state.failover(requests, _PROVIDERS)
+    return found.withColumn("waited", F.round("waited", 4))
 
 
 def windowed_client_counts(spark, folder):
@@ -139,39 +145,52 @@ _NEVER = "CAST('-Infinity' AS DOUBLE)"
 def _failover_sql() -> str:
     """One recursion step per request; the providers are nested one inside the next."""
     n = len(_PROVIDERS)
-    step = """SELECT r.session_id, r.i, r.seq, r.now_s, false AS served, '' AS attempts, '' AS provider, """
-    step += ", ".join(f"w.c{i}, w.u{i}, r.o{i}" for i in range(n))
+    fields = ", ".join(f"c{i}, u{i}, l{i}" for i in range(n))
+    step = """SELECT r.session_id, r.i, r.seq, greatest(r.now_s, w.clock) AS clock, false AS served,
+        '' AS attempts, '' AS provider, CAST(0 AS DOUBLE) AS waited, '' AS events, """
+    step += ", ".join(f"w.c{i}, w.u{i}, w.l{i}, r.o{i}, r.h{i}" for i in range(n))
     step += " FROM walk w JOIN req r ON r.session_id = w.session_id AND r.i = w.i + 1"
-    for i in range(n):
-        kept = ", ".join(
-            f"c{j}, u{j}, o{j}" if j != i else f"""CASE WHEN NOT tried THEN c{j}
-                WHEN o{j} = 'success' THEN 0 WHEN o{j} = 'rate_limited' THEN base + 1 ELSE base END AS c{j},
-                CASE WHEN NOT tried THEN u{j} WHEN o{j} = 'success' THEN {_NEVER}
-                WHEN o{j} = 'rate_limited' THEN CASE WHEN base + 1 < 8 THEN {_NEVER} ELSE now_s + 600 END
-                ELSE now_s + 60 END AS u{j}, o{j}"""
-            for j in range(n)
-        )
-        name = _PROVIDERS[i]
-        step = f"""SELECT session_id, i, seq, now_s, served OR (tried AND o{i} = 'success') AS served,
-            attempts || CASE WHEN NOT tried THEN '' WHEN attempts = '' THEN '{name}' ELSE ',{name}' END
-                AS attempts,
-            CASE WHEN tried AND o{i} = 'success' THEN '{name}' ELSE provider END AS provider, {kept}
-            FROM (SELECT *, NOT served AND now_s >= u{i} AS tried,
-                CASE WHEN u{i} > {_NEVER} THEN 0 ELSE c{i} END AS base FROM ({step}))"""
+    for i, (name, gap, here) in enumerate(_PROVIDERS):
+        rest = ", ".join(f"c{j}, u{j}, l{j}, o{j}, h{j}" for j in range(n) if j != i)
+        step = f"""SELECT *, NOT served AND {'true' if here else 'false'} AND clock >= u{i} AS tried,
+            CASE WHEN u{i} > {_NEVER} THEN 0 ELSE c{i} END AS base,
+            CASE WHEN l{i} > {_NEVER} THEN greatest(0.0, {gap} - (clock - l{i})) ELSE 0.0 END AS gap FROM ({step})"""
+        step = f"""SELECT *, CASE WHEN tried THEN clock + gap ELSE clock END AS clock_after,
+            tried AND o{i} = 'rate_limited' AND base + 1 >= 8 AS off FROM ({step})"""
+        step = f"""SELECT session_id, i, seq, clock_after AS clock, served OR (tried AND o{i} = 'success') AS served,
+            attempts || CASE WHEN NOT tried THEN '' WHEN attempts = '' THEN '{name}' ELSE ',{name}' END AS attempts,
+            CASE WHEN tried AND o{i} = 'success' THEN '{name}' ELSE provider END AS provider,
+            CASE WHEN tried THEN waited + gap ELSE waited END AS waited,
+            events || CASE WHEN NOT tried THEN '' ELSE CASE WHEN events = '' THEN '' ELSE '; ' END || CASE o{i}
+                WHEN 'success' THEN '{name} success'
+                WHEN 'rate_limited' THEN '{name} rate_limit consecutive=' || (base + 1) || CASE WHEN off
+                    THEN '; {name} disabled for ' || CASE WHEN h{i} > 0 THEN '5' ELSE '600' END || 's' ELSE '' END
+                WHEN 'quota_exhausted' THEN '{name} disabled quota exhausted'
+                ELSE '{name} error ' || o{i} END END AS events,
+            CASE WHEN NOT tried THEN c{i} WHEN o{i} = 'success' THEN 0 WHEN o{i} = 'rate_limited' THEN base + 1
+                ELSE base END AS c{i},
+            CASE WHEN NOT tried THEN u{i} WHEN o{i} = 'success' THEN {_NEVER}
+                WHEN o{i} = 'rate_limited' THEN CASE WHEN NOT off THEN {_NEVER}
+                    ELSE clock_after + CASE WHEN h{i} > 0 THEN h{i} ELSE 600 END END
+                WHEN o{i} = 'transport_error' THEN clock_after + 60 ELSE CAST('Infinity' AS DOUBLE) END AS u{i},
+            CASE WHEN tried AND o{i} IN ('success', 'rate_limited') THEN clock_after ELSE l{i} END AS l{i},
+            o{i}, h{i}, {rest} FROM ({step})"""
     kinds = """(['rate_limited', 'success', 'transport_error', 'rate_limited', 'success',
         'rate_limited', 'rate_limited'])"""
-    outcomes = ", ".join(f"{kinds}[event_id * {i + 2} % 7 + 1] AS o{i}" for i in range(n))
-    state = ", ".join(f"c{i}, u{i}, o{i}" for i in range(n))
-    start = ", ".join(f"0 AS c{i}, {_NEVER} AS u{i}, '' AS o{i}" for i in range(n))
+    asked = ", ".join(
+        f"{kinds}[event_id * {i + 2} % 7 + 1] AS o{i}, CASE WHEN event_id % {i + 3} = 0 THEN 5.0::DOUBLE ELSE 0 END AS h{i}"
+        for i in range(n))
+    start = ", ".join(f"0 AS c{i}, {_NEVER} AS u{i}, {_NEVER} AS l{i}" for i in range(n))
     return f"""
         WITH RECURSIVE req AS (
-            SELECT user_id AS session_id, event_id AS seq, epoch_us(ts) / 1e6 AS now_s,
-                row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, {outcomes} FROM events),
+            SELECT user_id AS session_id, event_id AS seq, epoch_us(ts) / 2e10 AS now_s,
+                row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, {asked} FROM events),
         walk AS (
-            SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS seq,
-                '' AS attempts, '' AS provider, {start} FROM req
-            UNION ALL SELECT session_id, i, seq, attempts, provider, {state} FROM ({step}))
-        SELECT session_id, seq, attempts, nullif(provider, '') AS provider FROM walk WHERE i > 0"""
+            SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS seq, {_NEVER} AS clock,
+                '' AS attempts, '' AS provider, CAST(0 AS DOUBLE) AS waited, '' AS events, {start} FROM req
+            UNION ALL SELECT session_id, i, seq, clock, attempts, provider, waited, events, {fields} FROM ({step}))
+        SELECT session_id, seq, attempts, nullif(provider, '') AS provider, round(waited, 4) AS waited, events
+        FROM walk WHERE i > 0"""
 
 
 ORACLE = {
@@ -184,7 +203,7 @@ ORACLE = {
                     WHEN event_type = 'signup' AND event_id % 97 = 0 THEN 'quota_exhausted'
                     ELSE 'rate_limited' END AS outcome,
                 CASE WHEN event_id % 2 = 0 THEN 600 ELSE 7200 END AS ttl,
-                row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+                row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
         walk AS (
             SELECT DISTINCT provider, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS seq, '' AS action,
                 0 AS consecutive, CAST('-Infinity' AS DOUBLE) AS until FROM calls

@@ -145,35 +145,98 @@ def test_a_decision_counts_once(spark):
 CALLS = "provider string, seq long, at double, outcome string, retry_after double"
 
 
-def test_breaker_state_lives_across_batches(spark, tmp_path):
+def test_breaker_state_lives_across_batches(spark):
     rows = [("p", i, float(i), "rate_limited", 0.0) for i in range(8)]
     rows += [("p", 8, 500.0, "success", 0.0), ("p", 9, 606.9, "success", 0.0), ("p", 10, 607.0, "success", 0.0)]
     rows += [("q", 0, 0.0, "transport_error", 0.0), ("q", 1, 59.0, "success", 0.0), ("q", 2, 60.0, "success", 0.0)]
-    rows += [("z", 0, 0.0, "quota_exhausted", 0.0), ("z", 1, 1e9, "success", 0.0)]
-    folder = str(tmp_path / "calls")
-    for part in (lambda r: r[1] < 5, lambda r: r[1] >= 5):
-        spark.createDataFrame([r for r in rows if part(r)], CALLS).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(CALLS).option("maxFilesPerTrigger", 1).parquet(folder)
-    done = jobs.drain(router_state.circuit_breaker(stream), "breaker-test")
-    assert done.select("batch_id").distinct().count() == 2
-    got = {(r.provider, r.seq): r.action for r in done.collect()}
-    assert [got["p", i] for i in range(11)] == ["failed"] * 7 + ["disabled", "skipped", "skipped", "served"]
-    assert [got["q", i] for i in range(3)] == ["disabled", "skipped", "served"]
-    assert [got["z", i] for i in range(2)] == ["disabled", "skipped"]
-
-
-def test_failover_order_and_failing_closed(spark, tmp_path):
-    schema = "session_id long, seq long, at double, outcomes array<string>"
-    rows = [(1, 0, 0.0, ["transport_error", "success"]), (1, 1, 30.0, ["success", "success"]),
-            (1, 2, 61.0, ["success", "success"]), (1, 3, 62.0, ["transport_error", "transport_error"]),
-            (1, 4, 63.0, ["success", "success"])]
-    folder = str(tmp_path / "requests")
-    spark.createDataFrame(rows, schema).write.parquet(folder)
-    stream = spark.readStream.schema(schema).parquet(folder)
-    done = jobs.drain(router_state.failover(stream, ["a", "b"]), "failover-test").orderBy("seq").collect()
-    assert [(r.attempts, r.provider) for r in done] == [
-        ("a,b", "b"), ("b", "b"), ("a", "a"), ("a,b", None), ("", None)
-    ]
+    rows += [("z", 0, 0.0, "quota_exhausted", 0.0), ("z", 1, 1e5, "success", 0.0)]
+    rows += [("r", i, float(i), "rate_limited", 30.0) for i in range(8)] + [("r", 8, 37.5, "success", 0.0)]
+    rows += [("o", i, float(i), "success" if i == 4 else "rate_limited", 0.0) for i in range(12)]
+    want = {
+        "p": ["failed"] * 7 + ["disabled", "skipped", "skipped", "served"], "q": ["disabled", "skipped", "served"],
+        "z": ["disabled", "skipped"], "r": ["failed"] * 7 + ["disabled", "served"],
+        "o": ["failed"] * 4 + ["served"] + ["failed"] * 7}
+    rows = [(p, i, 1000.0 + at, outcome, hint) for p, i, at, outcome, hint in rows]
+    for seed in (1, 2):
+        mixed = spark.createDataFrame(rows, CALLS).repartition(5, F.xxhash64(F.lit(seed), "provider", "seq"))
+        done = jobs.replay(mixed, "breaker-test", router_state.circuit_breaker, bytes_per_trigger=1)
+        got = {(r.provider, r.seq): r.action for r in done.collect()}
+        assert len(got) == len(rows)
+        assert {k: [got[k, i] for i in range(len(v))] for k, v in want.items()} == want
+
+
+def state_rows(spark, folder, columns):
+    return [r for r in spark.read.format("statestore").option("stateVarName", columns).load(folder).collect()]
+
+
+def test_idle_state_is_cleared_and_disabled_for_good_stays(spark, tmp_path):
+    rows = [("p", 0, 0.0, "rate_limited", 0.0), ("z", 0, 0.0, "quota_exhausted", 0.0), ("late", 0, 5000.0, "success", 0.0)]
+    rows += [("p", 1, 4000.0, "rate_limited", 0.0), (None, None, 20_000.0, None, None)]
+    rows = [(p, i, 1000.0 + at, outcome, hint) for p, i, at, outcome, hint in rows]
+    folder, state = str(tmp_path / "calls"), str(tmp_path / "state")
+    emitted = []
+    for row in rows:  # one trigger each
+        spark.createDataFrame([row], CALLS).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(CALLS).parquet(folder)
+        walked = router_state.circuit_breaker(stream, late="10 seconds", idle_seconds=1000.0)
+        query = walked.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(
+            lambda batch, _: emitted.extend(tuple(r) for r in batch.collect())).start()
+        query.awaitTermination()
+    # The last row of each key says how it ended; p was forgotten between its calls.
+    got = {(r[0], r[1]): (r[2], r[3]) for r in emitted}
+    assert got["p", 0] == ("failed", 1) and got["z", 0] == ("disabled", 0) and got["late", 0] == ("served", 0)
+    kept = {r["key"]["provider"] for r in state_rows(spark, state, "walk")}
+    assert kept == {"z"}
+    assert ("p", 1) not in got or got["p", 1] == ("failed", 1)
+
+
+REQUESTS = "session_id long, seq long, at double, outcomes array<string>, retry_after array<double>"
+
+
+def asked(spark, rows):
+    return spark.createDataFrame([(s, i, at, o, [h] * len(o)) for s, i, at, o, h in rows], REQUESTS)
+
+
+def test_failover_order_and_failing_closed(spark):
+    rows = [(1, 0, 0.0, ["transport_error", "success"], 0.0), (1, 1, 30.0, ["success", "success"], 0.0),
+            (1, 2, 61.0, ["success", "success"], 0.0), (1, 3, 62.0, ["transport_error", "transport_error"], 0.0),
+            (1, 4, 63.0, ["success", "success"], 0.0), (2, 0, 1.0, ["success", "success"], 0.0)]
+    providers = [router_state.Provider("a"), router_state.Provider("b")]
+    mixed = asked(spark, [(s, i, 1000.0 + at, o, h) for s, i, at, o, h in rows]).repartition(3, F.xxhash64("seq"))
+    done = jobs.replay(mixed, "failover-test", lambda s, late: router_state.failover(s, providers, late), 1)
+    got = [(r.attempts, r.provider) for r in done.where("session_id = 1").orderBy("seq").collect()]
+    assert got == [("a,b", "b"), ("b", "b"), ("a", "a"), ("a,b", None), ("", None)]
+    assert sorted(map(tuple, done.drop("batch_id").collect())) == sorted(
+        map(tuple, router_state.failover(mixed, providers).collect()))
+
+
+def test_failover_environment_pacing_hints_and_events(spark):
+    """Scripted calls as a router with a manual clock answers them."""
+    providers = [router_state.Provider("off", available=False), router_state.Provider("slow", gap=2.0),
+                 router_state.Provider("next")]
+    rows = [(1, i, 0.1 * i, ["success", "rate_limited", "success"], 30.0) for i in range(8)]
+    rows += [(1, 8, 20.0, ["success", "success", "quota_exhausted"], 0.0),
+             (1, 9, 43.9, ["success", "success", "success"], 0.0), (1, 10, 44.1, ["success", "success", "success"], 0.0)]
+    done = {r.seq: r for r in router_state.failover(asked(spark, rows), providers).collect()}
+    assert done[0].attempts == "slow,next" and done[0].waited == 0.0
+    assert done[0].events == "slow rate_limit consecutive=1; next success"
+    assert done[1].waited == pytest.approx(1.9)  # asked 0.1 s after the last call, the gap is 2 s
+    assert done[7].events == "slow rate_limit consecutive=8; slow disabled for 30s; next success"
+    assert done[7].waited == pytest.approx(2.0)  # the eighth call was made at 14 s
+    assert done[8].attempts == "next" and done[8].provider is None
+    assert done[8].events == "next disabled quota exhausted"
+    assert (done[9].attempts, done[9].provider) == ("", None)  # still disabled
+    assert (done[10].attempts, done[10].provider) == ("slow", "slow")
+
+
+def test_status_comes_from_the_state_and_not_from_a_single_bad_call(spark):
+    rows = [("one", 0, 0.0, "rate_limited", 0.0), ("many", 20, 50.0, "rate_limited", 0.0),
+            ("back", 0, 0.0, "transport_error", 0.0), ("back", 1, 61.0, "success", 0.0),
+            ("gone", 0, 0.0, "quota_exhausted", 0.0), ("gone", 1, 5.0, "success", 0.0)]
+    rows += [("many", i, float(i), "rate_limited", 0.0) for i in range(8)]
+    calls = spark.createDataFrame(rows, CALLS)
+    off = router_state.disablements(router_state.circuit_breaker(calls), calls)
+    assert sorted(map(tuple, off.collect())) == [("gone", "quota_exhausted", None), ("many", "rate_limited", 607.0)]
 
 
 def test_sliding_counts_equal_brute_force(spark):
@@ -203,8 +266,8 @@ def test_files_out_of_order_over_triggers_change_nothing(spark, tmp_path):
     want = sorted(map(tuple, router_state.circuit_breaker(events.drop("ts", "user_id")).collect()))
     assert len(want) == events.count()
     assert sorted(map(tuple, router_state.circuit_breaker(cut.drop("ts", "user_id")).collect())) == want
-    streamed = jobs.keyed_stream(cut.drop("ts", "user_id"), "provider", "cut-calls", bytes_per_trigger=1)
-    got = jobs.drain(router_state.circuit_breaker(streamed), "cut-breaker").drop("batch_id")
+    got = jobs.replay(
+        cut.drop("ts", "user_id"), "cut-calls", router_state.circuit_breaker, bytes_per_trigger=1).drop("batch_id")
     assert sorted(map(tuple, got.collect())) == want
 
     stream = jobs.file_stream(spark, str(tmp_path / "cut"), "*.parquet", bytes_per_trigger=1)
