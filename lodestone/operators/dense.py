@@ -1,15 +1,12 @@
-"""Hashed embeddings, cosine, exact and inverted-list nearest neighbours."""
+"""Hashed embeddings, cosine and exact nearest neighbours."""
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,16 +14,13 @@ from lodestone import constants as C
 from lodestone.functions.text import tokenize
 from lodestone.operators.ordered import top_k
 from lodestone.operators.topk_blocks import (
-    QUERY_BLOCK,
+    NEIGHBOURS,
     Leaders,
-    best,
     matrix,
     scan_with_blocks,
     slices,
 )
-from lodestone.staging import spread, stage
-
-NEIGHBOURS = "query_id long, id long, score double"
+from lodestone.staging import spread
 
 
 def token_features(token: str) -> list[str]:
@@ -80,7 +74,7 @@ def _map_tokens(docs: DataFrame, key: str, make, schema: str) -> DataFrame:
         for part in slices(batches):
             yield make(part)
 
-    tokens = docs.select(key, tokenize(F.col("text")).alias("tokens"))
+    tokens = spread(docs, key).select(key, tokenize(F.col("text")).alias("tokens"))
     return tokens.mapInArrow(run, f"{key} {key_type}, {schema}")
 
 
@@ -110,7 +104,7 @@ def hashed_index(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             [part.column(key), part.column("tokens"), vec], names=[key, "tokens", "vec"]
         )
 
-    return _map_tokens(spread(docs, key), key, make, "tokens array<string>, vec array<double>")
+    return _map_tokens(docs, key, make, "tokens array<string>, vec array<double>")
 
 
 class HashingEmbedder:
@@ -178,107 +172,6 @@ def neighbour_rows(leaders: Leaders, query_ids: np.ndarray) -> pa.RecordBatch:
     )
 
 
-#: Vectors of one list that one task scores at a time.
-ROWS_PER_CELL = 50_000
-
-
-class InvertedLists:
-    """Vectors clustered into lists; a query visits only its nearest lists.
-
-    The number of lists grows with the vectors unless ``most_lists`` (published:
-    ``IVF_MAX_LISTS``) bounds it. A list with very many vectors is split into cells of a
-    bounded size, so one dense region does not become one task.
-    """
-
-    def __init__(
-        self, vectors: DataFrame, seed: int = C.SEED, max_iter: int = 10, most_lists: int | None = None
-    ) -> None:
-        n = vectors.count()
-        self.lists = max(1, n // C.IVF_ROWS_PER_LIST)
-        if most_lists is not None:
-            self.lists = min(self.lists, most_lists)
-        prepared = vectors.select("id", "vec", array_to_vector("vec").alias("features"))
-        model = KMeans(k=self.lists, seed=seed, maxIter=max_iter).fit(prepared)
-        self.centres = np.array(model.clusterCenters())
-        assigned = model.transform(prepared).select(
-            "id", "vec", F.col("prediction").alias("list")
-        )
-        self.assigned = stage(assigned, "inverted-lists")
-        sizes = self.assigned.groupBy("list").count()
-        self.cells = sizes.select(
-            "list", F.ceil(F.col("count") / ROWS_PER_CELL).cast("int").alias("cells")
-        )
-
-    def search(self, queries: DataFrame, k: int, probes: int = C.IVF_PROBES) -> DataFrame:
-        """``(query_id, rank, id, score)`` from the ``probes`` nearest lists.
-
-        A task scores one cell against one block of queries, both of bounded size.
-        """
-        centres, probes = self.centres, min(probes, len(self.centres))
-        queries = stage(queries, "queries")
-        n_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-
-        def nearest_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                wanted = matrix(batch.column("vec"))
-                distance = (centres**2).sum(axis=1)[None, :] - 2 * wanted @ centres.T
-                lists = np.argsort(distance, axis=1, kind="stable")[:, :probes]
-                at = np.repeat(np.arange(batch.num_rows), probes)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("query_id").take(pa.array(at)),
-                        batch.column("vec").take(pa.array(at)),
-                        pa.array(lists.ravel().astype(np.int32)),
-                    ],
-                    names=["query_id", "vec", "list"],
-                )
-
-        visits = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec"))
-        visits = visits.mapInArrow(nearest_lists, "query_id long, vec array<double>, list int")
-        visits = visits.join(self.cells, "list").select(
-            "query_id", "vec", "list",
-            F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"),
-            F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int").alias("block"),
-        )
-        members = self.assigned.join(self.cells, "list").select(
-            "id", F.col("vec").cast("array<double>").alias("vec"), "list",
-            F.pmod(F.xxhash64("id"), F.col("cells")).cast("int").alias("cell"),
-            F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),
-        )
-
-        def score_cell(left: pa.Table, right: pa.Table) -> pa.Table:
-            owner, ids, scores = [], [], []
-            if left.num_rows and right.num_rows:
-                members_id = right.column("id").to_numpy()
-                members_vec = matrix(right.column("vec"))
-                asking = left.column("query_id").to_numpy()
-                asked = matrix(left.column("vec"))
-                for start in range(0, len(asking), 1024):
-                    part = np.round(asked[start : start + 1024] @ members_vec.T, 6)
-                    for q, at in enumerate(best(part, members_id, k)):
-                        owner.append(np.full(len(at), asking[start + q]))
-                        ids.append(members_id[at])
-                        scores.append(part[q, at])
-            joined = [np.concatenate(x) if x else np.empty(0) for x in (owner, ids, scores)]
-            return pa.table(
-                {
-                    "query_id": pa.array(joined[0].astype(np.int64)),
-                    "id": pa.array(joined[1].astype(np.int64)),
-                    "score": pa.array(joined[2].astype(np.float64)),
-                }
-            )
-
-        found = (
-            visits.groupBy("list", "cell", "block")
-            .cogroup(members.groupBy("list", "cell", "block"))
-            .applyInArrow(score_cell, NEIGHBOURS)
-        )
-        ranked = top_k(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
-        return ranked.select("query_id", "rank", "id", "score")
-
-
 def recall_and_distance(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """One row: share of the true neighbours found, and mean ratio of best distances."""
     pairs = truth.select("query_id", "id").join(found.select("query_id", "id"), ["query_id", "id"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone import constants as C
 from lodestone.operators import dense, evidence, hybrid, lexical, rerank
+from lodestone.operators.two_level import TwoLevelLists
 from lodestone.plans import sql
 from lodestone.plans.tables import benchmark_queries, corpus, table
 from lodestone.staging import stage
@@ -49,11 +50,25 @@ def neighbour_label_metrics(spark, folder):
     return rank_metrics(judged)
 
 
+#: The synthetic vectors are few, so the lists are short and a fifth of them is visited.
+ROWS_PER_LIST, OPENED, PROBES = 10, 4, 10
+
+
+def _listed_neighbours(spark, folder):
+    lists = TwoLevelLists(_vectors(spark, folder), ROWS_PER_LIST, fitted=False)
+    return lists.search(_vector_queries(spark, folder), 10, PROBES, OPENED)
+
+
+def two_level_neighbours(spark, folder):
+    """Neighbours from the nearest lists, around centres that come first by digest."""
+    return _listed_neighbours(spark, folder).withColumnRenamed("id", "vec_id")
+
+
 def inverted_list_recall(spark, folder):
-    vectors, queries = _vectors(spark, folder), _vector_queries(spark, folder)
-    truth = stage(dense.exact_neighbours(vectors, queries, 10), "truth")
-    found = stage(dense.InvertedLists(vectors).search(queries, 10), "found")
-    return dense.recall_and_distance(found, truth, 10)
+    truth = stage(dense.exact_neighbours(_vectors(spark, folder), _vector_queries(spark, folder), 10), "truth")
+    found = stage(_listed_neighbours(spark, folder), "found")
+    row = dense.recall_and_distance(found, truth, 10)
+    return row.select(F.round("recall", 6).alias("recall"), F.round("distance_ratio", 5).alias("distance_ratio"))
 
 
 def hash_embedding(spark, folder):
@@ -141,7 +156,7 @@ def hard_negative_pairs(spark, folder):
 QUERIES = {
     "cosine_topk": cosine_topk,
     "neighbour_label_metrics": neighbour_label_metrics,
-    "inverted_list_recall": inverted_list_recall,
+    "inverted_list_recall": inverted_list_recall, "two_level_neighbours": two_level_neighbours,
     "hash_embedding": hash_embedding,
     "hybrid_search": hybrid_search,
     "hybrid_degraded": hybrid_degraded,
@@ -254,3 +269,50 @@ ORACLE = {
         SELECT query_id, gold_id AS doc_id, CAST(1 AS DOUBLE) AS label FROM gold
         UNION ALL SELECT query_id, doc_id, CAST(0 AS DOUBLE) FROM neg WHERE n <= 4""",
 }
+
+_LISTED = f"""
+    v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+    lists AS (SELECT greatest(1, count(*) // {ROWS_PER_LIST}) AS lists, count(*) AS n FROM v),
+    coarse AS (SELECT row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) - 1 AS coarse, vec AS centre FROM v
+               QUALIFY coarse < (SELECT ceil(sqrt(lists)) FROM lists)),
+    far AS (SELECT id, vec, coarse, round(list_inner_product(centre, centre) - 2 * list_inner_product(vec, centre), 9)
+                AS d FROM v, coarse),
+    placed AS (SELECT id, any_value(vec) AS vec, arg_min(coarse, (d, coarse)) AS coarse FROM far GROUP BY id),
+    shares AS (SELECT coarse, CAST(ceil(count(*) * (SELECT lists FROM lists) / (SELECT n FROM lists)) AS BIGINT) AS most
+               FROM placed GROUP BY coarse),
+    fine AS (SELECT coarse, row_number() OVER (PARTITION BY coarse ORDER BY md5(CAST(id AS VARCHAR)), id) - 1 AS fine,
+                 vec AS centre FROM placed JOIN shares USING (coarse) QUALIFY fine < most),
+    members AS (
+        SELECT id, any_value(vec) AS vec, any_value(coarse) AS coarse, arg_min(fine, (d, fine)) AS fine FROM (
+            SELECT id, vec, coarse, fine,
+                round(list_inner_product(centre, centre) - 2 * list_inner_product(vec, centre), 9) AS d
+            FROM placed JOIN fine USING (coarse)) GROUP BY id),
+    asked AS (SELECT item_id AS query_id, vec FROM benchmark JOIN v ON id = item_id),
+    opened AS (SELECT query_id, vec, coarse FROM (
+        SELECT query_id, a.vec, coarse,
+            round(list_inner_product(centre, centre) - 2 * list_inner_product(a.vec, centre), 9) AS d FROM asked a, coarse)
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, coarse) <= {OPENED}),
+    visits AS (SELECT query_id, vec, coarse, fine FROM (
+        SELECT query_id, o.vec, coarse, fine,
+            round(list_inner_product(centre, centre) - 2 * list_inner_product(o.vec, centre), 9) AS d
+        FROM opened o JOIN fine USING (coarse))
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, coarse, fine) <= {PROBES}),
+    scored AS (SELECT query_id, id, round(list_inner_product(x.vec, m.vec), 6) AS score
+               FROM visits x JOIN members m USING (coarse, fine)),
+    found AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score
+              FROM scored QUALIFY rank <= 10)"""
+ORACLE |= {
+    "two_level_neighbours": f"""
+        WITH {_LISTED}
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, id AS vec_id, score FROM found""",
+    "inverted_list_recall": f"""
+        WITH {_LISTED},
+        truth AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+            FROM (SELECT query_id, v.id, round(list_inner_product(a.vec, v.vec), 6) AS score FROM asked a, v)
+            QUALIFY rank <= 10),
+        hits AS (SELECT count(*) AS hits FROM truth JOIN found USING (query_id, id)),
+        near AS (SELECT avg((1 - f.score) / (1 - t.score)) AS ratio FROM found f JOIN truth t USING (query_id)
+            WHERE f.rank = 1 AND t.rank = 1 AND 1 - t.score > 0)
+        SELECT round(hits / (10.0 * (SELECT count(DISTINCT query_id) FROM truth)), 6) AS recall,
+            round(coalesce(ratio, 1), 5) AS distance_ratio FROM hits, near""",
+}

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from lodestone import constants as C
 from lodestone.functions.text import char_ngrams, tokenize
-from lodestone.operators import dense, evidence, hybrid, lexical, rerank, topk_blocks
+from lodestone.operators import dense, evidence, hybrid, lexical, rerank, topk_blocks, two_level
+from lodestone.staging import stage
 
 DOCS = [
     (0, "The connection pool db.pool.wait_ms climbs when callers hold connections too long. Wait 40 ms."),
@@ -109,20 +110,41 @@ def test_neighbours_equal_numpy_with_ties_and_without_self(spark):
         assert [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == order
 
 
-def test_inverted_lists_with_all_lists_are_exact_even_when_split(spark, monkeypatch):
-    monkeypatch.setattr(dense, "ROWS_PER_CELL", 30)
-    monkeypatch.setattr(dense, "QUERY_BLOCK", 3)
+def test_two_level_lists_visiting_all_are_exact_even_when_split(spark, monkeypatch):
+    monkeypatch.setattr(two_level, "ROWS_PER_CELL", 7)
+    monkeypatch.setattr(two_level, "QUERIES_PER_CELL", 2)
     rng = np.random.default_rng(2)
     rows = [(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rng.normal(size=(250, 6)))]
     frame = spark.createDataFrame(rows, "id long, vec array<double>")
     asked = frame.filter("id % 25 = 0").withColumnRenamed("id", "query_id")
     truth = dense.exact_neighbours(frame, asked, 4)
-    found = dense.InvertedLists(frame).search(asked, 4, probes=20)
-    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, truth.collect()))
+    for fitted in (True, False):
+        lists = two_level.TwoLevelLists(frame, 10, fitted)
+        assert lists.members.count() == 250 and lists.lists > 10
+        found = lists.search(asked, 4, probes=1000)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, truth.collect()))
     row = dense.recall_and_distance(found, truth, 4).first()
     assert row["recall"] == 1.0 and row["distance_ratio"] == pytest.approx(1.0)
 
 
+def test_calibrated_lists_reach_the_recall_and_skip_most_lists(spark):
+    owners = spark.range(20_000)
+    frame = stage(dense.clustered_vectors(owners, "id", dim=32, clusters=400, sigma=0.06), "clustered")
+    lists = two_level.TwoLevelLists(frame, 50)
+    assert lists.calibrate(dense.exact_neighbours, 10, target=0.95) >= 0.95
+    assert lists.probes <= 0.2 * lists.lists
+    asked = frame.filter("id % 50 = 7").withColumnRenamed("id", "query_id")
+    truth = stage(dense.exact_neighbours(frame, asked, 10), "truth")
+    row = dense.recall_and_distance(lists.search(asked, 10), truth, 10).first()
+    assert row["recall"] >= 0.9
+    compared, pairs = lists.rows_visited(asked).first()
+    assert compared <= 0.2 * pairs
+    visited = lists.list_order(asked.limit(3), two_level.OPENED, lists.probes)
+    plan = lists.members.where(F.col("coarse").isin([r[0] for r in visited.select("coarse").distinct().collect()]))
+    assert "PartitionFilters: [isnotnull(coarse" in plan._jdf.queryExecution().toString() or \
+        "PartitionFilters: [coarse" in plan._jdf.queryExecution().toString()
+
+
 def test_unequal_dimensions_are_an_error(spark):
     frame = spark.createDataFrame([([1.0, 0.0], [1.0])], "a array<double>, b array<double>")
     with pytest.raises(Exception, match="dimension mismatch"):
@@ -212,7 +234,8 @@ def test_short_tokens_count_twice(spark):
 
 
 def test_embedding_needs_no_shuffle(spark):
-    docs = spark.createDataFrame([(1, "payments-api latency p99"), (2, "")], "doc_id long, text string")
+    """Of a scan with many splits; one with fewer than cores is spread first."""
+    docs = spark.range(0, 50, 1, 16).selectExpr("id as doc_id", "concat('payments-api latency p', id) as text")
     plan = dense.hashed_weights(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
 
