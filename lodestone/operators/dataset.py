@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone import constants as C
 from lodestone.functions.text import strip, tokenize
+from lodestone.operators.absence import stated, stated_together
 from lodestone.operators.ordered import ROWS_PER_RANGE, row_numbers, top_k
 from lodestone.staging import stage
 
@@ -152,43 +153,6 @@ def policy_questions(lookups: DataFrame) -> DataFrame:
     ))
 
 
-#: Topics searched for in one scan of the corpus.
-TOPIC_BLOCK = 500
-
-
-def stated(topics: DataFrame, chunks: DataFrame, block: int = TOPIC_BLOCK) -> DataFrame:
-    """Ids of ``topics(topic, terms)`` whose terms all occur in some one chunk body.
-
-    Containment is by substring, so there is no key to join on. A block of topics of
-    a fixed size rides along with the scan as one array, and only the ids found
-    leave a task.
-    """
-    topics = stage(topics.select("topic", "terms").distinct(), "topics")
-    n = topics.count()
-    if n == 0:
-        return topics.select("topic")
-    if n > block:
-        topics = stage(
-            row_numbers(topics, [F.col("topic")], "_row", materialise=False), "topic-blocks"
-        )
-    out: DataFrame | None = None
-    bodies = chunks.select(F.lower("body").alias("body"))
-    for start in range(0, n, block):
-        part = topics if n <= block else topics.filter(
-            (F.col("_row") > start) & (F.col("_row") <= start + block)
-        )
-        wanted = part.agg(F.collect_list(F.struct("topic", "terms")).alias("t")).scalar()
-        found = bodies.withColumn("wanted", wanted).select(
-            F.explode(
-                F.filter(
-                    "wanted", lambda t: F.forall(t["terms"], lambda term: F.contains(F.col("body"), term))
-                )
-            ).alias("t")
-        ).select("t.topic").distinct()
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
-
-
 def gap_questions(topics: DataFrame, chunks: DataFrame) -> DataFrame:
     """``topics(position, text, terms)``: kept where no chunk states all terms."""
     named = topics.withColumn("topic", F.col("position"))
@@ -199,7 +163,7 @@ def gap_questions(topics: DataFrame, chunks: DataFrame) -> DataFrame:
     ))
 
 
-#: Entities one property is asked about in one pass.
+#: Entities that ride beside a property as one array.
 ENTITY_BLOCK = 10_000
 
 
@@ -209,38 +173,33 @@ def property_transfer_questions(
     """A property some passage states, asked of every entity it is not stated for.
 
     ``properties(position, prop, documented_for, proof_terms)``,
-    ``entities(position, entity)``. Entities are laid beside each property in blocks
-    of a fixed size, as many as it takes.
+    ``entities(position, entity)``. An entity that a passage names together with the first
+    word of the property is not asked about; such pairs are read off the passages. The
+    questions themselves are one for each other property and entity, so entities are laid
+    beside a property in blocks.
     """
-    entities = stage(entities, "entities")
-    n = entities.count()
-    entities = stage(
-        row_numbers(entities, [F.col("position")], "_row", materialise=False), "entity-blocks"
-    )
     proof = properties.select(F.col("position").alias("topic"), F.col("proof_terms").alias("terms"))
-    documented = properties.join(
+    word = F.lower(F.split_part("prop", F.lit(" "), F.lit(1)))
+    documented = stage(properties.join(
         stated(proof, chunks).withColumnRenamed("topic", "position"), "position", "left_semi"
-    )
-    documented = stage(documented, "documented-properties")
-    pairs: DataFrame | None = None
-    for start in range(0, max(n, 1), ENTITY_BLOCK):
-        block = entities.filter((F.col("_row") > start) & (F.col("_row") <= start + ENTITY_BLOCK))
-        listed = block.agg(
-            F.collect_list(F.struct(F.col("position").alias("at"), "entity")).alias("e")
-        ).scalar()
-        part = documented.select(
-            "position", "prop", "documented_for", F.explode(listed).alias("e")
-        ).select("position", "prop", "documented_for", "e.at", "e.entity").filter(
-            ~F.contains(F.col("documented_for"), F.col("entity"))
-        )
-        pairs = part if pairs is None else pairs.unionByName(part)
-    pairs = stage(pairs, "property-pairs")
-    both = pairs.select(
-        F.struct("position", "at").alias("topic"),
-        F.array(F.lower("entity"), F.lower(F.split_part("prop", F.lit(" "), F.lit(1)))).alias("terms"),
-    )
-    known = stated(both, chunks).select("topic.position", "topic.at")
-    asked = pairs.join(known, ["position", "at"], "left_anti").select(
+    ).withColumn("word", word), "documented-properties")
+    entities = stage(row_numbers(entities, [F.col("position")], "_row"), "entities")
+    known = stage(stated_together(
+        entities.select(F.lower("entity").alias("term")), documented.select(F.col("word").alias("term")), chunks
+    ), "stated-pairs")
+    blocks = entities.groupBy(F.floor((F.col("_row") - 1) / ENTITY_BLOCK).alias("block")).agg(
+        F.collect_list(F.struct(F.col("position").alias("at"), "entity")).alias("e"))
+    n_blocks = blocks.count()
+    asked = documented.select(
+        "position", "prop", "documented_for", "word",
+        F.explode(F.expr(f"sequence(0L, {max(n_blocks, 1) - 1}L)")).alias("block"),
+    ).join(blocks, "block").select(
+        "position", "prop", "documented_for", "word", F.explode("e").alias("e")
+    ).select("position", "prop", "documented_for", "word", "e.at", "e.entity").where(
+        ~F.contains(F.col("documented_for"), F.col("entity")) & (F.col("word") != "") & (F.col("entity") != "")
+    ).join(
+        known, (F.lower("entity") == F.col("a")) & (F.col("word") == F.col("b")), "left_anti"
+    ).select(
         "position", "at", "prop", "entity",
         F.posexplode(literal_list(C.PROPERTY_TEMPLATES)).alias("i", "template"),
     )

@@ -8,7 +8,7 @@ from lodestone import constants as C
 from lodestone.functions.text import contains_value, tokenize
 from lodestone.operators import curves, dataset, evidence, hybrid, models, suites, telemetry
 from lodestone.operators.dense import HashingEmbedder
-from lodestone.operators.ordered import row_numbers
+from lodestone.operators.ordered import row_numbers, top_k
 from lodestone.plans import sql
 from lodestone.plans.storage_and_graph import PAGE_CHUNKS_SQL, page_chunk_rows
 from lodestone.plans.tables import table
@@ -60,10 +60,6 @@ def heading_questions(spark, folder):
     return dataset.heading_questions(_titles(spark, folder), _chunks(spark, folder))
 
 
-def _two_tokens():
-    return F.slice(tokenize(F.col("text")), 1, 2)
-
-
 def policy_questions(spark, folder):
     lookups = table(spark, folder, "benchmark").select(
         F.col("item_id").alias("position"), "text", F.concat(F.lit("pol-"), F.col("item_id") % 4).alias("document_id")
@@ -81,13 +77,16 @@ def gap_questions(spark, folder):
 
 
 def property_transfer_questions(spark, folder):
-    """One property per document source, asked of every nation."""
-    docs = table(spark, folder, "documents")
-    first = docs.groupBy("source").agg(F.min_by("text", "doc_id").alias("text"))
-    properties = first.select(
+    """The two tokens that most documents of a source hold are its property, asked of every nation."""
+    docs = spread(table(spark, folder, "documents").select("source", "text"))
+    held = docs.select("source", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("token"))
+    counted = held.groupBy("source", "token").agg(F.count("*").alias("n"))
+    first = top_k(counted, ["source"], [F.desc("n"), F.asc("token")], 2)
+    two = first.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("t"))
+    properties = two.select(
         F.expr("CAST(substring(source, 4) AS INT)").alias("position"),
-        F.array_join(_two_tokens(), " ").alias("prop"), F.lower("source").alias("documented_for"),
-        F.slice(_two_tokens(), 1, 1).alias("proof_terms"),
+        F.array_join("t.token", " ").alias("prop"), F.lower("source").alias("documented_for"),
+        F.slice("t.token", 1, 1).alias("proof_terms"),
     )
     entities = table(spark, folder, "nation").select(
         F.col("n_nationkey").alias("position"), F.lower("n_name").alias("entity")
@@ -143,7 +142,12 @@ def _assessed(spark, folder):
             (F.col("document_id") * 1000 + F.col("ordinal")).alias("doc_id"), F.col("body").alias("text")
         ), "chunk-texts",
     )
-    queries = asked.select("query_id", "text")
+    faults = estate.signals(spark).filter("role = 'primary'").groupBy("pattern_id").agg(
+        F.min_by("metric", "position").alias("metric")
+    ).join(estate.patterns(spark).withColumnRenamed("id", "pattern_id"), "pattern_id").select(
+        (-F.col("position").cast("long") - 1).alias("query_id"),
+        F.concat_ws(" ", "metric", "signature").alias("text"))
+    queries = asked.select("query_id", "text").union(faults)
     index = hybrid.build_index(docs, HashingEmbedder())
     hits = stage(hybrid.search(index, queries, HashingEmbedder()), "hits")
     judged = evidence.assess(queries, hits, docs).join(
@@ -152,20 +156,22 @@ def _assessed(spark, folder):
     return stage(judged, "assessed"), hits
 
 
-def _reached(assessed, hits):
-    """Questions with a gold document and whether any hit belongs to it."""
-    gold = assessed.filter(
-        F.col("gold_document_id").rlike(r"^\d+$")
-    ).select("query_id", F.col("gold_document_id").cast("long").alias("gold"))
-    found = hits.join(gold, "query_id").filter(F.floor(F.col("doc_id") / 1000) == F.col("gold"))
-    return gold.join(
+def _reached(spark, hits):
+    """Each fault pattern, and whether one of the first five hits of its search is on its page.
+
+    The pages take the place of runbooks, one for each pattern by its place in the catalogue.
+    """
+    patterns = estate.patterns(spark).select((-F.col("position").cast("long") - 1).alias("query_id"))
+    found = hits.filter("query_id < 0 AND rank <= 5").filter(
+        F.floor(F.col("doc_id") / 1000) == -F.col("query_id") - 1)
+    return patterns.join(
         found.select("query_id").distinct().withColumn("found", F.lit(True)), "query_id", "left"
     ).select("query_id", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def core_suite(spark, folder):
     assessed, hits = _assessed(spark, folder)
-    return suites.core(assessed, _reached(assessed, hits)).withColumn("value", F.round("value", 5))
+    return suites.core(assessed, _reached(spark, hits)).withColumn("value", F.round("value", 5))
 
 
 def probe_suite(spark, folder):
@@ -384,7 +390,6 @@ _HEADING = f"""hh AS (
             "texts[i + 1]", 'answerable', 'question_from_any_section_heading', 'document_id',
             'document_id', 'chunk_id')} FROM hq, range(2) r(i))"""
 
-_TWO = f"({sql.tokens_of('text')})[1:2]"
 _POLICY = f"""q_policy AS (
         SELECT printf('q-pol-%03d', item_id) {_question(
             'text', 'answerable', 'policy_value_lookup', "'pol-' || item_id % 4",
@@ -397,9 +402,12 @@ _GAP = f"""gt AS (SELECT item_id, {sql.tokens_of('text')} AS terms FROM benchmar
         FROM gt WHERE NOT EXISTS (
             SELECT 1 FROM page_chunks c WHERE
                 len(list_filter(gt.terms, lambda t: NOT contains(lower(c.body), t))) = 0))"""
-_PROPERTY = f"""pr AS (
-        SELECT CAST(substr(source, 4) AS INTEGER) AS p, source, {_TWO} AS two FROM (
-            SELECT source, arg_min(text, doc_id) AS text FROM documents GROUP BY source)),
+_PROPERTY = f"""held AS (
+        SELECT source, unnest(list_distinct({sql.tokens_of('text')})) AS token FROM documents),
+    most AS (SELECT source, token, row_number() OVER (PARTITION BY source ORDER BY n DESC, token) AS k FROM (
+        SELECT source, token, count(*) AS n FROM held GROUP BY ALL) QUALIFY k <= 2),
+    pr AS (SELECT CAST(substr(source, 4) AS INTEGER) AS p, source, list(token ORDER BY k) AS two
+           FROM most GROUP BY source),
     prok AS (SELECT * FROM pr WHERE EXISTS (
         SELECT 1 FROM page_chunks c WHERE len(two) = 0 OR contains(lower(c.body), two[1]))),
     pe AS (
@@ -458,9 +466,13 @@ _LABELLED = f"""{PAGE_CHUNKS_SQL}, {_CATALOGUE}, {_NODES}, {_SYMPTOM}, {_SECTION
     {_cap('q_one', 'labelled')}"""
 
 _CHUNK_DOCS = "SELECT document_id * 1000 + ordinal AS doc_id, body AS text FROM page_chunks"
+_ASKED = """SELECT query_id, text FROM numbered UNION ALL
+    SELECT -CAST(pat.pos AS BIGINT) - 1, f.metric || ' ' || signature FROM pat JOIN (
+        SELECT pattern_id, arg_min(metric, pos) AS metric FROM sig WHERE role = 'primary' GROUP BY 1) f
+    ON f.pattern_id = pat.id"""
 _ASSESSED = f"""{_LABELLED},
     numbered AS (SELECT *, row_number() OVER (ORDER BY id) AS query_id FROM labelled),
-    {sql.hybrid(asked='SELECT query_id, text FROM numbered', docs=_CHUNK_DOCS)}, {sql.signals()},
+    {sql.hybrid(asked=_ASKED, docs=_CHUNK_DOCS)}, {sql.signals()},
     judged AS (
         SELECT s.query_id, label, gold_document_id, gold_chunk_id, combined, {sql.VERDICT} AS verdict
         FROM signals s JOIN numbered n ON n.query_id = s.query_id)"""
@@ -476,9 +488,8 @@ _CORE = f"""{_ASSESSED},
             count(*) FILTER (label = 'unanswerable' AND verdict = 'sufficient') AS answered,
             count(*) FILTER (label = 'answerable' AND verdict = 'insufficient') AS refused FROM judged),
     missed AS (
-        SELECT count(*) AS n FROM judged j WHERE regexp_matches(gold_document_id, '^\\d+$')
-            AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = j.query_id
-                AND h.doc_id // 1000 = CAST(j.gold_document_id AS BIGINT))),
+        SELECT count(*) AS n FROM pat WHERE NOT EXISTS (SELECT 1 FROM hits h
+            WHERE h.query_id = -pat.pos - 1 AND rank <= 5 AND h.doc_id // 1000 = pat.pos)),
     core AS (
         SELECT 'core' AS suite, 'sample_is_large_enough' AS name, ny >= 100 AND nn >= 100 AS passed,
             least(ny, nn) AS value FROM c

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from lodestone.operators import dataset, models, suites
+from lodestone.operators import absence, dataset, models, suites
 from lodestone.plans.catalogue import all_queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -66,6 +66,50 @@ def test_absence_is_verified_by_substring(spark, block):
     assert {r.topic for r in dataset.stated(topics, chunks, block).collect()} == {2, 3}
 
 
+def test_stated_topics_equal_brute_force(spark):
+    draw = random.Random(4)
+    bodies = ["".join(draw.choices("ab C", k=draw.randint(0, 30))) for _ in range(40)] + [None, ""]
+    topics = [(i, ["".join(draw.choices("abc ", k=draw.randint(0, 4))) for _ in range(draw.randint(0, 4))])
+              for i in range(80)] + [(90, ["a", None]), (91, []), (92, [""]), (93, ["nowhere", "a"])]
+    chunks = spark.createDataFrame([(b,) for b in bodies], "body string").repartition(3)
+    frame = spark.createDataFrame(topics, "topic int, terms array<string>")
+    want = {t for t, terms in topics if None not in terms and any(
+        all(x in b.lower() for x in terms) for b in bodies if b is not None)}
+    for shard in (1, 7, 500):
+        assert {r.topic for r in absence.stated(frame, chunks, shard).collect()} == want
+    nothing = spark.createDataFrame([], "body string")
+    assert absence.stated(frame, nothing).count() == 0
+
+
+def test_terms_stated_together_equal_brute_force(spark):
+    draw = random.Random(5)
+    bodies = ["".join(draw.choices("abcd ", k=20)) for _ in range(30)]
+    left = ["ab", "cd", "dd", "zz", "a"]
+    right = ["bc", "a", "ddd", "da"]
+    got = absence.stated_together(*[spark.createDataFrame([(x,) for x in t], "term string") for t in (left, right)],
+                                  spark.createDataFrame([(b,) for b in bodies], "body string"))
+    assert set(map(tuple, got.collect())) == {
+        (a, b) for a in left for b in right if any(a in x and b in x for x in bodies)}
+
+
+def test_property_questions_keep_a_plan_of_constant_size(spark, monkeypatch):
+    properties = spark.createDataFrame(
+        [(0, "pool ceiling", "orders-db", ["ceiling"]), (1, "lag limit", "bus", ["not there"])],
+        "position int, prop string, documented_for string, proof_terms array<string>")
+    entities = spark.createDataFrame([(i, f"svc-{i}x") for i in range(50)] + [(50, "orders-db"), (51, "cache")],
+                                     "position int, entity string")
+    chunks = spark.createDataFrame([("the ceiling of svc-3x pool",), ("a cache",)], "body string")
+    sizes = []
+    for block in (7, 10_000):
+        monkeypatch.setattr(dataset, "ENTITY_BLOCK", block)
+        made = dataset.property_transfer_questions(properties, entities, chunks)
+        rows = made.collect()
+        assert len(rows) == 3 * (52 - 2)  # not for orders-db, nor for svc-3x, which a passage names with it
+        assert not any("orders-db" in r.text or "svc-3x" in r.text for r in rows)
+        sizes.append(made._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+    assert sizes[0] == sizes[1]
+
+
 def test_heading_questions(spark):
     titles = spark.createDataFrame([("d", "Pool Trouble")], "id string, title string")
     chunks = spark.createDataFrame(
