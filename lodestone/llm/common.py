@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -58,10 +60,18 @@ def map_text(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow
                 )
+        hand_back()
 
     return frame.mapInArrow(run, schema)
 
 
+def hand_back() -> None:
+    """Gives memory that a task no longer uses back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # systems with another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def arrow_schema(schema: str | StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -74,7 +84,16 @@ def raw_bytes(array: pa.Array) -> list[bytes]:
     return [x or b"" for x in array.cast(pa.binary()).to_pylist()]
 
 
-def without(frame: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
-    """Rows of ``frame`` whose id is not in ``dropped.doc_id``; rows without an id stay."""
-    marked = dropped.select(F.col("doc_id").alias("__dropped")).distinct()
-    return frame.join(marked, column(id_col) == F.col("__dropped"), "left_anti")
+def boxed(frame: DataFrame, text_col: str = "text") -> DataFrame:
+    """(rid, row, text): a number of each row, its other columns under their own names, and its
+    text. Whatever columns there are, no name clashes. Write the result before using it twice."""
+    return frame.select(
+        F.monotonically_increasing_id().alias("rid"),
+        F.struct(*[column(c) for c in frame.columns if c != text_col]).alias("row"),
+        column(text_col).alias("text"))
+
+
+def unboxed(rows: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
+    """The rows of ``boxed`` with the columns they came with."""
+    return rows.select(*[
+        F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in columns])

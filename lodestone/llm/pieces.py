@@ -150,8 +150,8 @@ class Codec:
             and not any(MARK in p.lstrip(MARK) for p, _, _ in pieces)
         )
         self.table = [self._surface(p, kind) for p, _, kind in pieces]
-        self.repaired: set[str] = set()
-        self.memory = WordMemory(self._encode_new)
+        self.differing: set[str] = set()
+        self.memory = WordMemory(self._encode_new, most=150_000)
 
     def _surface(self, piece: str, kind: int) -> bytes:
         if kind == BYTE:
@@ -162,7 +162,7 @@ class Codec:
 
     def _encode_new(self, words: list[str]) -> list[bytes]:
         """Ids of new words by the tokenizers library; where the sentencepiece library has
-        others, its ids count and the word is noted."""
+        others, the word is noted as one without parity."""
         mine = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         theirs = self.reference.encode(words, num_threads=self.threads)
         out = []
@@ -170,8 +170,8 @@ class Codec:
             if self.by_words and word == "":
                 a = b = [self.mark]
             if a != b:
-                self.repaired.add(word)
-            out.append(np.array(b, dtype="<u4").tobytes())
+                self.differing.add(word)
+            out.append(np.array(a, dtype="<u4").tobytes())
         return out
 
     def cut(self, text: str) -> list[str]:
@@ -180,17 +180,28 @@ class Codec:
             return []
         if not self.by_words:
             return [text]
-        if "  " in text or text[0] == " " or MARK in text:
+        if not self.is_spaced(text):
             return re.split(f"(?<=[^ {MARK}]) ", text)
         return text.split(" ")
 
+    def is_spaced(self, text: str) -> bool:
+        """Whether the words are what stands between single spaces."""
+        return bool(text) and self.by_words and not ("  " in text or text[0] == " " or MARK in text)
+
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[int]]:
-        """Ids (little-endian, 32 bits each) of each text and its number of repaired words."""
-        words = [self.cut(t) for t in texts]
-        ids = self.memory.join(words)
-        if not self.repaired:
+        """Ids (little-endian, 32 bits each) of each text and its number of words without parity."""
+        spaced = [i for i, t in enumerate(texts) if self.is_spaced(t)]
+        others = sorted(set(range(len(texts))).difference(spaced))
+        ids: list = [b""] * len(texts)
+        for at, data in (
+            (spaced, self.memory.join_spaced([texts[i] for i in spaced], np.dtype("<u4"))),
+            (others, self.memory.join([self.cut(texts[i]) for i in others])),
+        ):
+            for i, x in zip(at, data, strict=True):
+                ids[i] = x
+        if not self.differing:
             return ids, [0] * len(texts)
-        return ids, [sum(w in self.repaired for w in ws) for ws in words]
+        return ids, [sum(w in self.differing for w in self.cut(t)) for t in texts]
 
     def decode(self, ids: list[bytes]) -> list[str]:
         find, prefix = self.table.__getitem__, self.model["prefix"]
@@ -217,20 +228,20 @@ def codec(path: str, threads: int) -> Codec:
 def encode(
     docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", threads: int = 2
 ) -> DataFrame:
-    """(doc_id, ids array<int>, n_repaired): the whole text of every row.
+    """(doc_id, ids array<int>, n_differing): the whole text of every row.
 
-    Null and empty texts have no ids. ``n_repaired`` counts words on which the two libraries
-    differ; there the ids of the sentencepiece library stand. Repeated and null ids keep
+    Ids are those of the tokenizers library. Null and empty texts have none. ``n_differing``
+    counts the words to which the sentencepiece library gives other ids. Repeated and null ids keep
     their rows; other columns are not read. ``model_path`` must exist on every executor.
     """
     def work(part: pa.RecordBatch) -> dict:
-        ids, repaired = codec(model_path, threads).encode([t or "" for t in part["text"].to_pylist()])
+        ids, differing = codec(model_path, threads).encode([t or "" for t in part["text"].to_pylist()])
         values = np.frombuffer(b"".join(ids), dtype="<i4")
         ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
         return {"doc_id": part["doc_id"], "ids": pa.ListArray.from_arrays(ends, values).cast(kind),
-                "n_repaired": repaired}
+                "n_differing": differing}
 
-    schema = "doc_id long, ids array<int>, n_repaired long"
+    schema = "doc_id long, ids array<int>, n_differing long"
     kind = arrow_schema(schema).field("ids").type
     return map_text(id_and_text(docs, id_col, text_col), work, schema)
 
@@ -257,20 +268,20 @@ def round_trip(
 
     n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit numbers), decoded_sha256
     (lowercase hex, UTF-8), same_text (the decoded text equals the given one; null counts as
-    empty) and n_repaired as in ``encode``.
+    empty) and n_differing as in ``encode``.
     """
     def work(part: pa.RecordBatch) -> dict:
         texts, own = [t or "" for t in part["text"].to_pylist()], codec(model_path, threads)
-        ids, repaired = own.encode(texts)
+        ids, differing = own.encode(texts)
         back = own.decode(ids)
         return {
             "doc_id": part["doc_id"], "n_tokens": [len(x) // 4 for x in ids],
             "ids_crc32": [zlib.crc32(x) for x in ids],
             "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in back],
-            "same_text": [a == b for a, b in zip(texts, back, strict=True)], "n_repaired": repaired,
+            "same_text": [a == b for a, b in zip(texts, back, strict=True)], "n_differing": differing,
         }
 
     return map_text(
         id_and_text(docs, id_col, text_col), work,
         "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, same_text boolean, "
-        "n_repaired long")
+        "n_differing long")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import column, raw_bytes
+from lodestone.llm.common import column, hand_back, raw_bytes
 
 CHUNK, STEP = 512, 448  # bytes of a chunk, and from one chunk to the next
 _PAD = 256  # stands after texts shorter than a chunk
@@ -202,6 +202,7 @@ def with_score(docs: DataFrame, network: ByteNetwork, text_col: str = "text", na
                 held, size = [], 0
         if held:
             out.append(network.probabilities(held))
+        hand_back()
         return pa.array(np.concatenate(out) if out else [], type=pa.float64())
 
     return docs.withColumn(name, score(column(text_col).cast("string")))

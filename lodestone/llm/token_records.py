@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_schema, id_and_text, slices
+from lodestone.llm.common import arrow_schema, hand_back, id_and_text, slices
 from lodestone.llm.files import attempt_name, open_folder
 from lodestone.llm.words import WordMemory
 from lodestone.staging import new_path, stage
@@ -119,6 +119,8 @@ _MARKS = ".,;:!?#$%&*|"
 
 def word_parts(word: str) -> list[str] | None:
     """Parts of a word that the tokenizer would not join: lines, and marks after a letter."""
+    if word[-1:].isalpha() and "\n" not in word:
+        return None
     if "\n" in word:
         lines = word.split("\n")
         if len(lines) < 2 or not all(lines) or word.split() != [lines[0].strip(" "), *lines[1:]]:
@@ -135,14 +137,18 @@ def word_parts(word: str) -> list[str] | None:
 
 @lru_cache(2)
 def _byte_bpe(path: str):
-    """Memory of words over a byte-level tokenizer, kept by the worker between tasks."""
+    """An encoder of whole texts, kept by the worker between tasks, and the type of its ids.
+
+    Words are remembered where the tokenizer cuts them apart. A text that holds the string of
+    a special token is encoded by the tokenizer as it stands, since that token takes it out.
+    """
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     wide = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
     lengths = np.zeros(tokenizer.get_vocab_size(), dtype=np.int64)
     for piece, i in tokenizer.get_vocab().items():
@@ -151,14 +157,16 @@ def _byte_bpe(path: str):
     def encode(words: list[str]) -> list[bytes]:
         """Words run together in groups: each starts a piece of its own, so the ids are cut
         again where the bytes of a word end."""
-        starts_right = [w for w in words if w[0] == " " and not _UNSAFE.search(w)]
+        starts_right = [
+            w for w in words if w[0] == " " and w[1:2].strip() and (" " not in w[1:] or not _UNSAFE.search(w))]
         found = dict.fromkeys(words)
         groups = [starts_right[i : i + 512] for i in range(0, len(starts_right), 512)]
         for group, coded in zip(groups, tokenizer.encode_batch_fast(
                 ["".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(coded.ids, dtype=wide)
             ends = (np.searchsorted(
-                np.cumsum(lengths[ids]), np.cumsum([len(w.encode()) for w in group])) + 1) * wide.itemsize
+                np.cumsum(lengths[ids]), np.cumsum(
+                    [len(w) if w.isascii() else len(w.encode()) for w in group])) + 1) * wide.itemsize
             data, at = ids.tobytes(), 0
             for word, end in zip(group, ends.tolist(), strict=True):
                 found[word] = data[at:end]
@@ -169,7 +177,30 @@ def _byte_bpe(path: str):
             found[word] = np.array(coded.ids, dtype=wide).tobytes()
         return [found[w] for w in words]
 
-    return WordMemory(encode, parts=word_parts), wide
+    memory = WordMemory(encode, parts=word_parts)
+    memory.known[""] = b""
+
+    def encode_texts(texts: list[str]) -> list[bytes]:
+        out: list = [None] * len(texts)
+        spaced, cut, whole = [], [], []
+        for i, text in enumerate(texts):
+            if any(s in text for s in special):
+                whole.append(i)
+            elif _UNSAFE.search(text):
+                cut.append(i)
+            else:
+                spaced.append(i)
+        coded = tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False) if whole else []
+        for at, data in (
+            (spaced, memory.join_spaced([texts[i] for i in spaced], wide, " ")),
+            (cut, memory.join([cut_words(texts[i]) for i in cut])),
+            (whole, [np.array(c.ids, dtype=wide).tobytes() for c in coded]),
+        ):
+            for i, x in zip(at, data, strict=True):
+                out[i] = x
+        return out
+
+    return encode_texts, wide
 
 
 def write(
@@ -180,7 +211,8 @@ def write(
 
     Index: doc_id, path, offset, n_tokens, width (bytes of an id), start (ids of all
     documents before it). Texts go whole; null counts as empty, and every record ends with
-    ``end_id``. Documents without an id come first, repeated ids are neighbours. A file is
+    ``end_id``. The string of a special token in a text is that token, as the library has it.
+    Documents without an id come first, repeated ids are neighbours. A file is
     closed after ``file_bytes``; one document is never split. Other columns are not read.
     """
     folder = new_path(docs.sparkSession, "tokens")
@@ -190,7 +222,7 @@ def write(
     arrow = arrow_schema(schema)
 
     def run(batches):
-        memory, wide = _byte_bpe(tokenizer_path)
+        encode, wide = _byte_bpe(tokenizer_path)
         filesystem, root = open_folder(folder)
         filesystem.create_dir(root, recursive=True)
         part, number, before = TaskContext.get().partitionId(), 0, 0
@@ -199,7 +231,7 @@ def write(
         try:
             for piece in slices(batches):
                 texts = [t or "" for t in piece["text"].to_pylist()]
-                records = frame([d + end for d in memory.join([cut_words(t) for t in texts])])
+                records = frame([d + end for d in encode(texts)])
                 if out is None:
                     name, at = attempt_name("ids", number, ".rec"), 0
                     out, number = filesystem.open_output_stream(f"{root}/{name}"), number + 1
@@ -222,6 +254,7 @@ def write(
         finally:
             if out is not None:
                 out.close()
+            hand_back()
 
     index = stage(ordered.mapInArrow(run, schema), "token-index")
     # One row per writing task: a running total over as many rows as there were tasks.

@@ -8,6 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Words of one generation. A worker remembers two; older words are encoded anew when they
 #: come again, which changes no result.
 MOST_WORDS = 300_000
@@ -27,6 +31,42 @@ class WordMemory:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def of(self, words: list[str]) -> list[bytes]:
+        """The ids of each of the words."""
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        ids = list(map(self.known.get, words))
+        unknown = {w for w, x in zip(words, ids, strict=True) if x is None}
+        if not unknown:
+            return ids
+        self._learn(unknown)
+        find = self.known.__getitem__
+        return [find(w) if x is None else x for w, x in zip(words, ids, strict=True)]
+
+    def join_spaced(self, texts: list[str], wide: np.dtype, lead: str = "") -> list[bytes]:
+        """As ``join``, for texts that are words with single spaces between them.
+
+        A word but the first is looked up with ``lead`` before it. Each distinct word of the
+        texts is looked up once, and the ids are gathered by number.
+        """
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        words, number = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        firsts = lists.offsets.to_numpy()
+        if lead:
+            number[firsts[:-1]] = len(words) + np.arange(len(texts))
+            words = [lead + w for w in words] + [t.partition(" ")[0] for t in texts]
+        ids = self.of(words)
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // wide.itemsize
+        flat, starts = np.frombuffer(b"".join(ids), dtype=wide), np.cumsum(sizes) - sizes
+        counts = sizes[number]
+        ends = np.cumsum(counts)
+        where = np.arange(ends[-1]) + np.repeat(starts[number] - (ends - counts), counts)
+        data, cuts = flat[where].tobytes(), np.append(0, ends)[firsts] * wide.itemsize
+        return [data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
     def join(self, texts: list[list[str]]) -> list[bytes]:
         """The ids of each text, given as its words."""
         if len(self.known) > self.most:

@@ -69,7 +69,6 @@ def test_token_records_round_trip(spark):
     ids = [r["doc_id"] for r in got]
     assert ids == sorted(ids, key=lambda i: (i is not None, i or 0)) and len(ids) == len(rows)
     tokenizer = Tokenizer.from_file(BPE)
-    tokenizer.encode_special_tokens = True
     want = {}
     for i, t in rows:
         coded = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
@@ -99,9 +98,9 @@ def test_pieces_equal_the_reference():
     reference = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     texts = awkward_texts(1500)
     own = pieces.Codec(MODEL, 2)
-    ids, repaired = own.encode(texts)
+    ids, differing = own.encode(texts)
     want = reference.encode(texts)
-    assert own.by_words and not own.repaired and not any(repaired)
+    assert own.by_words and not own.differing and not any(differing)
     assert [np.frombuffer(x, "<u4").tolist() for x in ids] == want
     assert own.decode(ids) == reference.decode(want)
     assert [own.tokenizer.decode(w, skip_special_tokens=False) for w in want[:50]] == reference.decode(want[:50])
@@ -139,7 +138,7 @@ def test_unigram_scores_are_rebuilt(tmp_path):
         assert own.model["kind"] == pieces.UNIGRAM and own.by_words != squeeze
         ids, _ = own.encode(texts)
         assert [np.frombuffer(x, "<u4").tolist() for x in ids] == reference.encode(texts)
-        assert len(own.repaired) < 5
+        assert len(own.differing) < 5
 
 
 def test_pieces_over_a_table(spark):
