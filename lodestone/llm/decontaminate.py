@@ -101,8 +101,45 @@ def _windows(frame: DataFrame, wanted: list[tuple[int, int]], *keep: str) -> Dat
         *keep, "x.form", "x.length", F.posexplode("x.hashes").alias("pos", "hash"))
 
 
+#: Words as numbers: 1 to 3 for the placeholders, a hash for all others. Forms 0 to 3.
+_DIGIT = "ascii({0}) between 48 and 57"
+_CODES = {
+    "h0": f"transform(words, (w, i) -> case when {_DIGIT.format('w')} then 1L when i > 0 and "
+          f"{_DIGIT.format('words[greatest(i - 1, 0)]')} and lower(w) in ({', '.join(repr(u) for u in UNITS)}) "
+          "then 2L else xxhash64(lower(w)) end)",
+    "h1": "transform(h0, (x, i) -> if(x in (1L, 2L), x, if(lower(words[i]) <> words[i], 3L, x)))",
+    "h2": "filter(h1, (x, i) -> not (x in (1L, 3L) and i > 0 and h1[greatest(i - 1, 0)] = x))",
+}
+_CODED = (f"transform({{0}}, x -> case x when '{NUMBER}' then 1L when '{UNIT}' then 2L "
+          f"when '{NAME}' then 3L else xxhash64(x) end)")
+
+
+def _probes(texts: DataFrame, sizes: list[tuple[int, int]]) -> DataFrame:
+    """(doc_id, probe): hashes of the windows of a text, alike for all forms.
+
+    A window of one form that is equal in another is hashed once: form 1 where it differs
+    from form 0, form 2 where a run was collapsed. Form 3 is made if an item asks for it.
+    """
+    def cut(codes: str, lengths: list[int], where: str = "true") -> list[str]:
+        return [
+            f"if({where} and size({codes}) >= {n}, transform(sequence(0, greatest(size({codes}) - {n}, 0)), "
+            f"i -> xxhash64(slice({codes}, i + 1, {n}))), array())" for n in lengths]
+
+    plain = sorted({n for form, n in sizes if form < 3})
+    stands = sorted({n for form, n in sizes if form == 3})
+    coded = texts.select("doc_id", "words", F.expr(_CODES["h0"]).alias("h0"))
+    coded = coded.select("*", F.expr(_CODES["h1"]).alias("h1"))
+    coded = coded.select("*", F.expr(_CODES["h2"]).alias("h2"))
+    made = cut("h0", plain) + cut("h1", plain, "h1 <> h0") + cut("h2", plain, "size(h2) < size(h1)")
+    if stands:
+        coded = coded.select("*", F.expr(_CODED.format(AS_IT_STANDS)).alias("h3"))
+        made += cut("h3", stands)
+    each = F.flatten(F.array(*[F.expr(m) for m in made])) if made else F.expr("array(0L)")
+    return coded.select("doc_id", F.explode(each).alias("probe"))
+
+
 def benchmark_windows(items: DataFrame, window: int, least_words: int, literals: int) -> DataFrame:
-    """(item_id, form, length, pos, hash): windows with enough words that are no slots.
+    """(item_id, form, length, pos, hash, probe): windows with enough words that are no slots.
 
     Windows as they stand need no such words. They are made for items that lose a window
     of form 0, have under ``least_words`` words, or hold letters of a script without spaces.
@@ -123,7 +160,8 @@ def benchmark_windows(items: DataFrame, window: int, least_words: int, literals:
     lost = cut(0, "t0").where(f"unspaced or not ({told})").select("item_id").distinct()
     return reduce(DataFrame.union, [cut(form, f"t{form}").where(told) for form in range(3)]).union(
         cut(3, "t3").join(lost, "item_id", "left_semi")
-    ).select("item_id", "form", "length", "pos", F.xxhash64("form", "w").alias("hash"))
+    ).select("item_id", "form", "length", "pos", F.xxhash64("form", "w").alias("hash"),
+             F.xxhash64(F.expr(_CODED.format("w"))).alias("probe"))
 
 
 def _with_values(frame: DataFrame, key: str, name: str) -> DataFrame:
@@ -214,21 +252,20 @@ def contaminated(
     wanted = stage(benchmark_windows(items, window, least_words, literals), "benchmark-windows")
     sizes = [tuple(r) for r in wanted.select("form", "length").distinct().collect()] or [(0, window)]
     rows = wanted.count()
-    probe = wanted.select("form", "length", "hash").distinct()
+    probe = wanted.select("probe").distinct()
     if rows <= BROADCAST_ROWS:
         wanted, probe = F.broadcast(wanted), F.broadcast(probe)
 
     texts = source.withColumn("words", F.expr(WORDS))
     met = stage(
-        _windows(texts, sizes, "doc_id").join(probe, ["form", "length", "hash"], "left_semi")
-        .select("doc_id").distinct(), "met-documents")
+        _probes(texts, sizes).join(probe, "probe", "left_semi").select("doc_id").distinct(), "met-documents")
     again = source.join(
         met.withColumnRenamed("doc_id", "m"), F.expr("doc_id <=> m"), "left_semi")
     held = stage(
         with_row_ids(again.distinct()).select("rid", "doc_id", F.expr(WORDS).alias("words")),
         "met-words")
     hits = stage(_windows(held, sizes, "rid").withColumnRenamed("pos", "at").join(
-        wanted, ["form", "length", "hash"]
+        wanted.drop("probe"), ["form", "length", "hash"]
     ).withColumn("system", F.expr("if(form < 2, 0, form)")), "window-hits")
     diagonals = hits.where("system = 0").groupBy("rid", "item_id", F.expr("at - pos").alias("shift")).agg(
         F.collect_set("pos").alias("places"), F.max("length").alias("length"))
