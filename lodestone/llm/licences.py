@@ -55,15 +55,11 @@ TEMPLATES = [
 
 # Words are runs of letters, digits and non-ASCII characters; A-Z are lowered.
 _WORD_BYTES = bytes(
-    b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else
-    10 if b == 10 else 32 for b in range(256)
+    b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32
+    for b in range(256)
 )
 
 
-def _lines(text: bytes) -> list[list[bytes]]:
-    return [line.split() for line in text.translate(_WORD_BYTES).split(b"\n")]
-
-
 def word_frequencies(docs: DataFrame, vocabulary: set[str]) -> DataFrame:
     """(word, documents) over every document, for the words of the templates."""
     wanted = {w.encode() for w in vocabulary}
@@ -97,8 +93,9 @@ def scan(
 ) -> DataFrame:
     """One row per document row: word count, phrase places, labels and best containment.
 
-    A text block is a line; a longer line gives overlapping blocks of ``block_words`` words,
-    half a block apart, so every notice of up to half a block lies whole in one of them.
+    A text block is ``block_words`` consecutive words of the whole text, whatever its lines,
+    and at least twice the longest template. Blocks are half a block apart, so every notice
+    lies whole in one of them.
     ``score`` is the best containment of a template that met the threshold, 1 where a
     phrase stands, else 0. Null and empty texts have no words and no labels; a repeated
     or null id keeps a row each; other columns are not read. The templates are a fixed
@@ -115,7 +112,7 @@ def scan(
     prefix = {r for _, _, ranks, need in rows for r in ranks[: len(ranks) - need + 1]}
     rare = frozenset(w for w, r in byte_rank.items() if r in prefix)
     found = [(label, b" " + p.encode() + b" ") for label, p in phrases]
-    half = block_words // 2
+    half = max([block_words // 2, *(len(t.split()) for _, t in templates)])
 
     def places(joined: bytes, phrase: bytes) -> list[int]:
         at, out, counted_to, word = joined.find(phrase), [], 0, 0
@@ -126,23 +123,21 @@ def scan(
             at = joined.find(phrase, at + 1)
         return out
 
-    def blocks(lines: list[list[bytes]]) -> list[list[int]]:
+    def blocks(words: list[bytes]) -> list[list[int]]:
         out = []
-        for line in lines:
-            if rare.isdisjoint(line):
-                continue
-            for at in range(0, max(1, len(line) - half), half):
-                block = line[at : at + block_words]
-                if not rare.isdisjoint(block):
-                    out.append(sorted({byte_rank[w] for w in block if w in byte_rank}))
+        if rare.isdisjoint(words):
+            return out
+        for at in range(0, max(1, len(words) - half), half):
+            block = words[at : at + 2 * half]
+            if not rare.isdisjoint(block):
+                out.append(sorted({byte_rank[w] for w in block if w in byte_rank}))
         return out
 
     def work(part: pa.RecordBatch) -> dict:
         made: dict = {k: [] for k in (
             "n_words", "n_base", "first_word", "last_word", "base", "blocks")}
         for text in raw_bytes(part["text"]):
-            lines = _lines(text)
-            words = [w for line in lines for w in line]
+            words = text.translate(_WORD_BYTES).split()
             joined = b" " + b" ".join(words) + b" "
             hits = [(label, places(joined, p)) for label, p in found]
             starts = [x for _, xs in hits for x in xs]
@@ -151,7 +146,7 @@ def scan(
             made["first_word"].append(min(starts, default=None))
             made["last_word"].append(max(starts, default=None))
             made["base"].append(sorted({label for label, xs in hits if xs}))
-            made["blocks"].append(blocks(lines))
+            made["blocks"].append(blocks(words))
         return {"rid": part["rid"], "doc_id": part["doc_id"], **made}
 
     schema = (

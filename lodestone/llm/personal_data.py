@@ -1,7 +1,8 @@
 """Personal data: fixed patterns first, then identifiers found by their contexts.
 
 One pass over the texts finds the base spans and every other mention that looks like an
-identifier (words with a digit or an at sign). A mention's lexical pattern is the two
+identifier (words with a digit or an at sign, also one written as (at) or [at], with or
+without spaces around it). A mention's lexical pattern is the two
 words before it and the word after it. Patterns and instances form a bipartite graph of
 counts. Base instances are known at the start; each round scores a pattern by the share of
 its mentions that are known, over at least ``support`` different instances, and an instance
@@ -24,13 +25,16 @@ KINDS = ["email", "ip", "card", "phone"]
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_MARK = re.compile(r"[0-9@]\S*")
+_MARK = re.compile(r"(?:[0-9@]|\(at\)|\[at\])\S*")
+_AT = ("@", "(at)", "[at]")  # forms of the sign; words beside one that stands apart belong to it
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _EDGE = " \t\r\n\"'`.,;:!?()[]{}<>|*#$%&="
 _CONTEXT = 64  # characters looked at on either side of a mention
+_PARTS = 24  # no shape has more words: a card number has at most 23 digits
+_LONG = 256  # longer values are compared by a digest
 
 _SHAPES = {
     "email": re.compile(r"\S+\s?(?:@|\(at\)|\[at\])\s?\S+"),
@@ -101,33 +105,66 @@ def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
         for k, s, e in spans
     ]
     taken = sorted((s, e) for _, s, e in spans)
-    runs: list[list[int]] = []
-    for match in _MARK.finditer(text):
-        start, floor = match.start(), runs[-1][1] if runs else 0
-        while start > floor and not text[start - 1].isspace():
-            start -= 1
-        if runs and start - runs[-1][1] == 1 and text[start - 1] == " ":
-            runs[-1][1] = match.end()
-        else:
-            runs.append([start, match.end()])
     at = 0
-    for start, end in runs:
-        while at < len(taken) and taken[at][1] <= start:
-            at += 1
-        if at < len(taken) and taken[at][0] < end:
-            continue
-        while start < end and text[start] in _EDGE:
-            start += 1
-        while end > start and text[end - 1] in _EDGE:
-            end -= 1
-        value = text[start:end]
-        fits = [k for k in KINDS if len(value) <= 256 and _SHAPES[k].fullmatch(value)]
-        if fits:
+    for group in _word_groups(text):
+        i = 0
+        while i < len(group):
+            for j in range(min(len(group), i + _PARTS), i, -1):  # the longest run that has a shape
+                start, end = _stripped(text, group[i][0], group[j - 1][1])
+                value = text[start:end]
+                fits = [k for k in KINDS if _SHAPES[k].fullmatch(value)]
+                if fits:
+                    break
+            else:
+                i += 1
+                continue
+            i = j
+            while at < len(taken) and taken[at][1] <= start:
+                at += 1
+            if at < len(taken) and taken[at][0] < end:
+                continue
+            if len(value) > _LONG:
+                value = digest(value)
             out.append({"kind": None, "start": start, "end": end, "value": value,
                         "pattern": _context(text, start, end), "fits": fits})
     return out
 
 
+def _stripped(text: str, start: int, end: int) -> tuple[int, int]:
+    while start < end and text[start] in _EDGE:
+        start += 1
+    while end > start and text[end - 1] in _EDGE:
+        end -= 1
+    return start, end
+
+
+def _word_groups(text: str) -> list[list[tuple[int, int]]]:
+    """Words with a digit or an at sign, in groups of those with single spaces between."""
+    groups: list[list[tuple[int, int]]] = []
+    found, floor = _MARK.search(text), 0
+    while found:
+        start, end = found.start(), found.end()
+        while start > floor and not text[start - 1].isspace():
+            start -= 1
+        if text.startswith(_AT, start) and start - 1 > floor and text[start - 1].isspace():
+            before = start - 1
+            while before > floor and not text[before - 1].isspace():
+                before -= 1
+            start = before if before < start - 1 else start
+        if text.endswith(_AT, start, end) and text[end : end + 1].isspace():
+            after = end + 1
+            while after < len(text) and not text[after].isspace():
+                after += 1
+            end = after if after > end + 1 else end
+        if groups and start - groups[-1][-1][1] == 1 and text[start - 1] == " ":
+            groups[-1].append((start, end))
+        else:
+            groups.append([(start, end)])
+        floor = end
+        found = _MARK.search(text, end)
+    return groups
+
+
 def accepted_patterns(
     edges: DataFrame, rounds: int, support: int, confidence: float
 ) -> DataFrame:

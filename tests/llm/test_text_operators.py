@@ -3,7 +3,9 @@
 import math
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -55,13 +57,73 @@ def test_contexts_find_unseen_identifiers(spark):
     found = personal_data.find(frame(spark, rows)).collect()
     assert len(found) == len(rows)
     added = [(r["doc_id"], [(s["kind"], s["start"], s["end"]) for s in r["added"]]) for r in found]
-    assert [x for x in added if x[1]] == []  # no digit and no at sign: not a mention
+    assert [x for x in added if x[1]] == [(100, [("email", 22, 45)])]
     rows[12] = (100, "please write to me at bob@mail for news")
     added = [(r["doc_id"], [(s["kind"], s["start"], s["end"]) for s in r["added"]])
              for r in personal_data.find(frame(spark, rows)).collect()]
     assert [x for x in added if x[1]] == [(100, [("email", 22, 30)])]
 
 
+@pytest.mark.parametrize("written", [
+    "bob(at)mail.example.com", "bob7(at)mail.example.com", "bob [at] mail.example.com", "bob @ mail", "bob@mail",
+    "b" * 300 + "@mail", "bob (at)mail"])
+def test_identifiers_are_found_however_they_are_written(spark, written):
+    rows = [(i, f"please write to me at user{i}@mail.example.com for news") for i in range(12)]
+    found = personal_data.find(frame(spark, rows + [(100, f"please write to me at {written} for news")]))
+    spans = {r["doc_id"]: r["added"] for r in found.collect()}[100]
+    assert [(s["kind"], s["start"], s["end"]) for s in spans] == [("email", 22, 22 + len(written))]
+
+
+def test_a_number_beside_an_identifier_hides_none(spark):
+    rows = [(i, f"my id 7 user{i}@mail.example.com for news") for i in range(12)]
+    rows += [(100, "my id 7 bob@mail for news")]
+    spans = {r["doc_id"]: r["added"] for r in personal_data.find(frame(spark, rows)).collect()}[100]
+    assert [(s["kind"], s["start"], s["end"]) for s in spans] == [("email", 8, 16)]
+
+
+def test_long_runs_of_digits_take_linear_time():
+    started = time.time()
+    for text in ("1" * 1_000_000, "1 " * 200_000, "1." * 200_000, "a@" * 100_000, "(at) " * 50_000):
+        personal_data.mentions(text, personal_data.base_spans(text))
+    assert time.time() - started < 60
+
+
+def slow_graph(edges, rounds, support, confidence):
+    """The scores over edges (pattern, value, fits, known, n), round by round."""
+    pairs = [(p, v, k, known, n) for p, v, fits, known, n in edges for k in fits]
+    total = Counter()
+    for p, _, _, _, n in edges:
+        total[p] += n
+    score = {}
+    for _, v, k, known, _ in pairs:
+        score[v, k] = max(score.get((v, k), 0.0), float(known == k))
+    for _ in range(rounds):
+        hit, many = Counter(), Counter()
+        for p, v, k, _, n in pairs:
+            hit[p, k] += n * score[v, k]
+            many[p, k] += score[v, k] >= confidence
+        c = {x: hit[x] / total[x[0]] if many[x] >= support else 0.0 for x in hit}
+        score = {}
+        for p, v, k, known, _ in pairs:
+            own = c[p, k] if c[p, k] >= confidence else 0.0
+            score[v, k] = max(score.get((v, k), 0.0), float(known == k), own)
+    return {x for x, v in c.items() if v >= confidence}
+
+
+def test_pattern_scores_equal_brute_force(spark):
+    draw = random.Random(11)
+    for _ in range(4):
+        edges = {(f"p{draw.randrange(6)}", f"v{draw.randrange(25)}"): None for _ in range(60)}
+        rows = []
+        for p, v in edges:
+            known = draw.choice([None, "email", "phone"]) if draw.random() < 0.8 else None
+            rows.append((p, v, ["email", "phone"] if known is None else personal_data.KINDS, known, draw.randint(1, 5)))
+        schema = "pattern string, value string, fits array<string>, known string, n long"
+        for confidence in (0.3, 0.6):
+            got = personal_data.accepted_patterns(spark.createDataFrame(rows, schema), 3, 2, confidence)
+            assert {tuple(r) for r in got.collect()} == slow_graph(rows, 3, 2, confidence)
+
+
 def test_mixed_contexts_add_nothing(spark):
     values = ["a1@b.c", "10.1.2.3", "4111111111111111", "+1 (555) 123-4567", "55501234"]
     rows = [(i, f"seen on the {values[i % 5]} then") for i in range(50)]
@@ -81,16 +143,15 @@ def slow_licences(text, frequencies):
                 starts.append(i)
                 base.add(label)
     labels, best = set(base), 0.0
-    for line in lower.split("\n"):
-        ws = words_of.findall(line)
-        for at in range(0, max(1, len(ws) - 32), 32):
-            block = set(ws[at : at + 64])
-            for label, template in licences.TEMPLATES:
-                t = set(template.split())
-                share = len(block & t) / len(t)
-                if len(block & t) >= math.ceil(0.85 * len(t) - 1e-9):
-                    labels.add(label)
-                    best = max(best, share)
+    half = max(32, max(len(t.split()) for _, t in licences.TEMPLATES))
+    for at in range(0, max(1, len(words) - half), half):
+        block = set(words[at : at + 2 * half])
+        for label, template in licences.TEMPLATES:
+            t = set(template.split())
+            share = len(block & t) / len(t)
+            if len(block & t) >= math.ceil(0.85 * len(t) - 1e-9):
+                labels.add(label)
+                best = max(best, share)
     return (len(words), len(starts), min(starts, default=None), max(starts, default=None),
             ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if starts else best)
 
@@ -115,6 +176,20 @@ def test_licences_match_brute_force(spark):
     assert sorted(str(tuple(r)) for r in got) == want
 
 
+def test_wrapped_and_long_notices_are_found_whole(spark):
+    long = " ".join(f"clause{i}" for i in range(90))
+    own = [("mit", licences.TEMPLATES[1][1]), ("long", long)]
+    rows = []
+    for k, (_, notice) in enumerate(own):
+        for at in (0, 31, 57):
+            words = ["filler"] * at + notice.split() + ["more"] * 40
+            for width in (1, 7, 1000):
+                lines = [" ".join(words[i : i + width]) for i in range(0, len(words), width)]
+                rows.append((1000 * k + 10 * at + len(str(width)), "\n".join(lines)))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licences.scan(frame(spark, rows), templates=own).collect()}
+    assert got == {i: ("mit" if i < 1000 else "long", 1.0) for i, _ in rows}
+
+
 def item(n, name, unit="km"):
     return (f"{name} drives {n} {unit} from the old harbour to the quiet village and {name} waits {n} "
             "minutes before the long way home begins again near the river")
