@@ -104,23 +104,43 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     return core
 
 
-def cycle_path(core: DataFrame) -> list | None:
-    """One cycle as a list of nodes, the first repeated at the end.
+def cycles(core: DataFrame) -> DataFrame:
+    """(cycle, position, node): the cycles that the least successors of a core lead to.
 
-    Follows the least successor from the least node of the core. Meant for the
-    error message about a graph that should have none; it returns one walk.
+    ``core`` is what ``cyclic_core`` leaves, so every node has a successor. A cycle is named
+    by its least node, which is at position 0. Pointers are doubled: after as many steps as
+    there are nodes a walk is on its cycle, and the places on a cycle come from doubling
+    again, so the number of jobs is logarithmic in the nodes.
     """
-    if core.isEmpty():
-        return None
-    following = stage(
-        core.groupBy("upstream_id").agg(F.min("downstream_id").alias("next")), "successors"
-    )
-    node = core.agg(F.min("upstream_id")).first()[0]
-    path: list = []
-    while node not in path:
-        path.append(node)
-        node = following.filter(F.col("upstream_id") == F.lit(node)).first()["next"]
-    return [*path[path.index(node) :], node]
+    step = stage(core.groupBy(F.col("upstream_id").alias("node")).agg(
+        F.min("downstream_id").alias("next")), "successors")
+    rounds = step.count().bit_length()
+    jump = step.select("node", F.col("next").alias("to"), F.least("node", "next").alias("least"))
+    for _ in range(rounds):
+        further = jump.select(F.col("node").alias("to"), F.col("to").alias("then"), F.col("least").alias("other"))
+        jump = stage(jump.join(further, "to").select(
+            "node", F.col("then").alias("to"), F.least("least", "other").alias("least")), "jumps")
+    on = jump.select(F.col("to").alias("node")).distinct().join(jump, "node").select(
+        "node", F.col("least").alias("cycle"))
+    ends = F.col("next") == F.col("cycle")
+    rank = stage(on.join(step, "node").select(
+        "cycle", "node", F.when(~ends, F.col("next")).alias("to"),
+        F.when(ends, 0).otherwise(1).cast("long").alias("left")), "ranks")
+    for _ in range(rounds):
+        further = rank.select(F.col("node").alias("to"), F.col("to").alias("then"), F.col("left").alias("more"))
+        rank = stage(rank.join(further, "to", "left").select(
+            "cycle", "node", F.col("then").alias("to"),
+            (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")), "ranks")
+    sizes = rank.groupBy("cycle").agg(F.max("left").alias("last"))
+    return rank.join(sizes, "cycle").select("cycle", (F.col("last") - F.col("left")).alias("position"), "node")
+
+
+def cycle_path(core: DataFrame) -> list | None:
+    """One cycle as a list of nodes, the first repeated at the end, for an error message."""
+    found = cycles(core)
+    first = found.agg(F.min("cycle").alias("cycle"))
+    path = [r["node"] for r in found.join(first, "cycle").orderBy("position").collect()]
+    return [*path, path[0]] if path else None
 
 
 def downstream_of(edges: DataFrame, node) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import constraints as K
-from lodestone.operators import graph
+from lodestone.operators import graph, vectors
 from lodestone.plans.tables import table
 from lodestone.sources import artefacts, corpus, sinks
 from lodestone.staging import spread, stage
@@ -286,12 +286,38 @@ def cyclic_core(spark, folder):
     return graph.cyclic_core(_supply_edges(spark, folder))
 
 
+def cycle_paths(spark, folder):
+    """The cycles of the same graph, each with its nodes in order."""
+    return graph.cycles(graph.cyclic_core(_supply_edges(spark, folder)))
+
+
+def _stored_vectors(spark, folder):
+    """The given vectors under one model, and half of each second one under another."""
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return rows.withColumn("model", F.lit("table-v1")).unionByName(
+        rows.filter("id % 2 = 0").select("id", F.slice("vec", 1, 32).alias("vec"), F.lit("half-v1").alias("model")))
+
+
+def vectors_by_model(spark, folder):
+    return vectors.count_by_model(_stored_vectors(spark, folder))
+
+
+def vector_dimensions(spark, folder):
+    return vectors.dimensions(_stored_vectors(spark, folder))
+
+
+def chunks_without_vectors(spark, folder):
+    """Documents without a vector of the second model, though the first may have one."""
+    chunks = table(spark, folder, "documents").select(F.col("doc_id").alias("id"))
+    return vectors.without_vector(chunks, _stored_vectors(spark, folder), "half-v1")
+
+
 QUERIES = {
     f.__name__: f for f in (
         page_chunks, front_matter, markdown_tables, number_constants, event_frames, upsert_orders,
         insert_if_absent, session_touch, orphan_delete, orphan_lines, load_report,
         constraint_violations, migration_drift, closure_hops, direct_neighbours, graph_problems,
-        cyclic_core,
+        cyclic_core, cycle_paths, vectors_by_model, vector_dimensions, chunks_without_vectors,
     )
 }
 
@@ -484,3 +510,35 @@ ORACLE = {
         SELECT u AS upstream_id, d AS downstream_id FROM e
         WHERE u IN (FROM after) AND u IN (FROM before) AND d IN (FROM after) AND d IN (FROM before)""",
 }
+
+_CORE_CTE = """e AS (SELECT DISTINCT l_suppkey AS u, l_partkey AS d FROM lineitem),
+        reach AS (
+            SELECT u, d FROM e UNION SELECT reach.u, e.d FROM reach JOIN e ON reach.d = e.u),
+        cyc AS (SELECT u AS c FROM reach WHERE u = d),
+        after AS (SELECT d AS v FROM reach JOIN cyc ON u = c UNION SELECT c FROM cyc),
+        before AS (SELECT u AS v FROM reach JOIN cyc ON d = c UNION SELECT c FROM cyc),
+        core AS (SELECT u, d FROM e
+            WHERE u IN (FROM after) AND u IN (FROM before) AND d IN (FROM after) AND d IN (FROM before))"""
+ORACLE |= {
+    "cycle_paths": f"""
+        WITH RECURSIVE {_CORE_CTE},
+        step AS (SELECT u, min(d) AS nxt FROM core GROUP BY u),
+        walk AS (
+            SELECT u AS root, u AS node, 0 AS i FROM step
+            UNION ALL SELECT root, nxt, i + 1 FROM walk JOIN step ON node = u
+            WHERE i < (SELECT count(*) FROM step)),
+        round AS (SELECT root, min(i) AS size FROM walk WHERE i > 0 AND node = root GROUP BY root),
+        least AS (SELECT w.root FROM walk w JOIN round r ON r.root = w.root AND w.i < size
+            GROUP BY w.root HAVING min(node) = w.root)
+        SELECT w.root AS cycle, CAST(i AS BIGINT) AS position, node
+        FROM walk w JOIN round USING (root) JOIN least USING (root) WHERE i < size""",
+    "vectors_by_model": """
+        SELECT 'table-v1' AS model, count(*) AS n FROM embeddings
+        UNION ALL SELECT 'half-v1', count(*) FROM embeddings WHERE vec_id % 2 = 0""",
+    "vector_dimensions": """
+        SELECT DISTINCT 'table-v1' AS model, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings
+        UNION ALL SELECT DISTINCT 'half-v1', CAST(len(embedding[1:32]) AS INTEGER) FROM embeddings WHERE vec_id % 2 = 0""",
+    "chunks_without_vectors": """
+        SELECT doc_id AS id FROM documents
+        WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0)""",
+}

@@ -4,7 +4,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, telemetry
+from lodestone.operators import graph, telemetry, vectors
 from lodestone.sources import estate
 
 
@@ -40,6 +40,38 @@ def test_cycles_are_found_with_a_path(spark):
     assert graph.cycle_path(core) == ["b", "c", "b"]
 
 
+def test_all_cycles_come_with_their_nodes_in_order(spark):
+    draw = random.Random(7)
+    pairs = {(draw.randrange(60), draw.randrange(60)) for _ in range(90)} | {(100 + i, 100 + (i + 1) % 37) for i in range(37)}
+    core = graph.cyclic_core(edges_of(spark, [(f"n{a:03d}", f"n{b:03d}") for a, b in pairs]))
+    following = {}
+    for u, d in core.collect():
+        following[u] = min(d, following.get(u, d))
+    want = set()
+    for node in following:
+        for _ in following:
+            node = following[node]
+        path = [node]
+        while following[path[-1]] != node:
+            path.append(following[path[-1]])
+        turn = path.index(min(path))
+        want.add(tuple(path[turn:] + path[:turn]))
+    got = {}
+    for r in graph.cycles(core).collect():
+        got.setdefault(r["cycle"], {})[r["position"]] = r["node"]
+    assert {tuple(v[i] for i in range(len(v))) for v in got.values()} == want
+    assert graph.cycles(graph.cyclic_core(edges_of(spark, [("a", "b")]))).count() == 0
+
+
+def test_vectors_of_models_are_kept_apart(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", [1.0, 0.0]), (2, "a", [1.0, 0.0]), (1, "b", [1.0])], "id long, model string, vec array<double>")
+    assert {tuple(r) for r in vectors.count_by_model(rows).collect()} == {("a", 2), ("b", 1)}
+    assert {tuple(r) for r in vectors.dimensions(rows).collect()} == {("a", 2), ("b", 1)}
+    chunks = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    assert sorted(r["id"] for r in vectors.without_vector(chunks, rows, "b").collect()) == [2, 3]
+
+
 def test_closure_ends_on_a_cycle(spark):
     edges = edges_of(spark, [("a", "b"), ("b", "a")])
     got = graph.blast_radius(edges, spark.createDataFrame([("a",)], "root string")).collect()
