@@ -159,17 +159,18 @@ def _pick(points: DataFrame, chooser, order: Column) -> DataFrame:
 class Statistic(Protocol):
     """A number of a resample, put together from sums over ranges of scores.
 
-    ``partial`` gets the scores of a range, best first, and the drawn counts of positives
-    and negatives (replicates by scores); it returns one array per name in ``sums``.
-    ``value`` makes the number from the columns named in ``sums`` and from ``p`` and ``n``,
-    summed over all ranges; ``carry`` names pairs (a, b): a times the ``p`` of better ranges
-    is added to b. A null value leaves the replicate out.
+    ``partial`` gets the scores of a range, best first, the drawn counts of positives and
+    negatives (replicates by scores) and those of all better ranges (by replicate); it
+    returns one array per name in ``sums``. ``value`` makes the number from the columns
+    named in ``sums`` and from ``p`` and ``n``, summed over all ranges. A null value leaves
+    the replicate out.
     """
 
     sums: tuple[str, ...]
-    carry: tuple[tuple[str, str], ...]
 
-    def partial(self, scores: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]: ...
+    def partial(
+        self, scores: np.ndarray, p: np.ndarray, n: np.ndarray, p_before: np.ndarray, n_before: np.ndarray
+    ) -> tuple[np.ndarray, ...]: ...
 
     def value(self) -> Column: ...
 
@@ -178,25 +179,37 @@ class Auc:
     """Area under the ROC curve."""
 
     sums = ("area",)
-    carry = (("n", "area"),)
 
-    def partial(self, scores: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-        return ((n * (np.cumsum(p, axis=1) - p / 2)).sum(1),)
+    def partial(self, scores, p, n, p_before, n_before) -> tuple[np.ndarray, ...]:
+        return ((n * (p_before[:, None] + np.cumsum(p, axis=1) - p / 2)).sum(1),)
 
     def value(self) -> Column:
         return F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("area") / (F.col("p") * F.col("n")))
 
 
+class AveragePrecision:
+    """Precision at each score, weighted by the positives it adds."""
+
+    sums = ("weighted",)
+
+    def partial(self, scores, p, n, p_before, n_before) -> tuple[np.ndarray, ...]:
+        hits = p_before[:, None] + np.cumsum(p, axis=1)
+        seen = hits + n_before[:, None] + np.cumsum(n, axis=1)
+        return ((p * np.divide(hits, seen, out=np.zeros_like(hits), where=seen > 0)).sum(1),)
+
+    def value(self) -> Column:
+        return F.when(F.col("p") > 0, F.col("weighted") / F.col("p"))
+
+
 class Accuracy:
     """Share of rows on their side of a threshold."""
 
     sums = ("right",)
-    carry = ()
 
     def __init__(self, threshold: float) -> None:
         self.threshold = threshold
 
-    def partial(self, scores: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    def partial(self, scores, p, n, p_before, n_before) -> tuple[np.ndarray, ...]:
         above = scores >= self.threshold
         return (p[:, above].sum(1) + n[:, ~above].sum(1),)
 
@@ -204,6 +217,45 @@ class Accuracy:
         return F.try_divide(F.col("right"), F.col("p") + F.col("n"))
 
 
+# The step and the two factors of a published 64-bit mixing function.
+_STEP, _FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(_FIRST)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(_SECOND)
+    return z ^ (z >> np.uint64(31))
+
+
+def _poisson(counts: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """Poisson numbers of mean ``counts`` (by column) at the given places of their distribution."""
+    out = np.zeros(chance.shape)
+    for mean in np.unique(counts[counts > 0]):
+        reach = 12 * math.sqrt(mean) + 30
+        low = max(0, math.floor(mean - reach))
+        values = np.arange(low, math.ceil(mean + reach) + 1)
+        logs = np.concatenate([[0.0], np.log(np.arange(1, values[-1] + 1, dtype=float))]).cumsum()[values]
+        below = np.cumsum(np.exp(values * math.log(mean) - mean - logs))
+        at = np.flatnonzero(counts == mean)
+        out[:, at] = low + np.searchsorted(below, chance[:, at], side="right")
+    return out
+
+
+def draws(scores: np.ndarray, p: np.ndarray, n: np.ndarray, resamples: int, seed: int):
+    """Drawn counts (replicates by scores) of positives and negatives.
+
+    A draw is a digest of the score, the side, the replicate and the seed, taken as a place
+    in the Poisson distribution. It depends on nothing else, and SQL can repeat it.
+    """
+    with np.errstate(over="ignore"):
+        own = _mixed((np.asarray(scores, dtype=float) + 0.0).view(np.uint64) + np.uint64(seed) * np.uint64(_STEP))
+        at = np.arange(1, resamples + 1, dtype=np.uint64)[:, None] * np.uint64(2)
+        return tuple(
+            _poisson(counts, (_mixed(own[None, :] + (at + np.uint64(side)) * np.uint64(_STEP))
+                              >> np.uint64(11)) * 2.0**-53)
+            for side, counts in ((0, p), (1, n)))
+
+
 def bootstrap(
     scored: DataFrame, statistic: Statistic, resamples: int = 2000, confidence: float = 0.95,
     seed: int = C.SEED, rows_per_range: int = 20_000,
@@ -211,44 +263,44 @@ def bootstrap(
     """Percentile interval ``(low, high, used)`` of any ``Statistic``.
 
     Every distinct score keeps its two counts, and a replicate draws a Poisson number for
-    each of them: the large-sample form of resampling rows. The generator is seeded by the
-    score itself, so the draws do not depend on how rows are laid out or split in ranges.
-    A range reports a few sums per replicate; what is shuffled is replicates times ranges.
+    each of them: the large-sample form of resampling rows. Draws come from digests, so they
+    do not depend on how rows are laid out or split in ranges, and a second pass can make
+    them again. The first pass sums the counts of each range; running sums tell every range
+    what better ones hold, so statistics that need the order come out exact. What is
+    shuffled is replicates times ranges.
     """
     groups = validated(stage(grouped_scores(scored), "scores"))
     rows = ranged(groups, [F.desc("score")], rows_per_range, materialise=False)
     names = ["p", "n", *statistic.sums]
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+    def walked(pdf: pd.DataFrame, p_before: np.ndarray, n_before: np.ndarray, sums):
         pdf = pdf.sort_values("score", ascending=False)
-        scores = pdf["score"].to_numpy(dtype=float)
-        sums = np.zeros((len(names), resamples))
-        carried = np.zeros(resamples)
+        scores, total = pdf["score"].to_numpy(dtype=float), np.zeros((2 + len(sums), resamples))
         for start in range(0, len(pdf), 500):
-            part = pdf.iloc[start : start + 500]
-            p = np.empty((resamples, len(part)))
-            n = np.empty((resamples, len(part)))
-            bits = scores[start : start + 500].view(np.uint64)
-            for i, (positives, negatives) in enumerate(zip(part["p"], part["n"], strict=True)):
-                rng = np.random.default_rng([seed, int(bits[i])])
-                p[:, i], n[:, i] = rng.poisson(positives, resamples), rng.poisson(negatives, resamples)
-            made = [p.sum(1), n.sum(1), *statistic.partial(scores[start : start + 500], p, n)]
-            for a, b in statistic.carry:
-                made[names.index(b)] = made[names.index(b)] + made[names.index(a)] * carried
-            carried = carried + made[0]
-            sums += np.array(made)
-        table = pd.DataFrame(sums.T, columns=names)
-        return table.assign(replicate=np.arange(resamples), part=int(pdf[RANGE].iloc[0]))
-
-    schema = ", ".join(f"{c} double" for c in names) + ", replicate int, part int"
-    parts = rows.groupBy(RANGE).applyInPandas(draw, schema)
-    before = Window.partitionBy("replicate").orderBy("part").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    placed = parts.withColumn("p_before", F.coalesce(F.sum("p").over(before), F.lit(0.0)))
-    for a, b in statistic.carry:
-        placed = placed.withColumn(b, F.col(b) + F.col(a) * F.col("p_before"))
-    estimates = placed.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in names]).select(
+            part = slice(start, start + 500)
+            p, n = draws(scores[part], pdf["p"].to_numpy()[part], pdf["n"].to_numpy()[part], resamples, seed)
+            made = [p.sum(1), n.sum(1)]
+            if sums:
+                made += statistic.partial(scores[part], p, n, p_before + total[0], n_before + total[1])
+            total += np.array(made)
+        return pd.DataFrame(total.T, columns=["p", "n", *sums]).assign(replicate=np.arange(resamples))
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        nothing = np.zeros(resamples)
+        return walked(pdf, nothing, nothing, ()).assign(part=int(pdf[RANGE].iloc[0]))
+
+    def measure(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        before = before.sort_values("replicate")
+        return walked(pdf, before["p"].to_numpy(dtype=float), before["n"].to_numpy(dtype=float), statistic.sums)
+
+    parts = rows.groupBy(RANGE).applyInPandas(count, "p double, n double, replicate int, part int")
+    earlier = Window.partitionBy("replicate").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = stage(parts.select(
+        F.col("part").alias(RANGE), "replicate",
+        *[F.coalesce(F.sum(c).over(earlier), F.lit(0.0)).alias(c) for c in ("p", "n")]), "counts-before")
+    schema = ", ".join(f"{c} double" for c in names) + ", replicate int"
+    measured = rows.groupBy(RANGE).cogroup(before.groupBy(RANGE)).applyInPandas(measure, schema)
+    estimates = measured.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in names]).select(
         statistic.value().alias("e")
     ).filter("e IS NOT NULL")
     tail = (1.0 - confidence) / 2

@@ -72,8 +72,16 @@ def operating_points(spark, folder):
     return out
 
 
+def _interval(rows):
+    return rows.select(*[F.round(c, 8).alias(c) if c != "used" else F.col(c) for c in rows.columns])
+
+
 def bootstrap_auc(spark, folder):
-    return curves.bootstrap_auc(_scored(spark, folder))
+    return _interval(curves.bootstrap_auc(_scored(spark, folder)))
+
+
+def bootstrap_average_precision(spark, folder):
+    return _interval(curves.bootstrap(_scored(spark, folder), curves.AveragePrecision(), resamples=1000))
 
 
 def wilson_by_source(spark, folder):
@@ -139,6 +147,7 @@ QUERIES = {
     "average_precision": average_precision,
     "operating_points": operating_points,
     "bootstrap_auc": bootstrap_auc,
+    "bootstrap_average_precision": bootstrap_average_precision,
     "wilson_by_source": wilson_by_source,
     "mcnemar_rules": mcnemar_rules,
     "required_sample_size": required_sample_size,
@@ -255,3 +264,68 @@ ORACLE = {
             max(score) FILTER (label = 0) AS negative_ceiling FROM scored)
         SELECT *, positive_floor <= negative_ceiling AS overlap FROM x""",
 }
+
+
+def _mixed_sql(z: str) -> str:
+    """The mixing function over unsigned 128-bit numbers, modulo 2^64."""
+    wrap = "18446744073709551616::UHUGEINT"
+    one = f"(xor({z}, {z} >> 30) * {curves._FIRST}::UHUGEINT) % {wrap}"
+    return one, "(xor({0}, {0} >> 27) * " + f"{curves._SECOND}::UHUGEINT) % {wrap}", "xor({0}, {0} >> 31)"
+
+
+def _resampled_sql(resamples: int) -> str:
+    """CTE ``drawn(score, replicate, p, n)``: Poisson counts from digests."""
+    step, wrap = f"{curves._STEP}::UHUGEINT", "18446744073709551616::UHUGEINT"
+
+    def mixed(source: str, z: str, out: str, keep: str) -> str:
+        a, b, c = _mixed_sql("z0")
+        return (f"{out}_0 AS (SELECT {keep}, ({z}) % {wrap} AS z0 FROM {source}), "
+                f"{out}_1 AS (SELECT {keep}, {a} AS z1 FROM {out}_0), "
+                f"{out}_2 AS (SELECT {keep}, {b.format('z1')} AS z2 FROM {out}_1), "
+                f"{out} AS (SELECT {keep}, {c.format('z2')} AS z FROM {out}_2)")
+
+    bits = "CAST(CAST(CAST(score AS BIT) AS VARCHAR) AS BIT)::UBIGINT::UHUGEINT"
+    return f"""{_SCORED.split('    cum AS (')[0].rstrip().rstrip(',')},
+        {mixed('groups', f"{bits} + ({C.SEED}::UHUGEINT * {step}) % {wrap}", 'own', 'score, p, n')},
+        cells AS (SELECT own.score, r.replicate, side, CASE side WHEN 0 THEN p ELSE n END AS mean,
+            z + ((2 * (r.replicate + 1) + side)::UHUGEINT * {step}) % {wrap} AS asked
+            FROM own, range({resamples}) r(replicate), range(2) s(side)),
+        {mixed('cells', 'asked', 'place', 'score, replicate, side, mean')},
+        means AS (SELECT DISTINCT mean FROM cells WHERE mean > 0),
+        chances AS (
+            SELECT mean, list(below ORDER BY j) AS below FROM (
+                SELECT mean, j, sum(exp(j * ln(mean) - mean - lgamma(j + 1))) OVER (
+                    PARTITION BY mean ORDER BY j) AS below
+                FROM means, LATERAL (SELECT unnest(range(0, CAST(ceil(mean + 12 * sqrt(mean) + 30) AS BIGINT) + 1)) AS j))
+            GROUP BY mean),
+        counts AS (
+            SELECT score, replicate, side, CASE WHEN mean = 0 THEN 0 ELSE len(list_filter(
+                below, lambda b: b <= CAST(CAST(z AS UBIGINT) >> 11 AS DOUBLE) * pow(2, -53))) END AS k
+            FROM place LEFT JOIN chances USING (mean)),
+        drawn AS (SELECT score, replicate, CAST(sum(k) FILTER (side = 0) AS DOUBLE) AS p,
+            CAST(sum(k) FILTER (side = 1) AS DOUBLE) AS n FROM counts GROUP BY score, replicate)"""
+
+
+_BOUNDS = """ordered AS (SELECT list(e ORDER BY e) AS e, count(*) AS m FROM estimates WHERE e IS NOT NULL),
+        bounds AS (SELECT e[CAST(greatest(0, floor((1.0::DOUBLE - 0.95) / 2 * m)) AS BIGINT) + 1] AS low,
+            e[CAST(least(m - 1, ceil((1 - (1.0::DOUBLE - 0.95) / 2) * m) - 1) AS BIGINT) + 1] AS high,
+            CAST(m AS INTEGER) AS used FROM ordered)"""
+ORACLE |= {
+    "bootstrap_auc": f"""
+        WITH {_resampled_sql(2000)},
+        better AS (SELECT *, sum(p) OVER (PARTITION BY replicate ORDER BY score DESC) - p / 2 AS before FROM drawn),
+        estimates AS (SELECT CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN sum(n * before) / (sum(p) * sum(n)) END AS e
+            FROM better GROUP BY replicate),
+        {_BOUNDS},
+        point AS (SELECT sum(n * before) / (sum(p) * sum(n)) AS point FROM (
+            SELECT p, n, sum(p) OVER (ORDER BY score DESC) - p / 2 AS before FROM groups))
+        SELECT round(point, 8) AS point, round(low, 8) AS low, round(high, 8) AS high, used FROM bounds, point""",
+    "bootstrap_average_precision": f"""
+        WITH {_resampled_sql(1000)},
+        seen AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM drawn
+            WINDOW w AS (PARTITION BY replicate ORDER BY score DESC)),
+        estimates AS (SELECT CASE WHEN sum(p) > 0 THEN
+            sum(CASE WHEN tp + fp > 0 THEN p * tp / (tp + fp) ELSE 0 END) / sum(p) END AS e FROM seen GROUP BY replicate),
+        {_BOUNDS}
+        SELECT round(low, 8) AS low, round(high, 8) AS high, used FROM bounds""",
+}

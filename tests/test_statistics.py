@@ -1,9 +1,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import constants as C
 from lodestone.functions import stats as S
 from lodestone.operators import curves
 
@@ -76,6 +78,31 @@ def test_bootstrap_of_another_statistic(spark, sample):
     assert row.low < right < row.high and row.used == 300 and row.high - row.low < 0.2
 
 
+def test_average_precision_interval_equals_a_plain_walk_over_the_draws(spark, sample):
+    scores, labels = sample
+    one = curves.bootstrap(frame(spark, *sample), curves.AveragePrecision(), resamples=200, rows_per_range=15).first()
+    kinds = sorted(set(scores), reverse=True)
+    p = np.array([sum(y for s, y in zip(scores, labels, strict=True) if s == k) for k in kinds])
+    n = np.array([sum(1 - y for s, y in zip(scores, labels, strict=True) if s == k) for k in kinds])
+    dp, dn = curves.draws(np.array(kinds, dtype=float), p, n, 200, C.SEED)
+    values = []
+    for a, b in zip(dp, dn, strict=True):
+        tp = fp = total = 0.0
+        for x, y in zip(a, b, strict=True):
+            tp, fp = tp + x, fp + y
+            total += x * tp / (tp + fp) if tp + fp else 0.0
+        values.append(total / a.sum())
+    values.sort()
+    assert (one.low, one.high) == (pytest.approx(values[5]), pytest.approx(values[194]))
+
+
+def test_draws_have_the_mean_and_spread_of_their_distribution():
+    for mean in (1, 3, 40, 100_000):
+        p, n = curves.draws(np.arange(50) / 7, np.full(50, mean), np.full(50, mean), 2000, 1)
+        assert abs(p.mean() / mean - 1) < 0.02 and abs(n.var() / mean - 1) < 0.05
+        assert abs(np.corrcoef(p[:, 0], p[:, 1])[0, 1]) < 0.1 and abs(np.corrcoef(p[:, 0], n[:, 0])[0, 1]) < 0.1
+
+
 def test_no_point_within_budget_is_an_error(spark):
     points = curves.roc_points(frame(spark, [2, 1], [0, 1])).where("threshold < 2")
     with pytest.raises(Exception, match="budget"):
