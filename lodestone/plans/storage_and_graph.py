@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import constraints as K
-from lodestone.operators import graph, vectors
+from lodestone.operators import graph, suites, vectors
 from lodestone.plans.tables import table
 from lodestone.sources import artefacts, corpus, sinks
-from lodestone.staging import spread, stage
+from lodestone.staging import new_path, spread, stage
 
 _MARKDOWN_STEPS = [
     ("(?s)<script[^>]*>.*?</script>", ""),
@@ -292,10 +292,15 @@ def cycle_paths(spark, folder):
 
 
 def _stored_vectors(spark, folder):
-    """The given vectors under one model, and half of each second one under another."""
-    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return rows.withColumn("model", F.lit("table-v1")).unionByName(
-        rows.filter("id % 2 = 0").select("id", F.slice("vec", 1, 32).alias("vec"), F.lit("half-v1").alias("model")))
+    """The given vectors under one model, and half of each second one under another, loaded in
+    bulk into a folder per model."""
+    rows = table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<float>").alias("vec"))
+    path = new_path(spark, "stored-vectors")
+    sinks.write_vectors(rows.withColumn("model", F.lit("table-v1")), path)
+    sinks.write_vectors(rows.filter("id % 2 = 0").select(
+        "id", F.slice("vec", 1, 32).alias("vec"), F.lit("half-v1").alias("model")), path)
+    return spark.read.schema("id long, vec array<float>, model string").parquet(path)
 
 
 def vectors_by_model(spark, folder):
@@ -312,12 +317,29 @@ def chunks_without_vectors(spark, folder):
     return vectors.without_vector(chunks, _stored_vectors(spark, folder), "half-v1")
 
 
+def written_report(spark, folder):
+    """Each source as a suite of two checks, written as a report and read back."""
+    judged = table(spark, folder, "labels").join(table(spark, folder, "documents").select("doc_id", "source"), "doc_id")
+    shares = judged.groupBy("source").agg(
+        F.avg(F.col("quality").cast("double")).alias("good"), F.avg(F.col("toxic").cast("double")).alias("toxic"))
+    checks = shares.select("source", F.explode(F.array(
+        F.struct(F.lit("mostly_good").alias("name"), (F.col("good") >= 0.8).alias("passed"), F.col("good").alias("value")),
+        F.struct(F.lit("hardly_toxic").alias("name"), (F.col("toxic") <= 0.1).alias("passed"), F.col("toxic").alias("value")),
+    )).alias("c")).select(F.col("source").alias("suite"), "c.*")
+    path = new_path(spark, "report")
+    sinks.write_report(suites.report(checks), path)
+    return sinks.read_report(spark, path).select("suite", "passed", F.explode("checks").alias("c")).select(
+        "suite", "passed", F.col("c.name").alias("name"), F.col("c.passed").alias("holds"),
+        F.round("c.value", 6).alias("value"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         page_chunks, front_matter, markdown_tables, number_constants, event_frames, upsert_orders,
         insert_if_absent, session_touch, orphan_delete, orphan_lines, load_report,
         constraint_violations, migration_drift, closure_hops, direct_neighbours, graph_problems,
         cyclic_core, cycle_paths, vectors_by_model, vector_dimensions, chunks_without_vectors,
+        written_report,
     )
 }
 
@@ -541,4 +563,10 @@ ORACLE |= {
     "chunks_without_vectors": """
         SELECT doc_id AS id FROM documents
         WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0)""",
+    "written_report": """
+        WITH s AS (SELECT source, avg(CAST(quality AS DOUBLE)) AS good, avg(CAST(toxic AS DOUBLE)) AS toxic
+            FROM labels JOIN documents USING (doc_id) GROUP BY source)
+        SELECT source AS suite, good >= 0.8 AND toxic <= 0.1 AS passed, name, holds, round(value, 6) AS value FROM (
+            SELECT *, 'mostly_good' AS name, good >= 0.8 AS holds, good AS value FROM s
+            UNION ALL SELECT *, 'hardly_toxic', toxic <= 0.1, toxic FROM s)""",
 }

@@ -80,11 +80,3 @@ def replay(
 
     stream = file_stream(spark, folder, "*.parquet", bytes_per_trigger)
     return drain(build(stream, f"{span} seconds"), label, then=time_passes)
-
-
-def keyed_stream(rows: DataFrame, key: str, label: str, bytes_per_trigger: int = 256 * 1024 * 1024) -> DataFrame:
-    """A table as a stream in which all rows of a key lie in one file, so that no trigger
-    sees a part of a key and the order of files does not matter."""
-    spark, folder = rows.sparkSession, new_path(rows.sparkSession, label)
-    rows.repartition(key).write.option("maxRecordsPerFile", 0).parquet(folder)
-    return file_stream(spark, folder, "*.parquet", bytes_per_trigger)
