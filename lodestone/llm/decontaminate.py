@@ -114,27 +114,51 @@ _CODED = (f"transform({{0}}, x -> case x when '{NUMBER}' then 1L when '{UNIT}' t
           f"when '{NAME}' then 3L else xxhash64(x) end)")
 
 
+def _chained(frame: DataFrame, codes: str, lengths: list[int]) -> tuple[DataFrame, dict[int, str]]:
+    """Columns with the hash of the window of each length from every place of ``codes`` on.
+
+    A window's hash is that of the hashes of its two halves, so each length costs one pass
+    of pairs. Places too near the end for a whole window hold numbers that mean nothing.
+    """
+    made = {1: codes}
+
+    def need(n: int) -> None:
+        nonlocal frame
+        if n not in made:
+            need(n // 2)
+            need(n - n // 2)
+            made[n] = f"{codes}_{n}"
+            frame = frame.select("*", F.expr(
+                f"transform({made[n // 2]}, (x, i) -> xxhash64(x, get({made[n - n // 2]}, i + {n // 2})))"
+            ).alias(made[n]))
+
+    for n in lengths:
+        need(n)
+    return frame, made
+
+
 def _probes(texts: DataFrame, sizes: list[tuple[int, int]]) -> DataFrame:
     """(doc_id, probe): hashes of the windows of a text, alike for all forms.
 
     A window of one form that is equal in another is hashed once: form 1 where it differs
     from form 0, form 2 where a run was collapsed. Form 3 is made if an item asks for it.
     """
-    def cut(codes: str, lengths: list[int], where: str = "true") -> list[str]:
-        return [
-            f"if({where} and size({codes}) >= {n}, transform(sequence(0, greatest(size({codes}) - {n}, 0)), "
-            f"i -> xxhash64(slice({codes}, i + 1, {n}))), array())" for n in lengths]
-
     plain = sorted({n for form, n in sizes if form < 3})
     stands = sorted({n for form, n in sizes if form == 3})
     coded = texts.select("doc_id", "words", F.expr(_CODES["h0"]).alias("h0"))
     coded = coded.select("*", F.expr(_CODES["h1"]).alias("h1"))
-    coded = coded.select("*", F.expr(_CODES["h2"]).alias("h2"))
-    made = cut("h0", plain) + cut("h1", plain, "h1 <> h0") + cut("h2", plain, "size(h2) < size(h1)")
+    coded = coded.select("doc_id", "words", "h0", F.expr("if(h1 <> h0, h1, array())").alias("h1"),
+                         F.expr(_CODES["h2"]).alias("h2"))
+    coded = coded.select("doc_id", "words", "h0", "h1", F.expr(
+        "if(size(h2) < size(h1), h2, array())").alias("h2"))
     if stands:
         coded = coded.select("*", F.expr(_CODED.format(AS_IT_STANDS)).alias("h3"))
-        made += cut("h3", stands)
-    each = F.flatten(F.array(*[F.expr(m) for m in made])) if made else F.expr("array(0L)")
+    whole = []
+    for codes, lengths in (("h0", plain), ("h1", plain), ("h2", plain), ("h3", stands)):
+        if lengths:
+            coded, made = _chained(coded, codes, lengths)
+            whole += [f"slice({made[n]}, 1, greatest(size({codes}) - {n - 1}, 0))" for n in lengths]
+    each = F.flatten(F.array(*[F.expr(x) for x in whole])) if whole else F.expr("array(0L)")
     return coded.select("doc_id", F.explode(each).alias("probe"))
 
 
@@ -158,10 +182,14 @@ def benchmark_windows(items: DataFrame, window: int, least_words: int, literals:
 
     told = f"n >= {least_words} and size(filter(w, x -> x not in {slots})) >= least({literals}, length)"
     lost = cut(0, "t0").where(f"unspaced or not ({told})").select("item_id").distinct()
-    return reduce(DataFrame.union, [cut(form, f"t{form}").where(told) for form in range(3)]).union(
+    found = stage(reduce(DataFrame.union, [cut(form, f"t{form}").where(told) for form in range(3)]).union(
         cut(3, "t3").join(lost, "item_id", "left_semi")
     ).select("item_id", "form", "length", "pos", F.xxhash64("form", "w").alias("hash"),
-             F.xxhash64(F.expr(_CODED.format("w"))).alias("probe"))
+             F.expr(_CODED.format("w")).alias("codes")), "windows")
+    lengths = [r["length"] for r in found.select("length").distinct().collect()]  # at most ``window``
+    chained, made = _chained(found, "codes", lengths)
+    first = F.coalesce(*[F.when(F.col("length") == n, F.get(made[n], F.lit(0))) for n in lengths], F.lit(0).cast("long"))
+    return chained.select("item_id", "form", "length", "pos", "hash", first.alias("probe"))
 
 
 def _with_values(frame: DataFrame, key: str, name: str) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
