@@ -75,14 +75,22 @@ def migration_checksum(sql: Column) -> Column:
     )
 
 
+#: Four digits, and more of them after version 9999; a version has one name.
+MIGRATION_VERSION = r"^(\d{4}|[1-9]\d{4,17})_"
+
+
+def _version(pattern: str) -> Column:
+    """The number of a migration file; null when its name does not match."""
+    return F.nullif(F.regexp_extract("file", pattern, 1), F.lit("")).cast("long")
+
+
 def migration_problems(files: DataFrame, applied: DataFrame) -> DataFrame:
     """``(file, problem)`` from ``files(file, sql)`` and ``applied(version, checksum)``."""
     named = files.select(
-        "file", "sql",
-        F.regexp_extract("file", r"^(\d{4})_([a-z0-9_]+)\.sql$", 1).alias("v"),
+        "file", "sql", _version(MIGRATION_VERSION + r"[a-z0-9_]+\.sql$").alias("version")
     )
-    bad_name = named.filter("v = ''").select("file", F.lit("bad file name").alias("problem"))
-    good = named.filter("v <> ''").withColumn("version", F.col("v").cast("int")).withColumn(
+    bad_name = named.filter("version IS NULL").select("file", F.lit("bad file name").alias("problem"))
+    good = named.filter("version IS NOT NULL").withColumn(
         "checksum", migration_checksum(F.col("sql"))
     )
     empty = good.filter(F.trim("sql") == "").select("file", F.lit("empty").alias("problem"))
@@ -108,7 +116,8 @@ def migration_problems(files: DataFrame, applied: DataFrame) -> DataFrame:
 
 
 def pending_migrations(files: DataFrame, applied: DataFrame) -> DataFrame:
-    version = F.regexp_extract("file", r"^(\d{4})_", 1).cast("int")
-    return files.withColumn("version", version).join(applied, "version", "left_anti").select(
+    """Files whose version is not applied; a name without a version is a problem, not pending."""
+    numbered = files.withColumn("version", _version(MIGRATION_VERSION)).filter("version IS NOT NULL")
+    return numbered.join(applied, "version", "left_anti").select(
         "version", "file", migration_checksum(F.col("sql")).alias("checksum")
     )

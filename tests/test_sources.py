@@ -149,3 +149,18 @@ def test_broken_rows_are_reported(spark):
     }
     with pytest.raises(ValueError, match="unknown"):
         schemas.violations({"nothing": tables["chunk"]})
+
+
+def test_migrations_after_9999_keep_their_number(spark):
+    files = spark.createDataFrame(
+        [("9999_add_a.sql", "A;"), ("10000_add_b.sql", "B;"), ("10002_add_c.sql", "C;"),
+         ("01000_add_d.sql", "D;"), ("later_add_e.sql", "E;")], "file string, sql string")
+    applied = files.filter("file = '10000_add_b.sql'").select(
+        F.lit(10000).alias("version"), K.migration_checksum(F.col("sql")).alias("checksum"))
+    got = {tuple(r) for r in K.migration_problems(files, applied).collect()}
+    assert got == {
+        ("01000_add_d.sql", "bad file name"), ("later_add_e.sql", "bad file name"),
+        ("9999_add_a.sql", "gap before this version"), ("10002_add_c.sql", "gap before this version"),
+    }
+    pending = K.pending_migrations(files, applied).collect()
+    assert {(r.version, r.file) for r in pending} == {(9999, "9999_add_a.sql"), (10002, "10002_add_c.sql")}
