@@ -61,8 +61,9 @@ class TwoLevelLists:
         self.vectors = vectors = vectors.select("id", F.col("vec").cast("array<double>").alias("vec"))
         n = vectors.count()
         lists = max(1, n // rows_per_list)
+        # Only fitting needs a sample; which vectors come first by digest is known of all of them.
         kept = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // SAMPLE)))) == 0
-        sample = stage(vectors.where(kept), "list-sample")
+        sample = stage(vectors.where(kept) if fitted else vectors, "list-sample")
         k = min(MOST_COARSE, math.ceil(math.sqrt(lists)))
         if fitted and k > 1:
             model = KMeans(k=k, seed=seed, maxIter=10).fit(

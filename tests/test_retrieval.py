@@ -1,3 +1,4 @@
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -251,3 +252,13 @@ def test_many_query_blocks_give_one_answer(spark, monkeypatch):
     monkeypatch.setattr(topk_blocks.scan_with_blocks, "__defaults__", (30,))
     found = dense.exact_neighbours(vectors, asked, 3)
     assert sorted(map(tuple, found.collect())) == want
+
+
+def test_centres_that_come_first_by_digest_are_picked_from_all_vectors(spark, monkeypatch):
+    monkeypatch.setattr(two_level, "SAMPLE", 20)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(200)]
+    frame = spark.createDataFrame(rows, "id long, vec array<double>")
+    lists = two_level.TwoLevelLists(frame, 10, fitted=False)
+    first = sorted(rows, key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest())[: math.ceil(math.sqrt(20))]
+    assert np.array_equal(lists.coarse, np.array([vec for _, vec in first]))
