@@ -262,3 +262,10 @@ def test_centres_that_come_first_by_digest_are_picked_from_all_vectors(spark, mo
     lists = two_level.TwoLevelLists(frame, 10, fitted=False)
     first = sorted(rows, key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest())[: math.ceil(math.sqrt(20))]
     assert np.array_equal(lists.coarse, np.array([vec for _, vec in first]))
+
+
+def test_a_text_that_many_queries_hit_is_lowered_and_searched_once(spark, docs, queries, index):
+    hits = stage(hybrid.search(index, queries, dense.HashingEmbedder()), "hits")
+    plan = evidence.signals(queries, hits, docs)._jdf.queryExecution().optimizedPlan().toString()
+    read = [line for line in plan.splitlines() if "found#" in line and "filter(terms" in line]
+    assert read and not any("lower(text" in line or "RLIKE" in line.upper() for line in read)
