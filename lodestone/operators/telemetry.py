@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType
 from lodestone import constants as C
 from lodestone.operators.graph import affected
 from lodestone.operators.ordered import row_numbers
-from lodestone.staging import stage
+from lodestone.staging import spread, stage
 
 N_STEPS = (C.BASELINE_MINUTES + C.FAULT_MINUTES) * 60 // C.SAMPLE_SECONDS
 
@@ -51,7 +51,8 @@ def incidents(seeds: DataFrame, pairs: DataFrame, services: DataFrame, patterns:
     """
     pairs = stage(pairs, "pairs")
     chosen = seeded_pick(pairs.count())(F.col("seed")) if pick is None else pick
-    named = seeds.withColumn("pick", chosen).join(pairs, "pick")
+    # A seed becomes many points, so a table of few splits would keep as few cores busy.
+    named = spread(seeds, "seed").withColumn("pick", chosen).join(pairs, "pick")
     services = services.select(F.col("id").alias("service_id"), F.col("name").alias("service_name"))
     patterns = patterns.select(
         F.col("id").alias("pattern_id"), F.col("name").alias("pattern_name"), "signature", "severity"
@@ -151,10 +152,11 @@ def development(
 def _noisy(seed: pd.Series, mean: pd.Series, sigma: pd.Series) -> pd.Series:
     """Seeded value per point; the generator is seeded anew for every point, so the
     result does not depend on partitioning."""
-    return pd.Series([
-        round(m + random.Random(int(s)).gauss(0.0, g), 4)
-        for s, m, g in zip(seed, mean, sigma, strict=True)
-    ])
+    generator, out = random.Random(), []
+    for s, m, g in zip(seed.tolist(), mean.tolist(), sigma.tolist(), strict=True):
+        generator.seed(s)  # as a new generator of this seed, which would be seeded twice
+        out.append(round(m + generator.gauss(0.0, g), 4))
+    return pd.Series(out, dtype="float64")
 
 
 def telemetry(points: DataFrame) -> DataFrame:

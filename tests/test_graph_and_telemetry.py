@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import graph, telemetry, vectors
 from lodestone.sources import estate
+from lodestone.staging import stage
 
 
 def edges_of(spark, pairs):
@@ -157,3 +158,23 @@ def test_direct_neighbours(spark):
     assert graph.lookup_one(estate.services(spark), "id", "svc-config").tier == 2
     with pytest.raises(KeyError):
         graph.lookup_one(estate.services(spark), "id", "nobody")
+
+
+def test_incidents_of_a_table_of_one_split_keep_all_cores_busy(spark):
+    services = stage(spark.createDataFrame(
+        [("s1", "one", "jvm"), ("s2", "two", "jvm")], "id string, name string, runtime string"), "services")
+    patterns = stage(spark.createDataFrame(
+        [("P1", "stall", "sig", "high", ["jvm"])],
+        "id string, name string, signature string, severity string, runtimes array<string>"), "patterns")
+    seeds = spark.range(100).coalesce(1).select(
+        F.col("id").alias("seed"), F.timestamp_micros(F.col("id")).alias("opened_at"))
+    rows = telemetry.incidents(seeds, telemetry.candidates(services, patterns), services, patterns)
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    picks = {r.seed: r.service_id for r in rows.collect()}
+    assert picks == {s: f"s{random.Random(s).choice(range(2)) + 1}" for s in range(100)}
+
+
+def test_a_seeded_value_is_that_of_a_new_generator(spark):
+    got = spark.range(50).select("id", telemetry._noisy(
+        F.col("id") * 2**33, F.lit(5.0), F.lit(2.0)).alias("v")).collect()
+    assert all(r.v == round(5.0 + random.Random(r.id * 2**33).gauss(0.0, 2.0), 4) for r in got)
