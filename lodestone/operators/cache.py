@@ -37,7 +37,10 @@ def lookup(
         candidates = own.filter(F.col("model_tier") == tier).select(
             "entry_id", F.col("key_text").alias("text")
         )
-        vectors = embedder.embed(candidates, "entry_id").select(F.col("entry_id").alias("id"), "vec")
+        # Written first: embedding and scanning in one stage would take two Python workers a core.
+        vectors = stage(
+            embedder.embed(candidates, "entry_id").select(F.col("entry_id").alias("id"), "vec"), "entry-vectors"
+        )
         asked = embedder.embed(open_prompts.select("query_id", "text"), "query_id")
         near = exact_neighbours(vectors, asked.select("query_id", "vec"), 1, exact_scores=True)
         found = near if found is None else found.unionByName(near)

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,3 +270,59 @@ def test_a_text_that_many_queries_hit_is_lowered_and_searched_once(spark, docs,
     plan = evidence.signals(queries, hits, docs)._jdf.queryExecution().optimizedPlan().toString()
     read = [line for line in plan.splitlines() if "found#" in line and "filter(terms" in line]
     assert read and not any("lower(text" in line or "RLIKE" in line.upper() for line in read)
+
+
+def test_a_task_holds_one_block_of_queries_at_a_time(spark):
+    class Held:
+        now = most = 0
+
+        def __init__(self):
+            Held.now += 1
+            Held.most = max(Held.most, Held.now)
+
+        def __del__(self):
+            Held.now -= 1
+
+    class Task:
+        asked = None
+
+        def load(self, block):
+            self.asked = Held()
+
+        def add(self, part):
+            pass
+
+        def rows(self):
+            return pa.RecordBatch.from_arrays([pa.array([Held.most])], names=["most"])
+
+    asked = spark.range(35).withColumnRenamed("id", "query_id")
+    found = topk_blocks.scan_with_blocks(spark.range(0, 9, 1, 1), asked, Task, "most long", 10)
+    assert {r.most for r in found.collect()} == {1}
+
+
+def test_blocks_of_queries_are_whole_bounded_and_cut_without_sorting_vectors(spark):
+    rows = [(i // 2, [float(i)]) for i in range(100)]  # ids may repeat
+    asked = spark.createDataFrame(rows, "query_id long, vec array<double>")
+    folder, names = topk_blocks.written_blocks(asked, 7)
+    blocks = [topk_blocks.read_block(folder, name) for name in names]
+    assert max(b.num_rows for b in blocks) <= 7 and len(blocks) > 14
+    assert sorted(v[0] for b in blocks for v in b["vec"].to_pylist()) == [float(i) for i in range(100)]
+    assert topk_blocks.written_blocks(asked.limit(0), 7)[1] == []
+
+
+def test_words_of_many_queries_and_of_few_are_scored_alike(monkeypatch):
+    rng = np.random.default_rng(3)
+    asked = [sorted({f"w{w}" for w in rng.zipf(1.3, 12) if w < 400}) for _ in range(90)]
+    texts = [[f"w{w}" for w in rng.zipf(1.3, n) if w < 400] for n in (0, 5, 80, 300)]
+    block = pa.table({"terms": pa.array(asked, pa.list_(pa.string())),
+                      "weights": pa.array([[1.0 + len(t) for t in q] for q in asked], pa.list_(pa.float64()))})
+    monkeypatch.setattr(lexical, "CELLS", 50)
+    got = lexical.LexicalBlock(block, 20.0)
+    assert 0 < got.common.shape[1] < len(got.vocabulary)
+    want = np.zeros((90, 4))
+    for q, d in np.ndindex(90, 4):
+        counts = Counter(texts[d])
+        want[q, d] = sum(
+            (1.0 + len(t)) * counts[t] * 2.5 / (counts[t] + 1.5 * (0.25 + 0.75 * len(texts[d]) / 20.0))
+            for t in asked[q] if counts[t])
+    assert np.allclose(got.scores(pa.array(texts, pa.list_(pa.string()))), want, atol=1e-9)
