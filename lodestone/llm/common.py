@@ -32,15 +32,17 @@ def with_row_ids(frame: DataFrame) -> DataFrame:
     return frame.withColumn("rid", F.monotonically_increasing_id())
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each holds about SLICE_BYTES of text, or one row."""
+def slices(
+    batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that each holds about ``most`` bytes of text, or one row."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch[text]), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
-            if held and held + n > SLICE_BYTES:
+            if held and held + n > most:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n
@@ -48,13 +50,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
 
 
 def map_text(
-    frame: DataFrame, work: Callable[[pa.RecordBatch], dict | None], schema: str
+    frame: DataFrame, work: Callable[[pa.RecordBatch], dict | None], schema: str,
+    most: int = SLICE_BYTES,
 ) -> DataFrame:
     """Runs ``work`` on slices of whole rows; it returns lists by column name."""
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, most=most):
             made = work(part)
             if made is not None:
                 yield pa.RecordBatch.from_arrays(

@@ -24,6 +24,10 @@ from lodestone.llm.common import arrow_schema, id_and_text, map_text
 from lodestone.llm.words import WordMemory
 
 MARK = "▁"  # stands for a space
+#: New words that both libraries encode at once; what they return for a word is far larger than its ids.
+WORDS_AT_ONCE = 8192
+#: Text handled at once. A larger part has more new words than a worker should remember.
+PART_BYTES = 2 << 20
 UNIGRAM, BPE = 1, 2  # fixed values of the model format
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -151,7 +155,7 @@ class Codec:
         )
         self.table = [self._surface(p, kind) for p, _, kind in pieces]
         self.differing: set[str] = set()
-        self.memory = WordMemory(self._encode_new, most=150_000)
+        self.memory = WordMemory(self._encode_new, most=250_000)
 
     def _surface(self, piece: str, kind: int) -> bytes:
         if kind == BYTE:
@@ -163,15 +167,17 @@ class Codec:
     def _encode_new(self, words: list[str]) -> list[bytes]:
         """Ids of new words by the tokenizers library; where the sentencepiece library has
         others, the word is noted as one without parity."""
-        mine = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        theirs = self.reference.encode(words, num_threads=self.threads)
         out = []
-        for word, a, b in zip(words, mine, theirs, strict=True):
-            if self.by_words and word == "":
-                a = b = [self.mark]
-            if a != b:
-                self.differing.add(word)
-            out.append(np.array(a, dtype="<u4").tobytes())
+        for start in range(0, len(words), WORDS_AT_ONCE):
+            some = words[start : start + WORDS_AT_ONCE]
+            mine = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            theirs = self.reference.encode(some, num_threads=self.threads)
+            for word, a, b in zip(some, mine, theirs, strict=True):
+                if self.by_words and word == "":
+                    a = b = [self.mark]
+                if a != b:
+                    self.differing.add(word)
+                out.append(np.array(a, dtype="<u4").tobytes())
         return out
 
     def cut(self, text: str) -> list[str]:
@@ -243,7 +249,7 @@ def encode(
 
     schema = "doc_id long, ids array<int>, n_differing long"
     kind = arrow_schema(schema).field("ids").type
-    return map_text(id_and_text(docs, id_col, text_col), work, schema)
+    return map_text(id_and_text(docs, id_col, text_col), work, schema, PART_BYTES)
 
 
 def decode(encoded: DataFrame, model_path: str, threads: int = 2) -> DataFrame:
@@ -284,4 +290,4 @@ def round_trip(
     return map_text(
         id_and_text(docs, id_col, text_col), work,
         "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, same_text boolean, "
-        "n_differing long")
+        "n_differing long", PART_BYTES)

@@ -242,3 +242,24 @@ def test_empty_tables(spark):
     assert pieces.encode(nothing, MODEL).count() == 0 and pieces.round_trip(nothing, MODEL).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc_zip.read(warc_zip.write(pages)).count() == 0
+
+
+def test_new_words_go_to_the_libraries_in_bounded_batches(monkeypatch):
+    seen = []
+
+    class Spy:
+        def __init__(self, real):
+            self.real = real
+
+        def encode_batch_fast(self, words, **options):
+            seen.append(len(words))
+            return self.real.encode_batch_fast(words, **options)
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    text = " ".join(f"word{i}" for i in range(100))
+    whole = pieces.Codec(path, 1).encode([text, "", "word7  word8"])
+    monkeypatch.setattr(pieces, "WORDS_AT_ONCE", 7)
+    one = pieces.Codec(path, 1)
+    one.tokenizer = Spy(one.tokenizer)
+    assert one.encode([text, "", "word7  word8"]) == whole
+    assert max(seen) == 7 and sum(seen) >= 100
