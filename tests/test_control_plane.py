@@ -276,3 +276,19 @@ def test_files_out_of_order_over_triggers_change_nothing(spark, tmp_path):
     whole = events.groupBy(F.window("ts", "1 hour", "10 minutes"), "user_id").count()
     assert latest.agg(F.sum("n")).first()[0] == whole.agg(F.sum("count")).first()[0]
     assert latest.count() == whole.count()
+
+
+def test_cache_entries_are_embedded_before_the_scan_and_not_in_its_tasks(spark, monkeypatch):
+    plans, real = [], cache.exact_neighbours
+
+    def watched(vectors, *a, **k):
+        plans.append(vectors._jdf.queryExecution().executedPlan().toString())
+        return real(vectors, *a, **k)
+
+    monkeypatch.setattr(cache, "exact_neighbours", watched)
+    row = "prompt_hash string, model_tier string, key_text string"
+    entries = spark.createDataFrame([(1, "a", "fast", "pool wait", HashingEmbedder.model)], f"entry_id long, {row}, embedding_model string")
+    asked = spark.createDataFrame([(7, "b", "fast", "pool wait"), (8, "c", "large", "lag")], f"request_id long, {row}")
+    got = {r.request_id: (r.hit, r.entry_id) for r in cache.lookup(asked, entries, HashingEmbedder()).collect()}
+    assert got == {7: ("semantic", 1), 8: ("miss", None)}
+    assert len(plans) == 2 and not any("MapInArrow" in p for p in plans)
