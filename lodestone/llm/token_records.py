@@ -103,6 +103,8 @@ def unframe(records: list[bytes]) -> list[bytes]:
 #: A space that white space or the end follows starts no word of its own.
 _UNSAFE = re.compile(r" (?:\s|$)")
 _SAFE_CUT = re.compile(r"(?= \S)")
+#: A word with the space before it, and no other space that starts no word of its own.
+_SAFE_WORD = re.compile(r" (?!\s)(?:[^ ]| (?!\s|$))+\Z")
 
 
 def cut_words(text: str) -> list[str]:
@@ -157,16 +159,16 @@ def _byte_bpe(path: str):
     def encode(words: list[str]) -> list[bytes]:
         """Words run together in groups: each starts a piece of its own, so the ids are cut
         again where the bytes of a word end."""
-        starts_right = [
-            w for w in words if w[0] == " " and w[1:2].strip() and (" " not in w[1:] or not _UNSAFE.search(w))]
+        spaced = _SAFE_WORD.match
+        starts_right = [w for w in words if spaced(w)]
         found = dict.fromkeys(words)
         groups = [starts_right[i : i + 512] for i in range(0, len(starts_right), 512)]
-        for group, coded in zip(groups, tokenizer.encode_batch_fast(
-                ["".join(g) for g in groups], add_special_tokens=False), strict=True):
+        texts = ["".join(g) for g in groups]
+        for group, text, coded in zip(
+                groups, texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(coded.ids, dtype=wide)
-            ends = (np.searchsorted(
-                np.cumsum(lengths[ids]), np.cumsum(
-                    [len(w) if w.isascii() else len(w.encode()) for w in group])) + 1) * wide.itemsize
+            sizes = list(map(len, group if text.isascii() else [w.encode() for w in group]))
+            ends = (np.searchsorted(np.cumsum(lengths[ids]), np.cumsum(sizes)) + 1) * wide.itemsize
             data, at = ids.tobytes(), 0
             for word, end in zip(group, ends.tolist(), strict=True):
                 found[word] = data[at:end]

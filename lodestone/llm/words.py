@@ -53,7 +53,8 @@ class WordMemory:
             return []
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         coded = lists.flatten().dictionary_encode()
-        words, number = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = coded.indices.to_numpy().astype(np.int64)
         firsts = lists.offsets.to_numpy()
         if lead:
             number[firsts[:-1]] = len(words) + np.arange(len(texts))

@@ -263,3 +263,11 @@ def test_new_words_go_to_the_libraries_in_bounded_batches(monkeypatch):
     one.tokenizer = Spy(one.tokenizer)
     assert one.encode([text, "", "word7  word8"]) == whole
     assert max(seen) == 7 and sum(seen) >= 100
+
+
+def test_words_that_run_together_are_told_from_those_that_do_not():
+    words = [" a", " a b", " a  b", " a ", "  a", " ", "a", " a\nb", " a \nb", "  a", " a.", " 一 c", " a\n"]
+    want = [
+        w for w in words
+        if w[0] == " " and w[1:2].strip() and (" " not in w[1:] or not token_records._UNSAFE.search(w))]
+    assert [w for w in words if token_records._SAFE_WORD.match(w)] == want
