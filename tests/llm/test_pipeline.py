@@ -7,6 +7,7 @@ import sentencepiece
 from test_dedup_operators import slow_components, slow_fingerprint
 
 import corpus_pipeline as pipeline
+from lodestone.llm import near_copies
 from lodestone.llm.decontaminate import contaminated
 from lodestone.llm.near_copies import similar_pairs
 from lodestone.staging import stage
@@ -106,6 +107,32 @@ def test_verified_pairs_hold_nearly_all_similar_texts_and_no_others(spark):
     assert best <= left and len(ids) - len(left) >= 0.98 * (len(ids) - len(best))
 
 
+def test_texts_that_stay_apart_in_large_buckets_multiply_no_entries(spark, monkeypatch):
+    draw, entries, proposed = random.Random(6), [], []
+    base = [f"c{k}" for k in range(100)]
+    texts = {n: " ".join(edited(draw, base, 1 if n % 2 else 2)) for n in range(400)}
+    texts |= {400 + n: " ".join(edited(draw, base, 3)) for n in range(100)}
+
+    def counted(frame, label, *rest):
+        made = stage(frame, label, *rest)
+        if label == "bucket-members":
+            entries.append(made.count())
+        if label == "choices":
+            proposed.append(made.count())
+        return made
+
+    monkeypatch.setattr(near_copies, "stage", counted)
+    rows = spark.createDataFrame(list(texts.items()), "rid long, text string").repartition(4)
+    got = {tuple(r) for r in similar_pairs(rows).collect()}
+    want = {tuple(sorted(p)) for p in slow_similar(texts)}
+    ids = sorted(texts)
+    left, best = smallest_of_groups(ids, got), smallest_of_groups(ids, want)
+    assert got <= want and best <= left and len(ids) - len(left) >= 0.98 * (len(ids) - len(best))
+    assert len(left) > 50  # texts that stay apart in buckets of hundreds
+    assert max(entries) == entries[0]
+    assert max(proposed) <= near_copies.CHOSEN * near_copies.ORDERS * entries[0]
+
+
 CLASHES = ("doc_id long, text string, rid string, row string, __score double, __dropped long, item_id long, "
            "score string, `a.b` int")
 
