@@ -42,6 +42,8 @@ DRIFT = 8
 
 WORDS = "filter(split(coalesce(text, ''), '[^\\\\p{L}\\\\p{N}]+'), w -> w <> '')"
 
+#: A word that starts with 0 to 9: no other letter or number sorts before the colon.
+DIGIT = "{0} < ':'"
 
 #: Letters of scripts without spaces between words; each is a word of the form as it stands.
 UNSPACED = "[\\\\p{IsHan}\\\\p{IsHiragana}\\\\p{IsKatakana}\\\\p{IsThai}\\\\p{IsLao}\\\\p{IsKhmer}\\\\p{IsMyanmar}]"
@@ -54,11 +56,10 @@ AS_IT_STANDS = (
 def _template(names: bool) -> str:
     """Template words of the column ``words``; with or without placeholders for names."""
     units = ", ".join(f"'{u}'" for u in UNITS)
-    digit = "substring({0}, 1, 1) between '0' and '9'"
     name = f"when lower(w) <> w then '{NAME}' " if names else ""
     return (
-        f"transform(words, (w, i) -> case when {digit.format('w')} then '{NUMBER}' "
-        f"when i > 0 and lower(w) in ({units}) and {digit.format('words[greatest(i - 1, 0)]')} "
+        f"transform(words, (w, i) -> case when {DIGIT.format('w')} then '{NUMBER}' "
+        f"when {DIGIT.format('get(words, i - 1)')} and lower(w) in ({units}) "
         f"then '{UNIT}' {name}else lower(w) end)"
     )
 
@@ -102,12 +103,12 @@ def _windows(frame: DataFrame, wanted: list[tuple[int, int]], *keep: str) -> Dat
 
 
 #: Words as numbers: 1 to 3 for the placeholders, a hash for all others. Forms 0 to 3.
-_DIGIT = "ascii({0}) between 48 and 57"
 _CODES = {
-    "h0": f"transform(words, (w, i) -> case when {_DIGIT.format('w')} then 1L when i > 0 and "
-          f"{_DIGIT.format('words[greatest(i - 1, 0)]')} and lower(w) in ({', '.join(repr(u) for u in UNITS)}) "
-          "then 2L else xxhash64(lower(w)) end)",
-    "h1": "transform(h0, (x, i) -> if(x in (1L, 2L), x, if(lower(words[i]) <> words[i], 3L, x)))",
+    "lowered": "transform(words, w -> lower(w))",
+    "h0": f"transform(lowered, (w, i) -> case when {DIGIT.format('w')} then 1L when "
+          f"{DIGIT.format('get(lowered, i - 1)')} and w in ({', '.join(repr(u) for u in UNITS)}) "
+          "then 2L else xxhash64(w) end)",
+    "h1": "zip_with(h0, zip_with(lowered, words, (l, w) -> l <> w), (x, name) -> if(name and x not in (1L, 2L), 3L, x))",
     "h2": "filter(h1, (x, i) -> not (x in (1L, 3L) and i > 0 and h1[greatest(i - 1, 0)] = x))",
 }
 _CODED = (f"transform({{0}}, x -> case x when '{NUMBER}' then 1L when '{UNIT}' then 2L "
@@ -129,7 +130,8 @@ def _chained(frame: DataFrame, codes: str, lengths: list[int]) -> tuple[DataFram
             need(n - n // 2)
             made[n] = f"{codes}_{n}"
             frame = frame.select("*", F.expr(
-                f"transform({made[n // 2]}, (x, i) -> xxhash64(x, get({made[n - n // 2]}, i + {n // 2})))"
+                f"zip_with({made[n // 2]}, slice({made[n - n // 2]}, {n // 2 + 1}, size({codes})), "
+                "(x, y) -> xxhash64(x, y))"
             ).alias(made[n]))
 
     for n in lengths:
@@ -145,8 +147,9 @@ def _probes(texts: DataFrame, sizes: list[tuple[int, int]]) -> DataFrame:
     """
     plain = sorted({n for form, n in sizes if form < 3})
     stands = sorted({n for form, n in sizes if form == 3})
-    coded = texts.select("doc_id", "words", F.expr(_CODES["h0"]).alias("h0"))
-    coded = coded.select("*", F.expr(_CODES["h1"]).alias("h1"))
+    coded = texts.select("doc_id", "words", F.expr(_CODES["lowered"]).alias("lowered"))
+    coded = coded.select("*", F.expr(_CODES["h0"]).alias("h0"))
+    coded = coded.select("doc_id", "words", "h0", F.expr(_CODES["h1"]).alias("h1"))
     coded = coded.select("doc_id", "words", "h0", F.expr("if(h1 <> h0, h1, array())").alias("h1"),
                          F.expr(_CODES["h2"]).alias("h2"))
     coded = coded.select("doc_id", "words", "h0", "h1", F.expr(

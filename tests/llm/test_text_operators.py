@@ -10,6 +10,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from lodestone.llm import decontaminate, licences, personal_data, quality
 
 CLASH = "doc_id long, text string, rid string, base string, words string, score string"
@@ -340,3 +342,15 @@ def test_empty_tables(spark):
     assert decontaminate.contaminated(some, bench).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.with_score(nothing, quality.train(nothing, labels)).count() == 0
+
+
+def test_a_text_is_lowered_once_for_its_probes_and_odd_words_meet_their_windows(spark):
+    item = "Ünit 5 KG of ٣ stones at İzmir cost ² more than ΣΑΣ paid 12 kg 7 m there today"
+    texts = spark.createDataFrame([(1, f"so {item} then"), (2, "5"), (3, ""), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(9, item)], "item_id long, text string")
+    wanted = decontaminate.benchmark_windows(items, 8, 5, 4)
+    sizes = [tuple(r) for r in wanted.select("form", "length").distinct().collect()]
+    probes = decontaminate._probes(texts.withColumn("words", F.expr(decontaminate.WORDS)), sizes)
+    assert {r["probe"] for r in wanted.collect()} <= {r["probe"] for r in probes.where("doc_id = 1").collect()}
+    plan = probes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and "ascii(" not in plan
