@@ -326,3 +326,18 @@ def test_words_of_many_queries_and_of_few_are_scored_alike(monkeypatch):
             (1.0 + len(t)) * counts[t] * 2.5 / (counts[t] + 1.5 * (0.25 + 0.75 * len(texts[d]) / 20.0))
             for t in asked[q] if counts[t])
     assert np.allclose(got.scores(pa.array(texts, pa.list_(pa.string()))), want, atol=1e-9)
+
+
+def test_features_cut_at_once_are_those_of_each_word():
+    words = ["a", "ab", "abc", "abcd", "xabcdx", "abcde", "bcde", "^abc", "abc$", "ünïcödé", "日本語日本語"]
+    lengths, which, digests = dense.token_features(words)
+    parts = np.split(which, np.cumsum(lengths)[:-1])
+    numbers = {}
+    for word, part in zip(words, parts, strict=True):
+        padded = f"^{word}$"
+        want = [word, word] if len(word) <= C.NGRAM else [word] + [
+            padded[i : i + C.NGRAM] for i in range(len(padded) - C.NGRAM + 1)]
+        assert [int(d) for d in digests[part]] == [zlib.crc32(f.encode()) for f in want]
+        for number, feature in zip(part.tolist(), want, strict=True):
+            assert numbers.setdefault(number, feature) == feature
+    assert len(set(numbers.values())) == len(numbers)  # equal features have one number
