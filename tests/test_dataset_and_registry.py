@@ -180,3 +180,22 @@ def test_registered_query_matches_its_sql(spark, name):
 
 def test_entry_runs(spark):
     assert entry_points.entry(spark).count() == 200
+
+
+def test_boosting_reads_bins_with_weights_and_not_all_rows(spark):
+    rows = spark.range(20_000).select(
+        F.col("id").cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"),
+        (F.col("id") > 9_000).cast("int").alias("label"), (F.col("id") % 10).cast("string").alias("group"),
+        (F.col("id") % 5).cast("int").alias("fold"),
+    )
+    edges = models.bin_edges(rows, ["a", "b"], [0, 1, 2, 3, 4])
+    assert len(edges[0]["a"]) == models.BINS - 1 and edges[0]["b"] == [0.0, 1.0]
+    assert edges[2]["a"][15] in range(9_998, 10_002)  # half of the rows of the other folds
+    seen = models.folded_rows(models.binned(rows.where("fold <> 2"), edges[2]), ["a", "b"])
+    assert seen.count() <= 2 * models.BINS * 3 and seen.rdd.getNumPartitions() == 1
+    assert seen.agg(F.sum(models.WEIGHT)).first()[0] == 16_000
+    few = [(0.0, 0, "a"), (1.0, 1, "a"), (0.0, 0, "b"), (1.0, 1, "b"), (9.0, 1, "b")]
+    rows = spark.createDataFrame(few, "a double, label int, group string")
+    make = lambda names: models.boosted(names, trees=3)
+    scored = models.out_of_fold(rows, ["a"], make, k=2, in_bins=True).collect()
+    assert len(scored) == 5 and all((r.score > 0.5) == (r.label == 1) for r in scored)
