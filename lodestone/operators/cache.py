@@ -19,13 +19,14 @@ def lookup(
     ``requests(request_id, prompt_hash, model_tier, key_text)``;
     ``entries(entry_id, prompt_hash, embedding_model, model_tier, key_text)``, unique
     on hash, model and tier. Entries of another embedding model are never compared.
-    Requests that share a prompt are looked up once.
+    Requests that share a prompt are looked up once. Only ids are grouped; the texts of prompts
+    without an equal entry are joined to them, so no task sorts the texts it scans.
     """
     threshold = embedder.similarity_threshold if threshold is None else threshold
     own = entries.filter(F.col("embedding_model") == embedder.model)
-    prompts = requests.groupBy("prompt_hash", "model_tier").agg(
-        F.min("request_id").alias("query_id"),
-        F.min_by("key_text", "request_id").alias("text"),
+    prompts = requests.groupBy("prompt_hash", "model_tier").agg(F.min("request_id").alias("query_id"))
+    texts = requests.select(
+        "prompt_hash", "model_tier", F.col("request_id").alias("query_id"), F.col("key_text").alias("text")
     )
     exact = prompts.join(
         own.select("prompt_hash", "model_tier", "entry_id"), ["prompt_hash", "model_tier"], "left"
@@ -41,7 +42,10 @@ def lookup(
         vectors = stage(
             embedder.embed(candidates, "entry_id").select(F.col("entry_id").alias("id"), "vec"), "entry-vectors"
         )
-        asked = embedder.embed(open_prompts.select("query_id", "text"), "query_id")
+        asked = open_prompts.select("prompt_hash", "model_tier", "query_id").join(
+            texts, ["prompt_hash", "model_tier", "query_id"]
+        )
+        asked = embedder.embed(stage(asked.select("query_id", "text"), "open-prompts"), "query_id")
         near = exact_neighbours(vectors, asked.select("query_id", "vec"), 1, exact_scores=True)
         found = near if found is None else found.unionByName(near)
     # The threshold meets the score itself; only what is reported is rounded.

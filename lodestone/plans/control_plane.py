@@ -41,30 +41,35 @@ def prompt_keys(spark, folder):
     )
 
 
-def _entries(spark, folder):
-    """Answers to every third conversation are in the store, first writer first."""
-    stored = _prompts(spark, folder).filter("conv_id % 3 = 0")
-    row = F.struct("request_id", "key_text", "tokens_in", "tokens_out")
-    kept = stored.groupBy("prompt_hash", "model_tier").agg(F.min_by(row, "request_id").alias("r"))
-    return kept.select(
-        F.col("r.request_id").alias("entry_id"), "prompt_hash",
-        F.lit(C.HASHING_MODEL).alias("embedding_model"), "model_tier", "r.key_text",
-        "r.tokens_in", "r.tokens_out",
+def _entries(prompts):
+    """Answers to every third conversation are in the store, first writer first.
+
+    Only ids are grouped, and the rows of the first writers joined to them.
+    """
+    stored = prompts.filter("conv_id % 3 = 0")
+    first = stored.groupBy("prompt_hash", "model_tier").agg(F.min("request_id").alias("request_id"))
+    kept = stored.join(first, ["prompt_hash", "model_tier", "request_id"])
+    return kept.dropDuplicates(["prompt_hash", "model_tier"]).select(
+        F.col("request_id").alias("entry_id"), "prompt_hash",
+        F.lit(C.HASHING_MODEL).alias("embedding_model"), "model_tier", "key_text",
+        "tokens_in", "tokens_out",
     )
 
 
 def _lookups(spark, folder):
-    return cache.lookup(
-        _prompts(spark, folder), stage(_entries(spark, folder), "entries"), HashingEmbedder()
-    )
+    """What every prompt finds in the store, and the store."""
+    prompts = stage(_prompts(spark, folder), "prompts")
+    entries = stage(_entries(prompts), "entries")
+    return cache.lookup(prompts, entries, HashingEmbedder()), entries
 
 
 def cache_lookup(spark, folder):
-    return _lookups(spark, folder)
+    return _lookups(spark, folder)[0]
 
 
 def cache_statistics(spark, folder):
-    found = cache.statistics(stage(_lookups(spark, folder), "lookups"), _entries(spark, folder))
+    lookups, entries = _lookups(spark, folder)
+    found = cache.statistics(stage(lookups, "lookups"), entries)
     return found.withColumn("hit_rate", F.round("hit_rate", 6))
 
 

@@ -292,3 +292,24 @@ def test_cache_entries_are_embedded_before_the_scan_and_not_in_its_tasks(spark,
     got = {r.request_id: (r.hit, r.entry_id) for r in cache.lookup(asked, entries, HashingEmbedder()).collect()}
     assert got == {7: ("semantic", 1), 8: ("miss", None)}
     assert len(plans) == 2 and not any("MapInArrow" in p for p in plans)
+
+
+def test_cached_prompts_are_looked_up_without_sorting_texts(spark):
+    rows = [(i, f"h{i % 7}", "fast" if i % 7 % 2 else "large", f"restart node {i % 7} now") for i in range(40)]
+    requests = spark.createDataFrame(rows, "request_id long, prompt_hash string, model_tier string, key_text string")
+    entries = requests.where("request_id in (0, 1, 2)").withColumnRenamed("request_id", "entry_id").withColumn(
+        "embedding_model", F.lit(HashingEmbedder().model))
+    read, real = [], cache.stage
+
+    def watch(frame, label, *rest):
+        read.append((label, frame._jdf.queryExecution().executedPlan().toString()))
+        return real(frame, label, *rest)
+
+    cache.stage = watch
+    try:
+        got = cache.lookup(requests, entries, HashingEmbedder())
+    finally:
+        cache.stage = real
+    plans = dict(read)
+    assert "SortAggregate" not in plans["exact-lookups"] and "open-prompts" in plans
+    assert got.count() == 40 and got.where("hit = 'exact'").count() == sum(i % 7 < 3 for i in range(40))

@@ -341,3 +341,20 @@ def test_features_cut_at_once_are_those_of_each_word():
         for number, feature in zip(part.tolist(), want, strict=True):
             assert numbers.setdefault(number, feature) == feature
     assert len(set(numbers.values())) == len(numbers)  # equal features have one number
+
+
+def test_a_task_holds_pieces_of_bounded_bytes_and_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(topk_blocks, "SLICE", 8)
+    monkeypatch.setattr(topk_blocks, "PIECE_BYTES", 1000)
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(100), pa.int64()), "t": ["x" * 50] * 100})
+    held = list(topk_blocks.pieces(iter([batch])))
+    assert sum(p.num_rows for piece in held for p in piece) == 100
+    assert max(sum(p.nbytes for p in piece) for piece in held) < 2000
+    key, before = topk_blocks.BATCH_KEY, spark.conf.get(topk_blocks.BATCH_KEY)
+    try:
+        for given, kept in (("10000", str(topk_blocks.BATCH_ROWS)), ("0", str(topk_blocks.BATCH_ROWS)), ("100", "100")):
+            spark.conf.set(key, given)
+            topk_blocks.small_batches(spark)
+            assert spark.conf.get(key) == kept
+    finally:
+        spark.conf.set(key, before)
