@@ -199,3 +199,19 @@ def test_boosting_reads_bins_with_weights_and_not_all_rows(spark):
     make = lambda names: models.boosted(names, trees=3)
     scored = models.out_of_fold(rows, ["a"], make, k=2, in_bins=True).collect()
     assert len(scored) == 5 and all((r.score > 0.5) == (r.label == 1) for r in scored)
+
+
+def test_hits_leave_a_task_in_bounded_batches(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(absence, "HITS_AT_ONCE", 3)
+    real, folder = absence._hits, str(tmp_path)
+
+    def counted(text_no, no):
+        open(f"{folder}/{len(no)}", "w").close()
+        return real(text_no, no)
+
+    monkeypatch.setattr(absence, "_hits", counted)
+    terms = spark.createDataFrame([("pool",), ("node",)], "term string")
+    texts = spark.range(20).select(F.lit("the pool of a node").alias("body")).coalesce(1)
+    numbered, hits = absence.term_hits(terms, texts)
+    assert hits.count() == 40 and hits.distinct().count() == 40
+    assert max(int(f.name) for f in tmp_path.iterdir()) <= 4
