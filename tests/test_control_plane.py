@@ -7,6 +7,7 @@ from lodestone import constants as C
 from lodestone.functions import rules as R
 from lodestone.operators import budget, cache, citations, router, runs
 from lodestone.operators.dense import HashingEmbedder
+from lodestone.staging import stage
 from lodestone.streaming import jobs, rate_limit, router_state
 
 
@@ -313,3 +314,20 @@ def test_cached_prompts_are_looked_up_without_sorting_texts(spark):
     plans = dict(read)
     assert "SortAggregate" not in plans["exact-lookups"] and "open-prompts" in plans
     assert got.count() == 40 and got.where("hit = 'exact'").count() == sum(i % 7 < 3 for i in range(40))
+
+
+def test_steps_and_evidence_of_runs_are_merged_and_not_sent_whole(spark):
+    steps = spark.createDataFrame([(1, 0, "classify"), (1, 1, "retrieve"), (1, 2, "emit")],
+                                  "run_id long, step int, node string").transform(stage, "steps")
+    state = spark.createDataFrame([(1, "completed", "t", "sufficient", 1, 0, "p", "low", "r")],
+                                  "run_id long, status string, hypothesis string, verdict string, attempts int, "
+                                  "uncited int, proposal string, risk string, risk_reason string").transform(stage, "state")
+    texts = spark.createDataFrame([(1, "It is so [1]. It is not [9].")], "run_id long, text string").transform(stage, "texts")
+    hits = spark.createDataFrame([(1, 1, "7", 0.5)], "run_id long, rank int, chunk_id string, score double").transform(
+        stage, "hits")
+    made = [runs.stage_events(state, steps), runs.terminal_edge_audit(steps),
+            citations.extract(texts, hits, ["run_id"])]
+    for frame in made:
+        assert "SortMergeJoin [run_id" in frame._jdf.queryExecution().executedPlan().toString()
+    assert made[0].count() == 3 and [r["target"] for r in made[1].collect()] == ["emit"]
+    assert sorted((r["marker"], r["resolved"]) for r in made[2].collect()) == [(1, True), (9, False)]

@@ -358,3 +358,22 @@ def test_a_task_holds_pieces_of_bounded_bytes_and_small_batches(spark, monkeypat
             assert spark.conf.get(key) == kept
     finally:
         spark.conf.set(key, before)
+
+
+def test_vectors_and_word_lists_of_queries_are_never_sent_whole_to_all_tasks(spark, docs, queries, index, monkeypatch):
+    plans = {}
+
+    def kept(frame, label, *rest):
+        plans[label] = frame._jdf.queryExecution().executedPlan().toString()
+        return stage(frame, label, *rest)
+
+    monkeypatch.setattr(hybrid, "stage", kept)
+    monkeypatch.setattr(evidence, "stage", kept)
+    hits = hybrid.search(index, queries, dense.HashingEmbedder())
+    judged = evidence.signals(queries, hits, docs)
+    words = "array_distinct"  # the plan of the top hits makes them
+    assert "MapInArrow" in plans["asked"] and "BroadcastHashJoin [query_id" not in plans["asked"].split("MapInArrow")[0]
+    assert words in plans["top-hits"] and "Broadcast" not in plans["top-hits"]
+    read = judged._jdf.queryExecution().executedPlan().toString()
+    assert not any("Broadcast" in line and "terms" in line for line in read.splitlines())
+    assert sorted(r["query_id"] for r in judged.collect()) == [q[0] for q in QUERIES]
