@@ -170,3 +170,25 @@ def test_no_rows(spark, tmp_path):
     for name, work in pipeline.STAGES:
         docs = stage(work(spark, docs, str(tmp_path)), name)
         assert docs.count() == 0
+
+
+def test_texts_of_a_bucket_are_all_compared_whatever_pieces_and_blocks_it_is_cut_in(spark, monkeypatch):
+    draw = random.Random(9)
+    base = [f"c{k}" for k in range(100)]
+    texts = {n: " ".join(edited(draw, base, 1 + n % 4)) for n in range(160)}
+    other = [f"o{k}" for k in range(100)]
+    texts |= {200 + n: " ".join(edited(draw, other, 2)) for n in range(40)}
+    ids = sorted(texts)
+    sets = [near_copies.shingle_set(texts[i].encode(), 5) for i in ids]
+    bands = near_copies.minima(sets).astype("uint32").reshape(len(ids), near_copies.BANDS, near_copies.ROWS)
+    place = {i: n for n, i in enumerate(ids)}
+    alike = {tuple(sorted(p)) for p in slow_similar(texts)}
+    want = {(a, b) for a, b in alike if (bands[place[a]] == bands[place[b]]).all(axis=1).any()}
+    rows = spark.createDataFrame(list(texts.items()), "rid long, text string").repartition(4)
+    for piece, size in ((4, 1 << 20), (4, 4000), (256, 4000)):
+        monkeypatch.setattr(near_copies, "PIECE", piece)
+        monkeypatch.setattr(near_copies, "BLOCK_BYTES", size, raising=False)
+        got = {tuple(r) for r in similar_pairs(rows).collect()}
+        assert got <= want
+        assert smallest_of_groups(ids, got) == smallest_of_groups(ids, want)
+    assert 40 < len(smallest_of_groups(ids, want)) < 160
