@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,14 +150,72 @@ def development(
     )
 
 
+#: Words of the generator's state, the place its outputs are mixed with, and what a seed starts from.
+_WORDS, _MIXED = 624, 397
+_START = [19650218]
+for _i in range(1, _WORDS):
+    _START.append((1812433253 * (_START[-1] ^ _START[-1] >> 30) + _i) & 0xFFFFFFFF)
+
+
+def first_randoms(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first two ``random()`` of ``random.Random(seed)`` for every 64-bit seed.
+
+    Each step of the generator's seeding is made for all seeds at once; of its outputs only the
+    four that two doubles need are made.
+    """
+    size = np.abs(seeds).view(np.uint64)  # a seed counts without its sign, in words of 32 bits
+    low, high = (size & np.uint64(0xFFFFFFFF)).astype(np.uint32), (size >> np.uint64(32)).astype(np.uint32)
+    added = [low, np.where(high > 0, high + np.uint32(1), low)]  # its words in turn, each with its place
+    state = np.empty((_WORDS, len(seeds)), dtype=np.uint32)
+    held = np.empty(len(seeds), dtype=np.uint32)
+
+    def mix(before: np.ndarray, word, factor: int, more, out: np.ndarray) -> None:
+        np.right_shift(before, 30, out=held)
+        np.bitwise_xor(held, before, out=held)
+        np.multiply(held, np.uint32(factor), out=held)
+        np.bitwise_xor(held, word, out=held)
+        np.add(held, more, out=out)
+
+    state[0] = _START[0]
+    for i in range(1, _WORDS):
+        mix(state[i - 1], np.uint32(_START[i]), 1664525, added[(i - 1) % 2], state[i])
+    mix(state[-1], state[1], 1664525, added[(_WORDS - 1) % 2], state[1])
+    for i in range(2, _WORDS):
+        mix(state[i - 1], state[i], 1566083941, np.uint32(2**32 - i), state[i])
+    mix(state[-1], state[1], 1566083941, np.uint32(2**32 - 1), state[1])
+    state[0] = 1 << 31
+    upper, lower = np.uint32(1 << 31), np.uint32((1 << 31) - 1)
+    outputs = []
+    for k in range(4):
+        y = state[k] & upper | state[k + 1] & lower
+        y = state[k + _MIXED] ^ y >> np.uint32(1) ^ np.where(y & np.uint32(1), np.uint32(0x9908B0DF), np.uint32(0))
+        y ^= y >> np.uint32(11)
+        y ^= y << np.uint32(7) & np.uint32(0x9D2C5680)
+        y ^= y << np.uint32(15) & np.uint32(0xEFC60000)
+        outputs.append(y ^ y >> np.uint32(18))
+    first, second = (
+        ((a >> np.uint32(5)) * 67108864.0 + (b >> np.uint32(6))) * (1.0 / 9007199254740992.0)
+        for a, b in (outputs[:2], outputs[2:]))
+    return first, second
+
+
 @F.pandas_udf(DoubleType())
 def _noisy(seed: pd.Series, mean: pd.Series, sigma: pd.Series) -> pd.Series:
     """Seeded value per point; the generator is seeded anew for every point, so the
-    result does not depend on partitioning."""
-    generator, out = random.Random(), []
-    for s, m, g in zip(seed.tolist(), mean.tolist(), sigma.tolist(), strict=True):
-        generator.seed(s)  # as a new generator of this seed, which would be seeded twice
-        out.append(round(m + generator.gauss(0.0, g), 4))
+    result does not depend on partitioning. It is ``gauss`` of a new generator, whose
+    functions are those of ``math``, so that no last digit differs."""
+    out = []
+    if seed.dtype != "int64":  # a seed is missing
+        generator = random.Random()
+        for s, m, g in zip(seed.tolist(), mean.tolist(), sigma.tolist(), strict=True):
+            generator.seed(s)
+            out.append(round(m + generator.gauss(0.0, g), 4))
+        return pd.Series(out, dtype="float64")
+    cos, log, sqrt = math.cos, math.log, math.sqrt
+    first, second = first_randoms(seed.to_numpy())
+    turns = (first * (2.0 * math.pi)).tolist()
+    for t, r, m, g in zip(turns, (1.0 - second).tolist(), mean.tolist(), sigma.tolist(), strict=True):
+        out.append(round(m + cos(t) * sqrt(-2.0 * log(r)) * g, 4))
     return pd.Series(out, dtype="float64")
 
 

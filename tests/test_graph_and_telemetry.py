@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,3 +180,21 @@ def test_a_seeded_value_is_that_of_a_new_generator(spark):
     got = spark.range(50).select("id", telemetry._noisy(
         F.col("id") * 2**33, F.lit(5.0), F.lit(2.0)).alias("v")).collect()
     assert all(r.v == round(5.0 + random.Random(r.id * 2**33).gauss(0.0, 2.0), 4) for r in got)
+
+
+def test_seeds_of_a_batch_are_taken_together_and_give_what_each_generator_gives(spark, monkeypatch):
+    draw = random.Random(3)
+    seeds = [draw.randrange(-2**62, 2**62) for _ in range(300)] + [draw.randrange(2**32) for _ in range(300)]
+    seeds += [0, 1, -1, 2**32 - 1, 2**32, 2**33, -(2**63), 2**63 - 1]
+    want = [(g.random(), g.random()) for g in map(random.Random, seeds)]
+    first, second = telemetry.first_randoms(np.array(seeds, dtype=np.int64))
+    assert list(zip(first.tolist(), second.tolist(), strict=True)) == want
+    want = [round(7.5 + random.Random(s).gauss(0.0, 2.5), 4) for s in seeds]
+
+    def none(*_):
+        raise AssertionError("a generator was made for a single point")
+
+    level = [pd.Series([v] * len(seeds)) for v in (7.5, 2.5)]
+    monkeypatch.setattr(telemetry.random, "Random", none)
+    assert telemetry._noisy.func(pd.Series(seeds), *level).tolist() == want
+    assert telemetry._noisy.func(pd.Series([], dtype="int64"), *[x[:0] for x in level]).empty
