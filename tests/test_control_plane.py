@@ -331,3 +331,24 @@ def test_steps_and_evidence_of_runs_are_merged_and_not_sent_whole(spark):
         assert "SortMergeJoin [run_id" in frame._jdf.queryExecution().executedPlan().toString()
     assert made[0].count() == 3 and [r["target"] for r in made[1].collect()] == ["emit"]
     assert sorted((r["marker"], r["resolved"]) for r in made[2].collect()) == [(1, True), (9, False)]
+
+
+def test_calls_that_wait_are_kept_in_few_entries_and_all_are_walked(spark, tmp_path):
+    n, emitted = 2500, []
+    rows = [("p", i, 1000.0 + (i * 7) % n, "success" if i % 3 else "rate_limited", float(i % 2)) for i in range(n)]
+    folder, state = str(tmp_path / "calls"), str(tmp_path / "state")
+
+    def trigger(part):
+        spark.createDataFrame(part, CALLS).coalesce(1).write.mode("append").parquet(folder)
+        walked = router_state.circuit_breaker(spark.readStream.schema(CALLS).parquet(folder), late="1 hour")
+        query = walked.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(
+            lambda batch, _: emitted.extend(tuple(r) for r in batch.collect())).start()
+        query.awaitTermination()
+
+    trigger(rows)
+    assert not emitted and 1 <= len(state_rows(spark, state, "waiting")) <= 3
+    trigger([(None, None, 1000.0 + 3600 + n / 2, None, None)])  # half of the calls are due
+    due = len(emitted)
+    trigger([(None, None, 50_000.0, None, None)])
+    want = sorted(map(tuple, router_state.circuit_breaker(spark.createDataFrame(rows, CALLS)).collect()))
+    assert 0 < due < n and sorted(emitted) == want
